@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, packing, substring_dedup
+from . import byte_bpe, jpeg_media, line_dedup, packing, substring_dedup
 from ._shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept_text")
 
 
+def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.read_media(jpeg_media.write_media(documents(spark, sf_dir)))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), with_text=False).drop("kept_text")
 
@@ -30,6 +34,6 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORD_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_substring_dedup, op8_line_dedup, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_substring_dedup, op6_jpeg_media, op8_line_dedup, op9_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
