@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jpeg_media, line_dedup, packing, substring_dedup, warc_fixity
+from . import byte_bpe, chat_format, jaccard_join, jpeg_media, line_dedup, packing, substring_dedup, warc_fixity
 from . import sql
 from ._shared import documents
 
@@ -24,6 +24,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept_text")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -49,6 +53,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.records(warc_fixity.damaged(pages)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_substring_dedup, op5_chat_format, op6_jpeg_media, op8_line_dedup, op9_best_fit_packing, op10_warc_fixity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_substring_dedup, op4_ngram_jaccard, op5_chat_format, op6_jpeg_media, op8_line_dedup, op9_best_fit_packing, op10_warc_fixity)}
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": sql.OP5, "op8_line_dedup": sql.OP8, "op10_warc_fixity": sql.OP10}
