@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, jaccard_join, jpeg_media, line_dedup, packing, substring_dedup, warc_fixity
+from . import ann_tree, byte_bpe, chat_format, jaccard_join, jpeg_media, line_dedup, packing, substring_dedup, warc_fixity
 from . import sql
 from ._shared import documents
 
@@ -39,6 +39,11 @@ def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.read_media(jpeg_media.write_media(documents(spark, sf_dir)))
 
 
+def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann_tree.Searcher(table).search(table.where("vec_id % 100 = 0"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), with_text=False).drop("kept_text")
 
@@ -53,6 +58,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.records(warc_fixity.damaged(pages)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_substring_dedup, op4_ngram_jaccard, op5_chat_format, op6_jpeg_media, op8_line_dedup, op9_best_fit_packing, op10_warc_fixity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_substring_dedup, op4_ngram_jaccard, op5_chat_format, op6_jpeg_media, op7_kmeans_tree, op8_line_dedup, op9_best_fit_packing, op10_warc_fixity)}
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": sql.OP5, "op8_line_dedup": sql.OP8, "op10_warc_fixity": sql.OP10}
