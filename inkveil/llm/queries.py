@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, byte_bpe, chat_format, jaccard_join, jpeg_media, line_dedup, packing, substring_dedup, warc_fixity
+from . import ann_tree, byte_bpe, chat_format, jaccard_join, jpeg_media, line_dedup, packing, substring_dedup, toxicity, warc_fixity
 from . import sql
 from ._shared import documents
 
@@ -16,6 +16,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
@@ -58,6 +62,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.records(warc_fixity.damaged(pages)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_substring_dedup, op4_ngram_jaccard, op5_chat_format, op6_jpeg_media, op7_kmeans_tree, op8_line_dedup, op9_best_fit_packing, op10_warc_fixity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_substring_dedup, op4_ngram_jaccard, op5_chat_format, op6_jpeg_media, op7_kmeans_tree, op8_line_dedup, op9_best_fit_packing, op10_warc_fixity)}
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": sql.OP5, "op8_line_dedup": sql.OP8, "op10_warc_fixity": sql.OP10}
