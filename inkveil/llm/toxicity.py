@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     rows = labelled(docs, labels, sample)
     size = {int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     good, bad = size.get(0, 0), size.get(1, 0)
-    prior = math.log((bad + 0.5) / (good + 0.5))
+    prior = math.log((bad + 0.5) / (good + 1.5))
     if not good or not bad:
         return Model(cost, {}, np.zeros(0), prior)
     names = _common(rows, cost, 16 * features)
