@@ -1,17 +1,21 @@
 """Exact set-similarity self-join on word shingles, as components, with adaptive multi-match prefixes.
 
 Method. A document's tokens (hashes of its distinct shingles) stand in one global order: tokens known to be frequent last, by
-frequency, the others by hash. If two sets reach the threshold, their prefixes of n - ceil(t n) + l tokens share l
-tokens or more. Every document gets its own l: its candidates' cost is estimated from the frequencies of the tokens in its
-plain prefix, and the dearer it is, the longer its prefix and the more shared tokens it asks for; a pair must share the
-smaller of its two l. Frequencies come from all documents: each chunk of rows reports the tokens it holds twice or
-more, Spark sums them, and the `hot_tokens` heaviest (a fixed number, so a bounded broadcast) form the order. The order
-affects only cost, never the result.
-
-Copies and near copies. Within a chunk, rows with equal sets send one posting. A posting list first pairs each document with
-the list's smallest document only; verified pairs are joined into components. Then the lists that still hold several
-components give all pairs across components, with full counts of shared tokens, so a large group of near copies costs
-its size and no link between components is lost. Pairs are verified on the full sets of 64-bit shingle hashes.
+frequency, the others by hash. If two sets of sizes n <= m reach the threshold t, they share a token that is among the first
+n - ceil(2tn / (1 + t)) + 1 of the smaller and the first m - ceil(tm) + 1 of the larger: posting lists hold these plain prefixes and
+say which entries are so early, and only such pairs are candidates. Before a candidate is verified it must pass a multi-match
+test: every document's prefix is lengthened to n - ceil(tn) + l tokens, with l by its candidates' cost as estimated from the
+frequencies of its plain prefix (the dearer, the longer), and the two must share correspondingly more tokens of it: their least
+overlap, less the most that can lie beyond the prefix that ends first. Frequencies come from all documents: each chunk of
+rows reports the tokens it holds twice or more, Spark sums them, and the `hot_tokens` heaviest (a fixed number, so a
+bounded broadcast) form the order. The order affects only cost, never the result.
+
+Copies and near copies. Of equal sets, the smallest document alone sends postings (beyond `max_copies` further copies: the
+smallest of each chunk). A posting list first pairs each document with
+the list's smallest document only; verified pairs are joined into components. While lists have many more pairs across
+components than entries, and it helps, their documents are paired with a few pivots drawn by hash in further rounds. Then the lists
+that still hold several components give all candidates across components, so a large group
+of near copies costs its size and no link between components is lost. Pairs are verified on the full sets of 64-bit shingle hashes.
 
 Defined results. Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; fewer words than a shingle: the whole
 sequence is one; no words or null text: empty set, linked with nothing. doc_id identifies a document; repeated rows of
@@ -21,10 +25,12 @@ one doc_id come out as often as they go in. Rows without doc_id have component n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import Words, chunks, mix
@@ -103,21 +109,44 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
 
 def matches_needed(n: np.ndarray, cost: np.ndarray, least: np.ndarray) -> np.ndarray:
     """l of each document: 1 for the cheapest, one more for each doubling of its estimated candidates, as far as its set allows."""
-    wanted = 1 + np.ceil(np.log2(1 + cost / np.maximum(n, 1))).astype(np.int64) + (n >= 32) + (n >= 128)
+    wanted = 1 + np.ceil(np.log2(1 + cost / np.maximum(n, 1))).astype(np.int64)
     return np.clip(wanted, 1, np.minimum(least, MOST_MATCHES))
 
 
-POSTINGS = "token long, doc_id long, n int, l int"
+class Order(NamedTuple):
+    """Frequent tokens, sorted, and their weights."""
 
+    tokens: np.ndarray
+    weights: np.ndarray
 
-def postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The adaptive prefix of each document that is the first of its set in its chunk."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
+def ordered(row: np.ndarray, h: np.ndarray, rows: int, percent: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of each row in global order, each one's place in its row, and each row's size, least overlap and l."""
+    maybe = np.zeros(1 << 22, bool)
+    low = _U((1 << 22) - 1)
+    maybe[(order.tokens & low).astype(np.int64)] = True
+    weight = np.zeros(len(h), np.int64)
+    look = np.flatnonzero(maybe[(h & low).astype(np.int64)])
+    if len(look):
+        at = np.minimum(np.searchsorted(order.tokens, h[look]), len(order.tokens) - 1)
+        weight[look] = np.where(order.tokens[at] == h[look], order.weights[at], 0)
+    by = np.argsort(row.astype(np.int64) * (1 << 40) + np.minimum(weight, (1 << 40) - 1), kind="stable")
+    h, weight = h[by], weight[by]
+    n = np.bincount(row, minlength=rows)
+    least = -(-percent * n // 100)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    plain = place < (n - least + 1)[row]
+    cost = np.bincount(row[plain], weights=weight[plain], minlength=rows)
+    return h, place, n, least, matches_needed(n, cost, least)
+
+
+POSTINGS = "token long, doc_id long, n int, early boolean"
+
+
+def postings(docs: DataFrame, k: int, percent: int, sent: Broadcast) -> DataFrame:
+    """The plain prefix of each document that is the first of its set in its chunk; early: within what equal or larger sets must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = sent.value  # sorted by token
-        maybe = np.zeros(1 << 22, bool)
-        maybe[(known & _U((1 << 22) - 1)).astype(np.int64)] = True
         for batch in chunks(batches):
             ids = batch.column("doc_id")
             batch = batch.filter(ids.is_valid()) if ids.null_count else batch
@@ -125,104 +154,166 @@ def postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.nd
                 continue
             doc = batch.column("doc_id").to_numpy().astype(np.int64)
             row, h = shingle_sets(batch.column("text"), k)
-            n, s1, s2 = _signatures(row, h, batch.num_rows)
             keep = np.zeros(batch.num_rows, bool)
-            keep[_firsts(n, s1, s2, doc)] = True
-            chosen = keep[row]
-            row, h = row[chosen], h[chosen]
-            n = np.where(keep, n, 0)
-            weight = np.zeros(len(h), np.int64)
-            look = np.flatnonzero(maybe[(h & _U((1 << 22) - 1)).astype(np.int64)])
-            if len(look) and len(known):
-                at = np.minimum(np.searchsorted(known, h[look]), len(known) - 1)
-                weight[look] = np.where(known[at] == h[look], weights[at], 0)
-            order = np.argsort(row.astype(np.int64) * (1 << 40) + np.minimum(weight, (1 << 40) - 1), kind="stable")
-            h, weight = h[order], weight[order]
-            least = -(-percent * n // 100)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            plain = place < (n - least + 1)[row]
-            cost = np.bincount(row[plain], weights=weight[plain], minlength=batch.num_rows)
-            l = matches_needed(n, cost, least)
-            take = np.flatnonzero(place < (n - least + l)[row])
+            keep[_firsts(*_signatures(row, h, batch.num_rows), doc)] = True
+            row, h = row[keep[row]], h[keep[row]]
+            h, place, n, least, _ = ordered(row, h, batch.num_rows, percent, sent.value)
+            early = n - -(-2 * percent * n // (100 + percent)) + 1
+            take = np.flatnonzero(place < (n - least + 1)[row])
             at = row[take]
             for c in range(0, len(take), 100_000):
                 s = slice(c, c + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h[take[s]].view(np.int64), doc[at[s]], n[at[s]].astype(np.int32), l[at[s]].astype(np.int32))],
-                    [x.split()[0] for x in POSTINGS.split(", ")],
-                )
+                columns = (h[take[s]].view(np.int64), doc[at[s]], n[at[s]].astype(np.int32), place[take[s]] < early[at[s]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in POSTINGS.split(", ")])
 
     return docs.mapInArrow(run, POSTINGS)
 
 
-def _fits(percent: int) -> F.Column:
-    return (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
+def _candidate(percent: int) -> Column:
+    """Whether the sizes allow a link, and the shared token is early in the smaller set (in both, if equal)."""
+    sizes = (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
+    return sizes & (F.col("a_early") | (F.col("a_n") > F.col("b_n"))) & (F.col("b_early") | (F.col("b_n") > F.col("a_n")))
+
 
+def _few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share as many prefix tokens as the smaller l of the two."""
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
-    return counted.where("shared >= need").select("a", "b")
 
+def _asked(docs: DataFrame, pairs: DataFrame, max_broadcast_ids: int = 1 << 20) -> DataFrame:
+    """The documents of the pairs (a, b). Up to max_broadcast_ids, their ids go to the scan and no text is moved; beyond, both sides are shuffled."""
+    ids = stash(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    return docs.join(F.broadcast(ids) if _few(ids, max_broadcast_ids) else ids, "doc_id", "left_semi")
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that reach the threshold. A set is sent once for each pair it is the `a` of."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(docs: DataFrame, k: int, percent: int, sent: Broadcast, prefix: bool) -> DataFrame:
+    """(doc_id, n, l, tokens): the whole set of each document, or its lengthened prefix; sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             row, h = shingle_sets(batch.column("text"), k)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            n, l = np.bincount(row, minlength=batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            if prefix:
+                h, place, n, least, l = ordered(row, h, batch.num_rows, percent, sent.value)
+                take = place < (n - least + l)[row]
+                row, h = row[take], h[take]
+                by = np.lexsort((h, row))
+                row, h = row[by], h[by]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).tolist()
             raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "tokens"])
+            packed = [raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(l), pa.array(packed, pa.binary())], ["doc_id", "n", "l", "tokens"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, l long, tokens binary")
+
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tested(pairs: DataFrame, packed: DataFrame, percent: int, prefix: bool) -> DataFrame:
+    """The pairs whose prefixes share what a link needs, or whose sets reach the threshold. A row of tokens is sent once for each pair it is the `a` of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([p, q]), kind="stable")
+            sizes = zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_l", "b_l")), strict=True)
+            for x, y, (n, m, i, j) in zip(batch.column("x"), batch.column("y"), sizes, strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(p) + len(q) - shared))
+                if prefix:
+                    # What both share up to where the first prefix ends is in both; ceil(t n) - l tokens lie beyond it.
+                    beyond = max(-(-percent * n // 100) - i, -(-percent * m // 100) - j)
+                    good.append(shared >= -(-percent * (n + m) // (100 + percent)) - beyond)
+                else:
+                    good.append(100 * shared >= percent * (n + m - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = stash(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(pack, "doc_id long, tokens binary"), "sets")
-    x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    x = packed.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("a_n"), F.col("l").alias("a_l"))
+    y = packed.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("b_n"), F.col("l").alias("b_l"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "a_n", "b_n", "a_l", "b_l").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, sent: Broadcast) -> DataFrame:
+    """Of the candidates (a, b), those that reach the threshold: the multi-match test first, then the whole sets."""
+    for prefix in (True, False):
+        pairs = stash(pairs.select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        packed = stash(_packed(_asked(docs, pairs), k, percent, sent, prefix), "prefixes" if prefix else "sets")
+        pairs = _tested(pairs, packed, percent, prefix)
+    return stash(pairs, "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, hot_tokens: int = 1 << 17) -> DataFrame:
+def _mixed(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The posting lists (token, doc_id, n, early) that hold several components, with each document's."""
+    by_token = Window.partitionBy("token")
+    named = lists.select("token", "doc_id", "n", "early").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = (F.min("component").over(by_token) != F.max("component").over(by_token)) & F.bool_or("early").over(by_token)
+    return named.repartition("token").withColumn("several", several).where("several").drop("several")
+
+
+def _crossing(mixed: DataFrame) -> tuple[int, float]:
+    """Entries of the lists, and at most how many candidates across components they give: pairs of which one entry at least is early."""
+
+    def squares(name: str) -> list[Column]:
+        return [F.sum(name).alias(name), F.sum(F.col(name) * F.col(name)).alias(f"{name}2")]
+
+    parts = mixed.groupBy("token", "component").agg(F.count("*").alias("all"), F.count_if(~F.col("early")).alias("late"))
+    lists = parts.groupBy("token").agg(*squares("all"), *squares("late"))
+    pairs = (F.col("all") * F.col("all") - F.col("all2") - F.col("late") * F.col("late") + F.col("late2")) / 2
+    found = lists.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(pairs), F.lit(0.0))).first()
+    return found[0], found[1]
+
+
+def _sides(rows: DataFrame, other: str) -> DataFrame:
+    """Candidates (a, b) of rows with columns doc_id, n, early and a struct of the same."""
+    own = [F.col(c).alias(f"a_{c}") for c in ("n", "early")] + [F.col(f"{other}.{c}").alias(f"b_{c}") for c in ("n", "early")]
+    return rows.select(F.col("doc_id").alias("a"), F.col(f"{other}.doc_id").alias("b"), *own)
+
+
+def _pivot_pairs(mixed: DataFrame, turn: int, percent: int, pivots: int = 4) -> DataFrame:
+    """Each document with a list's pivot if that is of another component. Pivots are drawn by a hash, the same for a quarter of all tokens."""
+    draw = F.xxhash64("doc_id", F.pmod("token", F.lit(pivots)), F.lit(turn))
+    pivot = F.min(F.struct(draw.alias("draw"), "doc_id", "n", "early", "component")).over(Window.partitionBy("token"))
+    met = mixed.repartition("token").withColumn("pivot", pivot).where("component <> pivot.component")
+    return _sides(met, "pivot").where(_candidate(percent)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, hot_tokens: int = 1 << 17, max_copies: int = 1 << 20, crossing_share: float = 64.0) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summary = stash(summaries(docs, k), "summary")
     hot = summary.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where("times >= 4").orderBy(F.desc("times"), "token").limit(hot_tokens).collect()
     tokens = np.array([r["token"] for r in hot], np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    lists = postings(docs, k, percent, (tokens[order], np.array([r["times"] for r in hot], np.int64)[order]))
-
-
-    by_token = Window.partitionBy("token")
-    shared = stash(
-        lists.repartition("token").select("*", F.count("*").over(by_token).alias("docs"), F.min(F.struct("doc_id", "n", "l")).over(by_token).alias("pivot")).where("docs > 1"),
-        "postings",
-    )
-    star = shared.where("doc_id <> pivot.doc_id").select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b"), F.col("n").alias("a_n"), F.col("pivot.n").alias("b_n"), F.least("l", "pivot.l").alias("need"))
-    first = stash(verified(stash(_enough(star.where(_fits(percent))), "pairs"), docs, k, percent), "links")
-
-    label = components(first)
-    named = shared.select("token", "doc_id", "n", "l").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.repartition("token").withColumn("several", F.min("component").over(by_token) != F.max("component").over(by_token)).where("several")
-    mixed = stash(mixed.drop("several"), "mixed")
-    left, right = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "l", "component")], F.col("doc_id").alias(s)) for s in "ab")
-    across = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & _fits(percent))
-    pairs = _enough(across.select("a", "b", F.least("a_l", "b_l").alias("need")))
-    second = verified(stash(pairs, "pairs"), docs, k, percent)
-
-    # Equal sets are one class; the classes are joined by the links between any two of their documents.
+    # Equal sets are one class, linked to its smallest document.
     rows = summary.where("n IS NOT NULL").select("doc_id", "n", "s1", "s2")
     heads = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     copies = rows.join(heads.where("copies > 1"), ["n", "s1", "s2"]).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    found = components(first.unionByName(second).unionByName(copies))
+    copies = stash(copies.distinct(), "copies")
+    single = docs.join(F.broadcast(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti") if _few(copies, max_copies) else docs
+    sent = docs.sparkSession.sparkContext.broadcast(Order(tokens[order], np.array([r["times"] for r in hot], np.int64)[order]))
+
+    by_token = Window.partitionBy("token")
+    entry = F.struct("doc_id", "n", "early")
+    counted = postings(single, k, percent, sent).repartition("token").select("*", F.count("*").over(by_token).alias("docs"), F.min(entry).over(by_token).alias("pivot"))
+    lists = stash(counted.where("docs > 1"), "postings")
+    star = _sides(lists.where("doc_id <> pivot.doc_id"), "pivot").where(_candidate(percent))
+    links, mixed, turn = verified(star, docs, k, percent, sent), lists, 0
+    while True:
+        mixed = stash(_mixed(mixed, components(links)), "mixed")
+        entries, crossing = _crossing(mixed)
+        if crossing <= crossing_share * entries:
+            break
+        turn += 1
+        more = verified(_pivot_pairs(mixed, turn, percent), docs, k, percent, sent)
+        if more.limit(turn + 1).count() <= turn:  # few or none: the lists hold texts that only resemble each other
+            links = links.unionByName(more)
+            break
+        links = stash(links.unionByName(more), "links")
+
+    # The smaller of two sets has the shared token early (equal ones both), so late entries never meet each other.
+    left, right = (mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("n", "early", "component")], F.col("doc_id").alias(s)) for s in "ab")
+    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & F.col("b_early") & (F.col("a") < F.col("b")))
+    across = left.where("a_early").join(right, "token").where(smaller & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("a_component") != F.col("b_component")))
+    rest = verified(across, docs, k, percent, sent)
+
+    found = components(links.unionByName(rest).unionByName(copies))
     out = rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

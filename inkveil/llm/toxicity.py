@@ -39,7 +39,7 @@ SYMBOLS = len(LETTERS) + 2
 #: Letters that each look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "€": "e", "£": "l"}
 SUBSTITUTED, SKIPPED, COLLAPSED, UNDOUBLED = 1.0, 0.3, 0.3, 4.0  # costs in nats
-CACHED_TOKENS = 600_000
+CACHED_TOKENS = 300_000
 
 _SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!+€£])(?:[ .\-_*/](?:[^\W_]|[@$!+€£])){2,}(?![^\s.,;:!?\"')\]])")
 _EDGES = " \t\n\"'()[]{}<>.,;:?!*_-/|#=~`“”„«»…"
