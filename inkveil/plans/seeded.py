@@ -191,7 +191,7 @@ def event_status(spark, sf):
 @query
 def event_stage_pivot(spark, sf):
     e = table(spark, sf, "events").where("event_type IN ('click', 'error', 'view')")
-    return e.groupBy("user_id").pivot("event_type", ["click", "error", "view"]).agg(F.count("*")).na.fill(0).select("user_id", *[F.col(x).alias(f"{x}_n") for x in ("click", "error", "view")])
+    return e.groupBy("user_id").pivot("event_type", ["click", "error", "view"]).agg(F.count(F.lit(1))).na.fill(0).select("user_id", *[F.col(x).alias(f"{x}_n") for x in ("click", "error", "view")])
 
 
 @query
