@@ -158,5 +158,5 @@ def target_score(target: Column, shown: Column, code: Column, kind: Column) -> C
         typed = (kind == name) | ((kind == "tel") if name == "phone" else F.lit(False))
         seen = F.exists(F.array(*map(F.lit, s)), lambda x: shown.contains(x) | code.contains(x))
         points = F.when(typed, 80).otherwise(0) + F.when(seen, 40).otherwise(0)
-        concept = concept + F.when(F.exists(words, lambda w, s=s: w.isin(s)), points).otherwise(0)
+        concept = concept + F.when(F.arrays_overlap(words, F.array(*map(F.lit, s))), points).otherwise(0)
     return F.when(F.size(words) == 0, 0).otherwise(phrase + each + all_ + concept)
