@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import spans
-
 # --- fixed values ---
 HONORIFICS = ["mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "lord", "lady", "rev"]
 GIVEN_NAMES = (
@@ -19,25 +21,56 @@ STREETS = "street st avenue ave road rd boulevard blvd lane ln drive dr way cour
 COMPANIES = "inc corp llc ltd gmbh co company corporation technologies tech solutions group holdings enterprise foundation institute bank".split()
 # --- end of fixed values ---
 
-TOKEN = r"[A-Za-z0-9'’-]+|[^\sA-Za-z0-9_]"
+#: White space as the reference's own expressions have it; their other classes are ASCII.
+SPACE = "\t\n\v\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+TOKEN = re.compile(rf"[A-Za-z0-9'’-]+|[^{SPACE}A-Za-z0-9_]")
+POSTAL = r"(?<![A-Za-z0-9_])[0-9]{5,6}(?:-[0-9]{4})?(?![A-Za-z0-9_])"
 NAME_WORD, ORG_WORD = r"^[A-Z][a-zA-Z'’-]+$", r"^([A-Z][a-zA-Z0-9&]*|[oO][fF]|&)$"
-MOST_TOKENS = 6
+MOST_TOKENS, BEFORE = 6, 25
+_FIRST, _POSTAL = re.compile(r"[A-Z0-9]|[oO][fF]$|&"), re.compile(POSTAL)
+_ROWS = 20_000
+
+
+def _may_start(token: str) -> bool:
+    """Whether a run from this token on can score by its first token: a capitalised word, number or code, `of`, `&`, or a given name after a title (`jOHN`)."""
+    return _FIRST.match(token) is not None or (token.lower() in GIVEN_NAMES and token != token.lower())
 
 
 def word_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, tokens, start, end, span, before): every run of 1 to 6 tokens that may be an entity, one row each.
 
-    A run can only score if its first token is a capitalised word, a number or a code, so others are never exploded.
+    A run can score if its first token may start one, or if it holds a postal number; others are never exploded.
     """
-    tokens = df.select(key, F.col(text).alias("whole"), spans(F.col(text), TOKEN).alias("all")).where(F.size("all") > 0)
-    starts = tokens.select(key, "whole", "all", F.posexplode("all").alias("i", "t")).where(F.col("t.value").rlike(r"^[A-Z0-9]") | F.lower("t.value").isin(COMPANIES))
-    near = starts.select(key, "t", F.slice("all", F.col("i") + 1, F.lit(MOST_TOKENS)).alias("run"), F.substr("whole", F.greatest(F.col("t.start") - 24, F.lit(1)), F.least(F.col("t.start"), F.lit(25))).alias("before"), "whole")
-    sized = near.select(key, "t", "before", "whole", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("n"))
-    last = F.get("run", F.col("n") - 1)
-    return sized.select(
-        key, F.transform(F.slice("run", F.lit(1), F.col("n")), lambda x: x["value"]).alias("tokens"), F.col("t.start").alias("start"), last["end"].alias("end"),
-        F.substr("whole", F.col("t.start") + 1, last["end"] - F.col("t.start")).alias("span"), "before",
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for own, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(whole or "")]
+                postal = len(found) + MOST_TOKENS  # the first token at i or later that holds a postal number
+                for i in range(len(found) - 1, -1, -1):
+                    start, _, token = found[i]
+                    if _POSTAL.search(token):
+                        postal = i
+                    if postal < i + MOST_TOKENS or _may_start(token):
+                        near = found[i : i + MOST_TOKENS]
+                        rows.append((own, start, [t for _, _, t in near], [e for _, e, _ in near], whole[start : near[-1][1]], whole[max(start - BEFORE, 0) : start]))
+                    if len(rows) >= _ROWS:
+                        yield _batch(rows, batch.schema.field(0).type)
+                        rows = []
+            if rows:
+                yield _batch(rows, batch.schema.field(0).type)
+
+    kind = df.schema[key].dataType.simpleString()
+    starts = df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start int, tokens array<string>, ends array<int>, run string, before string")
+    sized = starts.select("*", F.explode(F.sequence(F.lit(1), F.size("tokens"))).alias("n"))
+    end = F.get("ends", F.col("n") - 1)
+    return sized.select(key, F.slice("tokens", F.lit(1), F.col("n")).alias("tokens"), "start", end.alias("end"), F.substr("run", F.lit(1), end - F.col("start")).alias("span"), "before")
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = [kind, pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "start", "tokens", "ends", "run", "before"])
 
 
 def _last(tokens: Column) -> Column:
@@ -61,7 +94,7 @@ def address_score(tokens: Column, span: Column, before: Column) -> Column:
         F.when((n < 2) | (n > 8), 0.0)
         .when(number & street, 0.95)
         .when(street & capital & (_last(tokens) != "dr"), 0.88)
-        .when(span.rlike(r"(?<![A-Za-z0-9_])\d{5,6}(?:-\d{4})?(?![A-Za-z0-9_])"), 0.85)
+        .when(span.rlike(POSTAL), 0.85)
         .when(clue & (number | (street & capital)), 0.92)
         .otherwise(0.0)
     )
