@@ -170,8 +170,8 @@ def fused_items(spark, sf):
 
 @query
 def doc_entities(spark, sf):
-    """Named spans of documents, the best that don't overlap."""
-    return en.best_disjoint(en.entity_candidates(table(spark, sf, "documents"), "doc_id", threshold=0.75), "doc_id").drop("value")
+    """Named spans of documents, the best that don't overlap, from the operator's own threshold on."""
+    return en.best_disjoint(en.entity_candidates(table(spark, sf, "documents"), "doc_id"), "doc_id").drop("value")
 
 
 @query

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from inkveil.operators import entities as en
+from inkveil.plans import catalog, seeded  # noqa: F401
 
 NAME, ORG = re.compile(r"[A-Z][a-zA-Z'’-]+"), re.compile(r"[A-Z][a-zA-Z0-9&]*|[oO][fF]|&")
 
@@ -87,3 +88,13 @@ def test_every_run_is_scored(spark, texts):
         got.setdefault(r["doc_id"], []).append((r["label"], r["start"], r["end"], r["confidence"]))
     for i, text in enumerate(texts):
         assert sorted(got.get(i, [])) == brute(text or "")[0], text
+
+
+def test_doc_entities_from_the_references_threshold_on(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in catalog.QUERIES["doc_entities"](spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append((r["label"], r["start"], r["end"], r["confidence"]))
+    for i, text in enumerate(TEXTS):
+        assert sorted(got.get(i, [])) == brute(text or "")[1], text
+    assert ("person", 7, 21, 0.72) in got[0]
