@@ -165,7 +165,7 @@ def restored(token: str, cost: np.ndarray) -> tuple[str, bool]:
 
 def features(word: str, anywhere: bool) -> list[str]:
     out = []
-    for i in range(len(word) - 3 if anywhere else 1):
+    for i in range(max(len(word) - 2, 1) if anywhere else 1):
         w = word[i:]
         if len(w) > 2:
             out.append("=" + w)

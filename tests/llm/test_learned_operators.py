@@ -42,6 +42,24 @@ def test_decoding():
     assert toxicity.restored("hello,", cost) == ("hello", False)
 
 
+def likely(*words):
+    cost = np.full((toxicity.SYMBOLS,) * 3, 5.0)
+    for own in words:
+        word = [0, 0, *(toxicity._number(x) for x in own), 0]
+        for a, b, x in zip(word, word[1:], word[2:], strict=False):
+            cost[a, b, x] = 0.5
+    return cost
+
+
+def test_short_restored_words_keep_their_features():
+    cost = likely("ass")
+    for text in ("a55", "a.s.s", "a s s", "@ss"):
+        assert set(toxicity.features(*toxicity.restored(text, cost))) >= set(toxicity.features("ass", False)) == {"=ass"}
+    for word in ("i", "as", "ass", "dumb", "idiot"):
+        assert set(toxicity.features(word, True)) >= set(toxicity.features(word, False))
+    assert "=ass" in toxicity.features("dumbass", True)
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = c.odd_documents(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
