@@ -2,7 +2,7 @@
 
 Method. A noisy channel: writers replace letters by look-alikes, space words out, and repeat letters. A character trigram model
 with counts from every word of every document is the language model. A token that the channel may have touched (letters
-mixed with look-alikes, single characters with separators between, three equal letters in a row) becomes a lattice of
+mixed with look-alikes, single characters with separators between, equal letters in a row) becomes a lattice of
 readings; Viterbi search over pairs of last letters finds the cheapest one under model and channel costs, and the token is
 restored to it. Other tokens stay. Features of the restored text are its words and their beginnings of 4 to 6 letters
 (within a restored token, those from any letter on); a logistic regression over the most telling ones gives the score.
@@ -39,11 +39,17 @@ SYMBOLS = len(LETTERS) + 2
 #: Letters that each look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "€": "e", "£": "l"}
 SUBSTITUTED, SKIPPED, COLLAPSED, UNDOUBLED = 1.0, 0.3, 0.3, 4.0  # costs in nats
+UNTOUCHED = 1.5  # nats that a reading must save where doubled letters are the only sign of the channel
 CACHED_TOKENS = 300_000
 
-_SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!+€£])(?:[ .\-_*/](?:[^\W_]|[@$!+€£])){2,}(?![^\s.,;:!?\"')\]])")
+# A sign is a letter, digit or look-alike. A stretch begins after white space or punctuation, not inside a word (don't, e-mail).
+_SIGN, _END = r"(?:[^\W_]|[@$!+€£])", r"(?![^\W_]|[@$+€£])"
+_BEGIN = r"(?<![^\W_])(?<![@$!+€£])(?<![^\W_](?:[^\w\s(\[{<\"“„«]|_))"
+_SPACED = re.compile(rf"{_BEGIN}{_SIGN}(?:[ .\-_*/]{_SIGN}){{2,}}{_END}")
+_WIDE = re.compile(rf"{_BEGIN}{_SIGN}(?:(?:[^\w@$!+€£]|_)+{_SIGN}){{2,}}{_END}")  # runs of any separators
 _EDGES = " \t\n\"'()[]{}<>.,;:?!*_-/|#=~`“”„«»…"
 _ODD = re.compile(r"(.)\1\1|[0-9@$!+€£]|[^\W\d_][ .\-_*/][^\W\d_]")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -129,8 +135,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, cost: np.ndarray) -> str:
-    """The reading of least cost: Viterbi over the last two letters."""
+def cheapest(token: str, cost: np.ndarray) -> tuple[str, float]:
+    """The reading of least cost, and that cost: Viterbi over the last two letters."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for options in lattice(token):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -144,20 +150,50 @@ def decode(token: str, cost: np.ndarray) -> str:
                 if key not in after or total < after[key][0]:
                     after[key] = (total, way)
         states = after
-    _, path = min((paid + float(cost[a, b, 0]), path) for (a, b), (paid, path) in states.items())
+    price, path = min((paid + float(cost[a, b, 0]), path) for (a, b), (paid, path) in states.items())
     letters = []
     while path:
         c, path = path
         letters.append(c)
-    return "".join(reversed(letters))
+    return "".join(reversed(letters)), price
+
+
+def decode(token: str, cost: np.ndarray) -> str:
+    return cheapest(token, cost)[0]
+
+
+def plain_cost(word: str, cost: np.ndarray) -> float:
+    """Of the letters as they stand, other characters left out."""
+    a, b, paid = 0, 0, 0.0
+    for c in word:
+        if c.isalpha():
+            n = _number(c)
+            paid, a, b = paid + float(cost[a, b, n]), b, n
+        else:
+            paid += SKIPPED
+    return paid + float(cost[a, b, 0])
 
 
 def restored(token: str, cost: np.ndarray) -> tuple[str, bool]:
-    """A lower-case token without edge punctuation, decoded if the channel may have touched it; and whether it was."""
+    """A lower-case token without edge punctuation, decoded if the channel may have touched it; and whether it was.
+
+    Doubled letters alone are common, so a reading without them must save UNTOUCHED nats.
+    """
     word = token.strip(_EDGES)
-    if not _ODD.search(word) or not _LETTER.search(word):
+    if not _LETTER.search(word):
         return word, False
-    return decode(word, cost), True
+    if _ODD.search(word) or _WIDE.fullmatch(word):
+        return decode(word, cost), True
+    if m := _DOUBLED.search(word):
+        if word.isalpha() and not _DOUBLED.search(word, m.end()):  # one pair: its three trigrams decide, as the search would
+            i = m.start()
+            b, c, d = _number(word[i - 1]) if i else 0, _number(word[i]), _number(word[i + 2]) if i + 2 < len(word) else 0
+            saved = float(cost[b, c, c]) + float(cost[c, c, d]) - float(cost[b, c, d]) - UNDOUBLED
+            return (word[:i] + word[i + 1 :], True) if saved > UNTOUCHED else (word, False)
+        reading, price = cheapest(word, cost)
+        if price + UNTOUCHED < plain_cost(word, cost):
+            return reading, True
+    return word, False
 
 
 # ---- features -----------------------------------------------------------------------------------------------------
@@ -173,10 +209,21 @@ def features(word: str, anywhere: bool) -> list[str]:
     return out
 
 
+def token_features(token: str, cost: np.ndarray) -> set[str]:
+    """Those of the restored token; where it is of letters only and may be a word as it stands, its own too."""
+    word, decoded = restored(token, cost)
+    own = token.strip(_EDGES) if decoded else ""
+    return {*features(word, decoded), *(features(own, False) if own.isalpha() else ())}
+
+
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens, and the spaced-out stretches, as they stand."""
+    """Distinct lower-case tokens, and the spaced-out stretches, as they stand: by runs of any separators, and within those by single ones."""
     text = text.lower()
-    return {*text.split(), *(m.group() for m in _SPACED.finditer(text))}
+    out = set(text.split())
+    for m in _WIDE.finditer(text):
+        out.add(m.group())
+        out.update(x.group() for x in _SPACED.finditer(text, m.start(), m.end()))
+    return out
 
 
 class Features(dict):
@@ -188,7 +235,7 @@ class Features(dict):
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) > CACHED_TOKENS:
             self.clear()
-        found = tuple({i for f in features(*restored(token, self.cost)) if (i := self.ids.get(f)) is not None})
+        found = tuple({i for f in token_features(token, self.cost) if (i := self.ids.get(f)) is not None})
         self[token] = found
         return found
 
@@ -224,7 +271,7 @@ def _common(rows: DataFrame, cost: np.ndarray, most: int) -> list[str]:
         seen: Counter = Counter()
         for batch in chunks(batches):
             for text in batch.column("text").fill_null("").to_pylist():
-                seen.update({f for t in tokens(text) for f in features(*restored(t, sent.value))})
+                seen.update({f for t in tokens(text) for f in token_features(t, sent.value)})
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
     counted = rows.where("toxic = 1").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))

@@ -60,6 +60,26 @@ def test_short_restored_words_keep_their_features():
     assert "=ass" in toxicity.features("dumbass", True)
 
 
+def test_doubled_letters_are_decoded():
+    cost = likely("idiot", "hello")
+    for text in ("iiddiioott", "iddiot", "idiott", "(iddiot)"):
+        assert toxicity.restored(text, cost) == ("idiot", True)
+    for text in ("hello", "committee", "she'll", "don't", "word,word"):
+        assert toxicity.restored(text, likely("hello", "committee", "shell")) == (text, False)
+    assert {"=idiot", "=iddiot"} <= toxicity.token_features("iddiot", cost)
+
+
+@pytest.mark.parametrize("text", ["(i d i o t)", '"i d i o t"', "'i.d.i.o.t'", "“i d i o t”", "you(i d i o t)", "_i d i o t_", "i  d  i  o  t", "i, d, i, o, t", "i,d,i,o,t", "i~d~i~o~t", "i|d|i|o|t", "i - d -- i\to\nt"])
+def test_spaced_stretches(text):
+    cost = likely("idiot")
+    assert "=idiot" in {f for t in toxicity.tokens(f"well {text} then") for f in toxicity.token_features(t, cost)}
+
+
+def test_stretches_begin_and_end_with_their_words():
+    assert toxicity.tokens("i don't a b c defg") == {"i", "don't", "a", "b", "c", "defg", "a b c"}
+    assert {"a s s", "a s s, b c"} <= toxicity.tokens("a s s, b c")
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = c.odd_documents(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
