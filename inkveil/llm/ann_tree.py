@@ -6,6 +6,7 @@ Equal vectors are one index row with their k + 1 smallest ids (no query can need
 per chunk first, so a vector that a third of all rows share is no hot row. A query's vector walks the tree with a
 priority queue: nearest bins first, leaf after leaf. How many leaves are visited is calibrated: for `probes` query vectors
 the exact neighbours are found in one scan of all rows, and the visits widen until `recall` of them lie in visited leaves.
+A query whose leaves hold fewer than k + 1 ids goes on to further ones.
 Visits meet the leaves' vectors in cogroups of at most `block` distinct vectors; partial results merge by query vector.
 Distances are computed exactly, in double precision on the original vectors.
 
@@ -92,12 +93,15 @@ def assign(tree: Tree, x: np.ndarray) -> np.ndarray:
     return leaf
 
 
-def best_bins(tree: Tree, x: np.ndarray, visits: int) -> list[int]:
-    """Leaves in the order of best-bin-first search: the nearest waiting bin's own branch is followed to a leaf each time."""
+def best_bins(tree: Tree, x: np.ndarray, visits: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """Leaves in the order of best-bin-first search: the nearest waiting bin's own branch is followed to a leaf each time.
+
+    With `held`, the ids in each leaf, beyond `visits` until those visited hold `least` ids.
+    """
     if not tree.centers:
         return [0]
-    queue, out = [(0.0, 0)], []
-    while queue and len(out) < visits:
+    queue, out, ids = [(0.0, 0)], [], 0
+    while queue and (len(out) < visits or (held is not None and ids < least)):
         _, node = heapq.heappop(queue)
         while node >= 0:
             far = ((tree.centers[node] - x) ** 2).sum(1)
@@ -106,6 +110,7 @@ def best_bins(tree: Tree, x: np.ndarray, visits: int) -> list[int]:
                 heapq.heappush(queue, (float(far[c]), int(tree.children[node][c])))
             node = int(tree.children[node][order[0]])
         out.append(-1 - node)
+        ids += 0 if held is None else int(held[-1 - node])
     return out
 
 
@@ -169,6 +174,9 @@ class Searcher:
         self.tree = fit(points, max(8, int(leaf_rows / share)))
         self.sent = spark.sparkContext.broadcast(self.tree)
         self.index = stash(self._index(), "ann-index")
+        self.held = np.zeros(self.tree.leaves, np.int64)  # ids in each leaf, up to k + 1 of a vector
+        for r in self.index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():
+            self.held[r["leaf"]] = r["n"]
         self.probes = probes
 
     def _index(self) -> DataFrame:
@@ -234,14 +242,15 @@ class Searcher:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, rank, vec_id, score) for query rows (vec_id, embedding)."""
-        sent, width, k, block = self.sent, self.width, self.k, self.block
+        width, k, block = self.width, self.k, self.block
+        sent = queries.sparkSession.sparkContext.broadcast((self.tree, self.held))
         keys = stash(self.keys(queries), "ann-queries")
         visits = self.visits = self.calibrate(keys)
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 vectors = b.column("vector").to_pylist()
-                leaves = [best_bins(sent.value, np.frombuffer(v), visits) for v in vectors]
+                leaves = [best_bins(sent.value[0], np.frombuffer(v), visits, sent.value[1], k + 1) for v in vectors]
                 yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], ["vector", "leaves"])
 
         walked = keys.select("vector").distinct().mapInArrow(walk, "vector binary, leaves array<long>").select("vector", F.explode("leaves").alias("leaf"))

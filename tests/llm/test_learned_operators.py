@@ -1,5 +1,7 @@
 """Toxicity by held-out accuracy, nearest neighbours by recall, the pipeline against its stages' brute force."""
 
+import collections
+
 import common as c
 import numpy as np
 import pytest
@@ -124,6 +126,15 @@ def test_nearest_neighbours(spark, vectors):
     assert not got and np.mean(hits) >= 0.9
 
 
+def test_outliers_have_k_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(1200, 4)), 1000 * rng.normal(size=(60, 4))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    searcher = ann_tree.Searcher(table, leaf_rows=32, recall=0.5, probes=4)
+    found = collections.Counter(r["query_id"] for r in searcher.search(table).collect())
+    assert searcher.visits < searcher.tree.leaves and found == dict.fromkeys(range(len(x)), 10)
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.0]), (5, [3.0, 4.0])], "vec_id long, embedding array<double>")
     assert c.rows(ann_tree.Searcher(few).search(few.where("vec_id % 100 = 0")), "query_id", "rank", "vec_id") == [(0, 1, 100), (0, 2, 5), (100, 1, 0), (100, 2, 5)]
