@@ -10,8 +10,8 @@ A query whose leaves hold fewer than k + 1 ids goes on to further ones.
 Visits meet the leaves' vectors in cogroups of at most `block` distinct vectors; partial results merge by query vector.
 Distances are computed exactly, in double precision on the original vectors.
 
-Defined results. Vectors that are null, zero, or hold null or non-finite components, or whose length isn't the first one's, and
-rows without vec_id take no part. Repeated vec_ids are one id: a query gives its rows once for each of its vectors; an id is
+Defined results. Vectors that are null, zero, or hold null or non-finite components, or whose length isn't the table's most frequent
+one (of equally frequent ones the smallest), and rows without vec_id take no part. Repeated vec_ids are one id: a query gives its rows once for each of its vectors; an id is
 listed once per vector. Fewer candidates than k: all of them. Empty table: no rows. Extra columns are ignored.
 """
 
@@ -166,9 +166,11 @@ class Searcher:
     def __init__(self, table: DataFrame, k: int = 10, sample: int = 20_000, leaf_rows: int = 256, recall: float = 0.97, probes: int = 64, block: int = 4096):
         self.table, self.k, self.recall, self.block = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), k, recall, block
         spark = table.sparkSession
-        some = self.table.where("embedding IS NOT NULL AND size(embedding) > 0 AND vec_id IS NOT NULL").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+        usable = self.table.where("embedding IS NOT NULL AND size(embedding) > 0 AND vec_id IS NOT NULL")
+        common = usable.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
+        self.width = common["width"] if common else 1
+        some = usable.where(F.size("embedding") == self.width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
         drawn = [r["embedding"] for r in some.select("embedding").collect()]
-        self.width = len(drawn[0]) if drawn else 1
         _, points = matrix(pa.array(drawn, pa.list_(pa.float64())), self.width)
         share = max(self.table.count(), 1) / max(len(drawn), 1)
         self.tree = fit(points, max(8, int(leaf_rows / share)))

@@ -5,6 +5,7 @@ import collections
 import common as c
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkveil.llm import ann_tree, toxicity
@@ -135,6 +136,15 @@ def test_outliers_have_k_neighbours(spark):
     assert searcher.visits < searcher.tree.leaves and found == dict.fromkeys(range(len(x)), 10)
 
 
+def test_the_most_frequent_length_is_valid(spark):
+    rows = [(i, [float(i), 1.0] if i % 3 else [1.0] * (3 + i)) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for first in (0, 3, 6, 9):  # some malformed row is the first by hash
+        some = table.where(F.col("vec_id").isin([first, first + 1, first + 2]))
+        assert ann_tree.Searcher(some).width == 2
+    assert {r["query_id"] for r in ann_tree.Searcher(table).search(table).collect()} == {i for i in range(30) if i % 3}
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.0]), (5, [3.0, 4.0])], "vec_id long, embedding array<double>")
     assert c.rows(ann_tree.Searcher(few).search(few.where("vec_id % 100 = 0")), "query_id", "rank", "vec_id") == [(0, 1, 100), (0, 2, 5), (100, 1, 0), (100, 2, 5)]
