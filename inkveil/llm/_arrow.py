@@ -37,7 +37,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def release() -> None:
-    """Gives freed memory back to the system, as workers live on after their task. Only glibc has the call."""
+    """Gives freed memory back to the system, as workers live on after their task. Only glibc has the second call."""
+    pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)

@@ -15,6 +15,7 @@ text.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -25,16 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import chunks
+from ._arrow import chunks, release
+from ._parts import PART_CHUNK, PartIds, rows
 from ._shared import stash
 
-CACHED_WORDS = 600_000
+# Parts whose number of words for the tokenizer is certain: runs of Latin letters, single digits, runs of marks, line ends.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!\"#$%&()*+,\-./:;=?@\[\]^_{}~"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9{_MARKS}\n]*[{_LETTERS}0-9{_MARKS}]")
+_WORDS = re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 
 
-class WordIds(dict):
-    """Little-endian uint32 ids of what stands between two spaces, encoded once per worker.
+class WordIds(PartIds):
+    """Ids of what stands between two spaces: the tokenizer drops white space and never joins over a space.
 
-    The tokenizer drops white space and never joins over a space, so a text's ids are those of its parts in order.
+    Plain parts are encoded in a row; a part has as many word ends as it has words, which tells them apart.
     """
 
     def __init__(self, path: str):
@@ -43,15 +48,36 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = list({p for own in parts for p in own if p not in self})
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, own)) for own in parts]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(self.tokenizer.model.end_of_word_suffix or "")]] = True
+        super().__init__(self._ids)
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _ids(self, parts: list[str], together: int = 512) -> list[bytes]:
+        out: list = [None] * len(parts)
+        plain = [i for i, p in enumerate(parts) if _PLAIN.fullmatch(p)]
+        groups = [plain[k : k + together] for k in range(0, len(plain), together)]
+        texts = [" ".join([parts[i] for i in g]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            words = np.cumsum([1 if parts[i].isalpha() else len(_WORDS.findall(parts[i])) for i in g])
+            if len(stops) != words[-1] or stops[-1] != len(ids):
+                continue
+            raw, start = ids.tobytes(), 0
+            for i, stop in zip(g, (4 * stops[words - 1]).tolist(), strict=True):
+                out[i], start = raw[start:stop], stop
+        left = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(left, self._each([parts[i] for i in left]), strict=True):
+            out[i] = v
+        return out
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and end."""
+        return rows(texts.fill_null(""), self)
 
 
 _CODERS: dict[str, WordIds] = {}
@@ -95,23 +121,32 @@ def pack_partitions(docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = coder(tokenizer), np.array([end_id], "<u4").tobytes()
-        part, rows, kept = 0, [], []
-        for batch in chunks(batches):
+        part, found, kept = 0, [], []
+        for batch in chunks(batches, limit=PART_CHUNK):
             part = batch.column("part")[0].as_py()
-            texts = batch.column("text").fill_null("").to_pylist()
-            for doc, own in zip(batch.column("doc_id").to_pylist(), words.encode(texts), strict=True):
-                own += end
-                for piece, at in enumerate(range(0, len(own) // 4, capacity)):
-                    cut = own[4 * at : 4 * (at + capacity)]
-                    rows.append((doc, piece, at, len(cut) // 4, zlib.crc32(cut)))
-                    if ids:
-                        kept.append(cut)
-        if not rows:
+            coded, bounds = words.texts(batch.column("text"))
+            n = np.diff(bounds) + 1
+            pieces = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(n[row] - start, capacity)
+            raw = memoryview(coded).cast("B") if len(coded) else memoryview(b"")
+            first = bounds[:-1][row] + start
+            last = start + length == n[row]
+            crc = np.empty(len(row), np.int64)
+            for i, (a, b, ended) in enumerate(zip((4 * first).tolist(), (4 * (first + length - last)).tolist(), last.tolist(), strict=True)):
+                crc[i] = zlib.crc32(end, zlib.crc32(raw[a:b])) if ended else zlib.crc32(raw[a:b])
+                if ids:
+                    kept.append(bytes(raw[a:b]) + (end if ended else b""))
+            found.append((batch.column("doc_id").cast(pa.int64()).take(pa.array(row)), piece.astype(np.int32), start, length, crc))
+        release()
+        if not found:
             return
-        doc, piece, start, length, crc = zip(*rows, strict=True)
-        bins, at, fill = best_fit(np.array(length, np.int64), capacity)
-        out = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-        out += [pa.array(bins + (part << 33)), pa.array(at), pa.array(fill[bins])] + ([pa.array(kept, pa.binary())] if ids else [])
+        doc = pa.concat_arrays([f[0] for f in found])
+        piece, start, length, crc = (np.concatenate([f[k] for f in found]) for k in range(1, 5))
+        bins, at, fill = best_fit(length, capacity)
+        out = [doc, *map(pa.array, (piece, start, length, crc, bins + (part << 33), at, fill[bins]))] + ([pa.array(kept, pa.binary())] if ids else [])
         names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * ids
         table = pa.RecordBatch.from_arrays(out, names)
         for k in range(0, table.num_rows, 10_000):
