@@ -29,11 +29,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import Words, chunks, mix
+from ._arrow import Words, chunks, mix, release
 from ._components import components
 from ._shared import stash
 
@@ -78,33 +79,83 @@ def _firsts(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, doc: np.ndarray) -> n
     return np.sort(order[new & (n[order] > 0)])
 
 
-SUMMARY = "doc_id long, n long, s1 long, s2 long, token long, times long"
+SUMMARY = "doc_id long, n long, s1 long, s2 long, shard int, cells binary"
+FREQUENT = "doc_id long, n long, s1 long, s2 long, cell long, times long"
+CELL_BITS, HELD_TOKENS = 24, 4 << 20
 
 
-def summaries(docs: DataFrame, k: int) -> DataFrame:
-    """A row (doc_id, n, s1, s2) of each document, and rows (token, times) of tokens that several sets of a chunk have."""
+def cells(h: np.ndarray, shards: int) -> np.ndarray:
+    """The counter of each token: shard, then place in it. Tokens that share one are counted together, so a count is never too small."""
+    return ((h >> _U(32)) % _U(shards)) << _U(CELL_BITS) | (h & _U((1 << CELL_BITS) - 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _gaps(place: np.ndarray) -> bytes:
+    """Sorted places as the gaps between them, two bytes each where that does."""
+    gap = np.diff(place, prepend=0)
+    return gap.astype(np.uint16 if not len(gap) or gap.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _shard_rows(tokens: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    at = np.sort(cells(np.concatenate(tokens), shards))
+    shard = (at >> _U(CELL_BITS)).astype(np.int64)
+    edge = np.searchsorted(shard, np.arange(shards + 1))
+    own = np.flatnonzero(np.diff(edge))
+    place = (at & _U((1 << CELL_BITS) - 1)).astype(np.int64)
+    packed = [(b"\x02" if len(g := _gaps(place[a:b])) == 2 * (b - a) else b"\x04") + g for a, b in zip(edge[own].tolist(), edge[own + 1].tolist(), strict=True)]
+    none = pa.nulls(len(own), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], [x.split()[0] for x in SUMMARY.split(", ")])
+
+
+def summaries(docs: DataFrame, k: int, shards: int, least: int) -> DataFrame:
+    """A row (doc_id, n, s1, s2) of each document, and a row (cell, times) of each counter that `least` sets or more meet in.
+
+    Every token of every set is counted, but for sets that their chunk of rows has already: a task sends the sorted counters of
+    about 4 million tokens at a time, two bytes a token, and those of one shard are merged by one task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, held = [], 0
         for batch in chunks(batches):
             row, h = shingle_sets(batch.column("text"), k)
             n, s1, s2 = _signatures(row, h, batch.num_rows)
-            size, none = batch.num_rows, pa.nulls
+            size = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), none(size, pa.int64()), none(size, pa.int64())],
+                [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
                 [x.split()[0] for x in SUMMARY.split(", ")],
             )
             one = np.zeros(size, bool)
             one[_firsts(n, s1, s2, np.arange(size))] = True
-            tokens = np.sort(h[one[row]])
-            edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, np.int64)
+            tokens.append(h[one[row]])
+            held += len(tokens[-1])
+            if held >= HELD_TOKENS:
+                yield _shard_rows(tokens, shards)
+                tokens, held = [], 0
+        if held:
+            yield _shard_rows(tokens, shards)
+        release()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, met = [x.split()[0] for x in FREQUENT.split(", ")], {}
+        for batch in batches:
+            ours = batch.column("shard").is_valid()
+            rows = batch.filter(pc.invert(ours))
+            none = pa.nulls(rows.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "n", "s1", "s2")), none, none], names)
+            counted = batch.filter(ours)
+            for shard, raw in zip(counted.column("shard").to_pylist(), counted.column("cells"), strict=True):
+                raw = memoryview(raw.as_buffer())
+                gaps = np.frombuffer(raw[1:], np.uint16 if raw[0] == 2 else np.uint32)
+                met.setdefault(shard, []).append(np.cumsum(gaps, dtype=np.uint32))
+        for shard, places in met.items():
+            place = np.sort(np.concatenate(places))
+            edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
             times = np.diff(edge)
-            often = np.flatnonzero(times > 1)
-            m = len(often)
-            yield pa.RecordBatch.from_arrays(
-                [*[none(m, pa.int64())] * 4, pa.array(tokens[edge[often]].view(np.int64)), pa.array(times[often])], [x.split()[0] for x in SUMMARY.split(", ")]
-            )
+            often = np.flatnonzero(times >= least)
+            none = pa.nulls(len(often), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(place[edge[often]].astype(np.int64) | shard << CELL_BITS), pa.array(times[often].astype(np.int64))], names)
+        release()
 
-    return docs.mapInArrow(run, SUMMARY)
+    return docs.mapInArrow(count, SUMMARY).repartition(F.coalesce(F.col("shard").cast("long"), F.xxhash64("doc_id"))).mapInArrow(merge, FREQUENT)
 
 
 def matches_needed(n: np.ndarray, cost: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -114,22 +165,24 @@ def matches_needed(n: np.ndarray, cost: np.ndarray, least: np.ndarray) -> np.nda
 
 
 class Order(NamedTuple):
-    """Frequent tokens, sorted, and their weights."""
+    """The counters of frequent tokens, sorted, with their counts, and the number of shards."""
 
     tokens: np.ndarray
     weights: np.ndarray
+    shards: int
 
 
 def ordered(row: np.ndarray, h: np.ndarray, rows: int, percent: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of each row in global order, each one's place in its row, and each row's size, least overlap and l."""
+    at = cells(h, order.shards)
     maybe = np.zeros(1 << 22, bool)
     low = _U((1 << 22) - 1)
     maybe[(order.tokens & low).astype(np.int64)] = True
     weight = np.zeros(len(h), np.int64)
-    look = np.flatnonzero(maybe[(h & low).astype(np.int64)])
+    look = np.flatnonzero(maybe[(at & low).astype(np.int64)])
     if len(look):
-        at = np.minimum(np.searchsorted(order.tokens, h[look]), len(order.tokens) - 1)
-        weight[look] = np.where(order.tokens[at] == h[look], order.weights[at], 0)
+        found = np.minimum(np.searchsorted(order.tokens, at[look]), len(order.tokens) - 1)
+        weight[look] = np.where(order.tokens[found] == at[look], order.weights[found], 0)
     by = np.argsort(row.astype(np.int64) * (1 << 40) + np.minimum(weight, (1 << 40) - 1), kind="stable")
     h, weight = h[by], weight[by]
     n = np.bincount(row, minlength=rows)
@@ -275,20 +328,22 @@ def _pivot_pairs(mixed: DataFrame, turn: int, percent: int, pivots: int = 4) ->
     return _sides(met, "pivot").where(_candidate(percent)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, hot_tokens: int = 1 << 17, max_copies: int = 1 << 20, crossing_share: float = 64.0) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, hot_tokens: int = 1 << 19, max_copies: int = 1 << 20, crossing_share: float = 64.0) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summary = stash(summaries(docs, k), "summary")
-    hot = summary.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where("times >= 4").orderBy(F.desc("times"), "token").limit(hot_tokens).collect()
-    tokens = np.array([r["token"] for r in hot], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
+    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summary = stash(summaries(docs, k, shards, 4), "summary")
+    hot = summary.where("cell IS NOT NULL").select("cell", "times").orderBy(F.desc("times"), "cell").limit(hot_tokens).orderBy("cell").toArrow()
     # Equal sets are one class, linked to its smallest document.
     rows = summary.where("n IS NOT NULL").select("doc_id", "n", "s1", "s2")
-    heads = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    copies = rows.join(heads.where("copies > 1"), ["n", "s1", "s2"]).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    heads = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where("copies > 1")
+    heads = stash(heads, "heads")
+    few = _few(heads, max_copies // 4)  # a set that a third of all documents have is no hot key then
+    copies = rows.join(F.broadcast(heads) if few else heads, ["n", "s1", "s2"]).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     copies = stash(copies.distinct(), "copies")
     single = docs.join(F.broadcast(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti") if _few(copies, max_copies) else docs
-    sent = docs.sparkSession.sparkContext.broadcast(Order(tokens[order], np.array([r["times"] for r in hot], np.int64)[order]))
+    order = Order(hot["cell"].to_numpy().view(np.uint64), hot["times"].to_numpy(), shards)
+    sent = docs.sparkSession.sparkContext.broadcast(order)
 
     by_token = Window.partitionBy("token")
     entry = F.struct("doc_id", "n", "early")
