@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20  # a worker holds about 100 bytes for each byte of a chunk
 
 _U = np.uint64
 _BYTE_MULT, _WORD_MULT, _SPAN_MULT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F

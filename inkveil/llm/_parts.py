@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_PARTS = 300_000
-PART_CHUNK = 4 << 20  # bytes of text at a time: a part that occurs twice in it is looked up once
+KEPT_PARTS = 200_000
+PART_CHUNK = 1 << 20  # bytes of text at a time: a part that occurs twice in it is looked up once
 
 
 class PartIds:

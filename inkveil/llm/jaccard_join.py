@@ -81,7 +81,7 @@ def _firsts(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, doc: np.ndarray) -> n
 
 SUMMARY = "doc_id long, n long, s1 long, s2 long, shard int, cells binary"
 FREQUENT = "doc_id long, n long, s1 long, s2 long, cell long, times long"
-CELL_BITS, HELD_TOKENS = 24, 4 << 20
+CELL_BITS, HELD_TOKENS = 24, 2 << 20
 
 
 def cells(h: np.ndarray, shards: int) -> np.ndarray:
@@ -90,9 +90,17 @@ def cells(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _gaps(place: np.ndarray) -> bytes:
-    """Sorted places as the gaps between them, two bytes each where that does."""
-    gap = np.diff(place, prepend=0)
-    return gap.astype(np.uint16 if not len(gap) or gap.max() < 1 << 16 else np.uint32).tobytes()
+    """Sorted places as the gaps between them, two bytes each or three; the first byte says which."""
+    gap = np.diff(place, prepend=0).astype("<u4")
+    size = 2 if gap.max() < 1 << 16 else 3
+    return bytes([size]) + gap.view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
+
+
+def _places(raw: memoryview) -> np.ndarray:
+    size = raw[0]
+    gap = np.zeros(((len(raw) - 1) // size, 4), np.uint8)
+    gap[:, :size] = np.frombuffer(raw[1:], np.uint8).reshape(-1, size)
+    return np.cumsum(gap.view("<u4")[:, 0], dtype=np.uint32)
 
 
 def _shard_rows(tokens: list[np.ndarray], shards: int) -> pa.RecordBatch:
@@ -101,7 +109,7 @@ def _shard_rows(tokens: list[np.ndarray], shards: int) -> pa.RecordBatch:
     edge = np.searchsorted(shard, np.arange(shards + 1))
     own = np.flatnonzero(np.diff(edge))
     place = (at & _U((1 << CELL_BITS) - 1)).astype(np.int64)
-    packed = [(b"\x02" if len(g := _gaps(place[a:b])) == 2 * (b - a) else b"\x04") + g for a, b in zip(edge[own].tolist(), edge[own + 1].tolist(), strict=True)]
+    packed = [_gaps(place[a:b]) for a, b in zip(edge[own].tolist(), edge[own + 1].tolist(), strict=True)]
     none = pa.nulls(len(own), pa.int64())
     return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], [x.split()[0] for x in SUMMARY.split(", ")])
 
@@ -110,7 +118,7 @@ def summaries(docs: DataFrame, k: int, shards: int, least: int) -> DataFrame:
     """A row (doc_id, n, s1, s2) of each document, and a row (cell, times) of each counter that `least` sets or more meet in.
 
     Every token of every set is counted, but for sets that their chunk of rows has already: a task sends the sorted counters of
-    about 4 million tokens at a time, two bytes a token, and those of one shard are merged by one task.
+    about 2 million tokens at a time, two or three bytes a token, and those of one shard are merged by one task.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +151,7 @@ def summaries(docs: DataFrame, k: int, shards: int, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "n", "s1", "s2")), none, none], names)
             counted = batch.filter(ours)
             for shard, raw in zip(counted.column("shard").to_pylist(), counted.column("cells"), strict=True):
-                raw = memoryview(raw.as_buffer())
-                gaps = np.frombuffer(raw[1:], np.uint16 if raw[0] == 2 else np.uint32)
-                met.setdefault(shard, []).append(np.cumsum(gaps, dtype=np.uint32))
+                met.setdefault(shard, []).append(_places(memoryview(raw.as_buffer())))
         for shard, places in met.items():
             place = np.sort(np.concatenate(places))
             edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
@@ -368,6 +374,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, hot_tokens:
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & F.col("b_early") & (F.col("a") < F.col("b")))
     across = left.where("a_early").join(right, "token").where(smaller & (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("a_component") != F.col("b_component")))
     rest = verified(across, docs, k, percent, sent)
+    sent.destroy()
 
     found = components(links.unionByName(rest).unionByName(copies))
     out = rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
