@@ -27,51 +27,105 @@ HYBRID = [
 ]
 
 
+_DIGITS = r"[0-9](?:[-.\s()]*[0-9]){6}"
+#: What a text must have for a pattern (and its check) to match at all; cheaper than the pattern.
+GATES = {
+    c.EMAIL: lambda x: F.contains(x, F.lit("@")),
+    c.PHONE: lambda x: x.rlike(_DIGITS),
+    c.CARD: lambda x: x.rlike(_DIGITS),
+    c.STRICT_PHONE: lambda x: x.rlike(_DIGITS),
+    c.STRICT_CARD: lambda x: x.rlike(_DIGITS),
+    c.IPV4: lambda x: x.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"),
+    c.ACCOUNT_ID: lambda x: x.rlike(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{11}|[Aa][Cc][Cc]-"),
+    c.STRICT_ACCOUNT_ID: lambda x: x.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}|ACC-"),
+    c.PERSON_NAME: lambda x: F.contains(x, F.lit("Mr")) | F.contains(x, F.lit("Ms")) | F.contains(x, F.lit("Dr")) | F.contains(x, F.lit("Prof")),
+    c.ADDRESS: lambda x: x.rlike(r"[0-9]\s+[A-Za-z][a-z]+\s+[SARBDL]"),
+}
+SPAN = "struct<category:string,start:bigint,end:bigint,value:string,confidence:double>"
+
+
+def checked(text: Column, pattern: str, check=None) -> Column:
+    """The spans of a pattern whose values pass the check; texts that cannot have any are not searched."""
+    own = t.spans(text, pattern)
+    if check:
+        own = F.filter(own, lambda s: check(s["value"]))
+    gate = GATES.get(pattern) if check or pattern not in (c.PHONE, c.STRICT_PHONE) else None
+    return F.when(gate(text), own).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")) if gate else own
+
+
 def spans_of(df: DataFrame, key: str, text: str, pattern: str, check=None) -> DataFrame:
-    """(key, start, end, value) of one pattern. Texts without a match are dropped before anything is exploded."""
-    found = df.where(F.col(text).rlike(c.java(pattern))).select(key, F.explode(t.spans(F.col(text), pattern)).alias("s"))
-    out = found.select(key, F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.value").alias("value"))
-    return out.where(check(F.col("value"))) if check else out
+    """(key, start, end, value) of one pattern."""
+    return df.select(key, F.explode(checked(F.col(text), pattern, check)).alias("s")).select(key, "s.start", "s.end", "s.value")
 
 
 def category_counts(text: Column) -> list[Column]:
     """Counts of e-mail addresses, phone numbers and valid cards; never a value."""
+
+    def gated(pattern: str, found: Column) -> Column:
+        return F.when(GATES[pattern](text), found).otherwise(F.lit(0)).cast("long")
+
     cards = F.filter(t.matches(text, c.CARD), t.luhn)
     return [
-        F.size(t.matches(text, c.EMAIL)).cast("long").alias("email"),
+        gated(c.EMAIL, F.size(t.matches(text, c.EMAIL))).alias("email"),
         F.size(t.matches(text, c.PHONE)).cast("long").alias("phone"),
-        F.size(cards).cast("long").alias("payment_card"),
+        gated(c.CARD, F.size(cards)).alias("payment_card"),
     ]
 
 
-def core_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, category, start, end, value, confidence) of the six core patterns, one scan of the text for each."""
-    out = None
+def _found(text: Column, category: str, pattern: str, check, confidence: Column) -> Column:
+    def named(s: Column) -> Column:
+        return F.struct(F.lit(category).alias("category"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), confidence.alias("confidence"))
+
+    return F.transform(checked(text, pattern, check), named)
+
+
+def core_found(text: Column) -> Column:
+    """All spans of the six core patterns as one array, so a text is read once."""
+    parts = []
     for category, pattern, check, evidence in CORE:
-        one = spans_of(df, key, text, pattern, check).withColumn("category", F.lit(category))
-        one = one.withColumn("confidence", t.confidence(F.col("category"), F.array(*map(F.lit, ["PATTERN", *evidence]))))
-        out = one if out is None else out.unionByName(one)
-    return out.select(key, "category", "start", "end", "value", "confidence")
+        parts.append(_found(text, category, pattern, check, t.confidence(F.lit(category), F.array(*map(F.lit, ["PATTERN", *evidence])))))
+    return F.concat(*parts).cast(f"array<{SPAN}>")
+
+
+def hybrid_found(text: Column) -> Column:
+    """All spans of the strict patterns as one array."""
+    return F.concat(*[_found(text, category, pattern, check, F.lit(score)) for category, pattern, check, score in HYBRID]).cast(f"array<{SPAN}>")
+
 
+def exploded(df: DataFrame, keys: list[str], found: Column) -> DataFrame:
+    return df.select(*keys, F.explode(found).alias("s")).select(*keys, "s.*")
 
-def hybrid_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    out = None
-    for category, pattern, check, score in HYBRID:
-        one = spans_of(df, key, text, pattern, check).select(key, F.lit(category).alias("category"), "start", "end", "value", F.lit(score).alias("confidence"))
-        out = one if out is None else out.unionByName(one)
-    return out
 
+def core_spans(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, category, start, end, value, confidence) of the six core patterns, by one scan."""
+    return exploded(df, [*keys], core_found(F.col(text)))
 
-def overlapping(a: str, b: str) -> Column:
-    return F.greatest(F.col(f"{a}.start"), F.col(f"{b}.start")) < F.least(F.col(f"{a}.end"), F.col(f"{b}.end"))
 
+def hybrid_spans(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """The same of the strict patterns."""
+    return exploded(df, [*keys], hybrid_found(F.col(text)))
 
-def dominant(found: DataFrame, key: str) -> DataFrame:
-    """Without spans that a card or account span overlaps; those themselves stay. Joined within a document only."""
-    strong = found.where(F.col("category").isin("payment_card", "account_identifier")).select(key, "start", "end")
-    weak = found.where(~F.col("category").isin("payment_card", "account_identifier"))
-    left = weak.alias("m").join(strong.alias("d"), (F.col(f"m.{key}") == F.col(f"d.{key}")) & overlapping("m", "d"), "left_anti")
-    return left.unionByName(found.where(F.col("category").isin("payment_card", "account_identifier")))
+
+def overlapping(a: Column, b: Column) -> Column:
+    return F.greatest(a["start"], b["start"]) < F.least(a["end"], b["end"])
+
+
+def dominant(found: Column) -> Column:
+    """The spans of one text without those that a card or account span overlaps; those themselves stay."""
+
+    def strong(s: Column) -> Column:
+        return s["category"].isin("payment_card", "account_identifier")
+
+    def keep(own: Column) -> Column:
+        return t.let(F.filter(own, strong), lambda over: F.filter(own, lambda m: strong(m) | ~F.exists(over, lambda d: overlapping(m, d))))
+
+    return t.let(found, keep)
+
+
+def both_sources(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, category, start, end, value, confidence, source) of core and strict patterns, by one scan."""
+    found = F.array(*[F.struct(F.lit(name).alias("source"), own.alias("own")) for name, own in (("core", core_found(F.col(text))), ("strict", hybrid_found(F.col(text))))])
+    return df.select(key, F.inline(found)).select(key, "source", F.explode("own").alias("s")).select(key, "s.*", "source")
 
 
 def exact_merge(found: DataFrame, key: str) -> DataFrame:
@@ -89,13 +143,15 @@ def labelled_spans(df: DataFrame, key: str, text: str, pattern: str) -> DataFram
     return found.select(key, (F.col("end") - F.length(value)).alias("start"), "end", value.alias("value"))
 
 
-def disjoint(found: DataFrame, key: str) -> DataFrame:
-    """One span for each run of overlapping ones: the first start, the last end, the category of the first (longest first)."""
-    from pyspark.sql import Window
+def disjoint(found: Column) -> Column:
+    """One (start, end, category) for each run of overlapping spans of a text: the first start, the last end, the category of the first (longest first)."""
+    order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["category"].alias("category"))))
+
+    def step(done: Column, s: Column) -> Column:
+        last, end = F.try_element_at(done, F.lit(-1)), -s["back"]
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), last["category"].alias("category"))
+        new = F.struct(s["start"].alias("start"), end.alias("end"), s["category"].alias("category"))
+        meets = (F.size(done) > 0) & (s["start"] < last["end"])
+        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.array_append(done, new))
 
-    order = Window.partitionBy(key).orderBy("start", F.desc("end"), "category")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order)
-    marked = found.withColumn("reach", reach).withColumn("island", island)
-    head = F.min_by("category", F.struct(F.col("start"), -F.col("end"), F.col("category")))
-    return marked.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), head.alias("category")).drop("island")
+    return F.aggregate(order, F.array().cast("array<struct<start:bigint,end:bigint,category:string>>"), step)

@@ -13,22 +13,29 @@ def replacement(decision: Column, token: Column, value: Column) -> Column:
     return F.when(decision == "ALLOW", value).when(decision == "TOKENIZE", F.concat(F.lit("{{"), token, F.lit("}}"))).when(decision == "LOCAL_ONLY", "[LOCAL_ONLY_PROTECTED]").otherwise("[REDACTED]")
 
 
-def redact(docs: DataFrame, spans: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with `sanitized` and counts. spans: disjoint (key, start, end, decision, token); rows of a document are gathered by its key."""
-    per = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "decision", "token"))).alias("spans"))
-    body = F.coalesce(F.col(text), F.lit(""))
+def rewritten(text: Column, spans: Column) -> Column:
+    """The text with its disjoint spans (start, end, decision, token; in order) replaced."""
+    body = F.coalesce(text, F.lit(""))
 
     def step(a: Column, s: Column) -> Column:
         before = F.substr(body, a["at"] + 1, s["start"] - a["at"])
         value = F.substr(body, s["start"] + 1, s["end"] - s["start"])
         return F.struct(F.concat(a["out"], before, replacement(s["decision"], s["token"], value)).alias("out"), s["end"].alias("at"))
 
-    spans_ = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint,decision:string,token:string>>"))
-    done = F.aggregate(spans_, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.substr(body, a["at"] + 1)))
-    allowed = F.size(F.filter(spans_, lambda s: s["decision"] == "ALLOW"))
-    return docs.join(per, key, "left").select(
-        *docs.columns, done.alias("sanitized"), (F.size(spans_) - allowed).cast("long").alias("redacted"), allowed.cast("long").alias("allowed")
-    )
+    return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.substr(body, a["at"] + 1)))
+
+
+def counted(spans: Column) -> list[Column]:
+    """How many spans were replaced, and how many left."""
+    allowed = F.size(F.filter(spans, lambda s: s["decision"] == "ALLOW"))
+    return [(F.size(spans) - allowed).cast("long").alias("redacted"), allowed.cast("long").alias("allowed")]
+
+
+def redact(docs: DataFrame, spans: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """docs with `sanitized` and counts, by spans of elsewhere: disjoint (key, start, end, decision, token), gathered by their document's key."""
+    per = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "decision", "token"))).alias("spans"))
+    own = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint,decision:string,token:string>>"))
+    return docs.join(per, key, "left").select(*docs.columns, rewritten(F.col(text), own).alias("sanitized"), *counted(own))
 
 
 def scrub_secrets(text: Column) -> Column:
@@ -41,9 +48,9 @@ def scrub_contacts(text: Column) -> Column:
     return F.regexp_replace(text, c.java(c.EMAIL), "[EMAIL_REDACTED]")
 
 
-def leaks(outputs: DataFrame, sentinels: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, sentinel) of outputs that still hold a sentinel value of the same key; sentinels: (key, value)."""
-    return outputs.join(sentinels, key).where(F.instr(F.col(column), F.col("value")) > 0).select(key, F.col("value").alias("sentinel"))
+def leaks(output: Column, sentinels: Column) -> Column:
+    """The sentinel values that an output still holds."""
+    return F.filter(F.array_distinct(sentinels), lambda v: F.instr(output, v) > 0)
 
 
 def payload_errors(json: Column) -> Column:

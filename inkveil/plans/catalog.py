@@ -74,14 +74,12 @@ def doc_core_spans(spark, sf):
 
 @query
 def doc_dominant_spans(spark, sf):
-    return d.dominant(d.core_spans(table(spark, sf, "documents"), "doc_id").drop("value"), "doc_id")
+    return d.exploded(table(spark, sf, "documents"), ["doc_id"], d.dominant(d.core_found(F.col("text")))).drop("value")
 
 
 @query
 def doc_exact_merge(spark, sf):
-    docs = table(spark, sf, "documents")
-    both = d.core_spans(docs, "doc_id").withColumn("source", F.lit("core")).unionByName(d.hybrid_spans(docs, "doc_id").withColumn("source", F.lit("strict")))
-    return d.exact_merge(both, "doc_id")
+    return d.exact_merge(d.both_sources(table(spark, sf, "documents"), "doc_id"), "doc_id")
 
 
 @query
@@ -91,10 +89,8 @@ def pii_by_category(spark, sf):
 
 @query
 def pii_by_lang_source(spark, sf):
-    docs = table(spark, sf, "documents")
-    found = d.hybrid_spans(docs, "doc_id").select("doc_id", "category")
-    joined = found.join(docs.select("doc_id", "lang", "source"), "doc_id")
-    return joined.groupingSets([["lang", "category"], ["source", "category"], ["category"]], "lang", "source", "category").agg(F.count("*").alias("n"))
+    found = d.hybrid_spans(table(spark, sf, "documents"), "lang", "source").select("lang", "source", "category")
+    return found.groupingSets([["lang", "category"], ["source", "category"], ["category"]], "lang", "source", "category").agg(F.count("*").alias("n"))
 
 
 @query
@@ -163,41 +159,53 @@ POLICY_RELEVANCE = ("REQUIRED", "OPTIONAL", "IRRELEVANT", "UNKNOWN")
 POLICY_DESTINATIONS = ("LOCAL_BROWSER", "REMOTE_REASONING", "REMOTE_SERVICE", "ELSEWHERE")
 
 
-def _redaction_spans(spark, sf):
-    """Disjoint spans of e-mail addresses, cards and IP addresses with a fixed decision for each category."""
-    found = d.hybrid_spans(table(spark, sf, "documents"), "doc_id").where(F.col("category").isin("email", "payment_card", "account_identifier"))
-    one = d.disjoint(found, "doc_id")
-    decision = F.when(F.col("category") == "email", "TOKENIZE").when(F.col("category") == "payment_card", "LOCAL_ONLY").otherwise("REDACT")
-    n = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("start"))
-    return one.withColumn("decision", decision).withColumn("token", F.concat(F.upper("category"), F.lit("_"), n.cast("string")))
+def _redaction_spans(text):
+    """Disjoint spans of e-mail addresses, cards and IP addresses with a fixed decision for each category, numbered within it."""
+    wanted = F.filter(d.hybrid_found(text), lambda s: s["category"].isin("email", "payment_card", "account_identifier"))
+
+    def decided(own):
+        def one(s, i):
+            n = F.size(F.filter(F.slice(own, F.lit(1), i + 1), lambda x: x["category"] == s["category"]))
+            decision = F.when(s["category"] == "email", "TOKENIZE").when(s["category"] == "payment_card", "LOCAL_ONLY").otherwise("REDACT")
+            token = F.concat(F.upper(s["category"]), F.lit("_"), n.cast("string"))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), decision.alias("decision"), token.alias("token"))
+
+        return F.transform(own, one)
+
+    return t.let(d.disjoint(wanted), decided)
 
 
 @query
 def doc_tokenized(spark, sf):
-    return _redaction_spans(spark, sf).where("decision = 'TOKENIZE'").select("doc_id", "start", "end", "token")
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(_redaction_spans(F.col("text"))).alias("s"))
+    return rows.where("s.decision = 'TOKENIZE'").select("doc_id", "s.start", "s.end", "s.token")
+
+
+def _redacted(spark, sf):
+    """Documents with their spans and what is left of their texts: all within the row, so no shuffle."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.posexplode(F.array(_redaction_spans(F.col("text")))).alias("one", "spans"))
+    return docs.select("doc_id", "text", r.rewritten(F.col("text"), F.col("spans")).alias("sanitized"), *r.counted(F.col("spans")))
 
 
 @query
 def doc_redacted_text(spark, sf):
-    done = r.redact(table(spark, sf, "documents").select("doc_id", "text"), _redaction_spans(spark, sf), "doc_id")
-    return done.select("doc_id", F.sha2("sanitized", 256).alias("sanitized_sha256"), "redacted", "allowed")
+    return _redacted(spark, sf).select("doc_id", F.sha2("sanitized", 256).alias("sanitized_sha256"), "redacted", "allowed")
 
 
-def _sentinels(spark, sf):
-    return d.spans_of(table(spark, sf, "documents"), "doc_id", "text", c.EMAIL).select("doc_id", "value").distinct()
+def _sentinels(text):
+    return F.transform(d.checked(text, c.EMAIL), lambda s: s["value"])
 
 
 @query
 def leak_audit(spark, sf):
     """No sanitized text holds an address of its document: no rows."""
-    done = r.redact(table(spark, sf, "documents").select("doc_id", "text"), _redaction_spans(spark, sf), "doc_id")
-    return r.leaks(done, _sentinels(spark, sf), "doc_id", "sanitized")
+    return _redacted(spark, sf).select("doc_id", F.explode(r.leaks(F.col("sanitized"), _sentinels(F.col("text")))).alias("sentinel"))
 
 
 @query
 def leak_audit_control(spark, sf):
     """The same audit of the raw texts finds every address."""
-    return r.leaks(table(spark, sf, "documents"), _sentinels(spark, sf), "doc_id", "text")
+    return table(spark, sf, "documents").select("doc_id", F.explode(r.leaks(F.col("text"), _sentinels(F.col("text")))).alias("sentinel"))
 
 
 @query
@@ -213,8 +221,8 @@ def payload_audit(spark, sf):
 
 @query
 def pii_vs_labels(spark, sf):
-    n = d.hybrid_spans(table(spark, sf, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    docs = table(spark, sf, "documents").select("doc_id").join(n, "doc_id", "left").join(table(spark, sf, "labels"), "doc_id", "left")
+    n = F.size(d.hybrid_found(F.col("text")))
+    docs = table(spark, sf, "documents").select("doc_id", F.nullif(n, F.lit(0)).alias("n")).join(table(spark, sf, "labels"), "doc_id", "left")
     return docs.groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.sum(F.coalesce("n", F.lit(0))).alias("spans"), F.count("n").alias("docs_with_spans"))
 
 

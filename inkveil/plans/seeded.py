@@ -177,10 +177,7 @@ def doc_entities(spark, sf):
 @query
 def doc_merged_spans(spark, sf):
     """Core and strict spans merged in order of start."""
-    docs = table(spark, sf, "documents")
-    core = d.core_spans(docs, "doc_id").select("doc_id", "category", "start", "end", "confidence", F.lit("core").alias("source"))
-    strict = d.hybrid_spans(docs, "doc_id").select("doc_id", "category", "start", "end", "confidence", F.lit("strict").alias("source"))
-    return en.merge_sources(core.unionByName(strict), "doc_id")
+    return en.merge_sources(d.both_sources(table(spark, sf, "documents"), "doc_id").drop("value"), "doc_id")
 
 
 @query
