@@ -17,14 +17,30 @@ STRICT_PHONE = r"(?:(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}|\b
 STRICT_CARD = r"\b(?:\d{4}[-\s]?){3}\d{4}\b|\b\d{13,19}\b"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
 STRICT_ACCOUNT_ID = r"\b(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|ACC-[A-Z0-9]{6,12})\b"
-LABELLED_CARD = r"\b(?:[Cc][Aa][Rr][Dd]|[Cc][Rr][Ee][Dd][Ii][Tt] [Cc][Aa][Rr][Dd]|[Cc][Aa][Rr][Dd] [Nn][Uu][Mm][Bb][Ee][Rr])\s*:\s*([0-9 -]{13,19})"
-LABELLED_NAME = r"\b(?:Name|Full Name|Customer Name|User Name)\s*:\s*([A-Za-z]+(?:\s+[A-Za-z]+)*)"
-LABELLED_ID = r"\b(?:ID|User ID|Customer ID|Account ID)\s*:\s*([A-Za-z0-9_#-]+)"
-GREETING = r"\b(?:Dear|Hello|Hi|Hey)\s+([A-Z][a-zA-Z0-9_-]+(?:\s+[a-zA-Z0-9_-]+){0,2})"
+LABELLED_CARD = r"\b(?i:Card|Credit Card|Card Number)\s*:\s*([0-9 -]{13,19})"
+LABELLED_NAME = r"\b(?i:Name|Full Name|Customer Name|User Name)\s*:\s*([A-Za-z]+(?:\s+[A-Za-z]+)*)"
+LABELLED_ID = r"\b(?i:ID|User ID|Customer ID|Account ID)\s*:\s*([A-Za-z0-9_#-]+)"
+GREETING = r"\b(?i:Dear|Hello|Hi|Hey)\s+([A-Za-z][a-zA-Z0-9_-]+(?:\s+[a-zA-Z0-9_-]+){0,2})"
+OTP_AFTER = r"\b(?i:otp|code|pin|verification\s+code|login\s+code|security\s+code|passcode|one-time\s+password)\b[^A-Za-z0-9_\n\r]{0,10}\b([0-9]{4,8})\b"
+OTP_BEFORE, OTP_FOLLOWS = r"\b([0-9]{4,8})\b", r"[^A-Za-z0-9_\n\r]{0,10}(?i:is\s+your|was\s+your|-\s*your|-\s*login\s+code|login\s+code|verification\s+code|security\s+code)"
+NO_NAMES = ["customer", "user", "investor", "sir", "madam", "all", "team", "member", "there", "friend", "everyone", "viewer", "guest", "subscriber"]
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 URL_SECRET = r"([?&](?:token|password|secret|key|apiKey|access_token|auth)=)[^&]+"
 INLINE_SECRET = r"((?:password|passwd|pwd|passcode|pass|secret|pin|cvv|cvc|otp|token|key|bearer|auth)[^A-Za-z0-9_\n\r]{0,5}[:=]\s*)([^\s,;]+)"
 
+SENTINEL = r"\b(?i:TEST_TELEMETRY|PHASE6_AUDIT|PHASE6_SECRET|PHASE6_EMAIL|PHASE6_PASSWORD)_[A-Za-z0-9_]+\b"
+SPOKEN_SECRET = (
+    r"((?i:password|passwd|pwd|passcode|pass|secret|pin|cvv|cvc|otp|token|key|bearer|auth)[^A-Za-z0-9_\n\r]{0,5}[:=]\s*)([^\s,;]+)"
+    r"|((?i:with|using|is|and|the)\s+(?i:password|passwd|pwd|passcode|pass|secret|pin|cvv|cvc|otp|code|token|key)\s+)([^\s,;]+)"
+    r"|(\b(?i:otp|pass|password|pin)\s+)([A-Za-z0-9_!@#$%^&*+=~-]+)"
+)
+URL_PARAMETER = r"([?&](?i:token|password|secret|key|apiKey|access_token|auth)=)[^&]+"
+LONG_ADDRESS = r"\b[0-9]{1,5}\s+[A-Za-z0-9.,\s-]+\s+(?i:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Court|Ct)\b"
+STREET_WORD = r"\s(?i:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Court|Ct)\b"
+REMOTE_EMAIL, REMOTE_DIGITS = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"(?:[0-9][ -]*?){13,19}"
+REMOTE_KEYS = ["value", "rawvalue", "password", "otp", "cardnumber", "creditcard", "secret", "phonenumber", "emailaddress"]
+RETRYABLE, NEVER_RETRIED = [408, 429, 500, 502, 503, 504], [400, 401, 403, 422]
+
 BASE_CONFIDENCE = {
     "email": 0.98, "phone": 0.92, "payment_card": 0.95, "password_field": 0.95, "otp": 0.85,
     "person_name": 0.45, "address": 0.50, "account_identifier": 0.50,
@@ -67,6 +83,41 @@ CATEGORY_WORDS = {
     "address": "address|street|postal code|zip code|location",
     "account_identifier": "account|account number|account id|iban|customer id",
 }
+FULL_URL = r"(?i:https?://[^\s]+)"
+NAMED_SITE = r"\b(?:go to|navigate to|visit|open(?:\s+website)?)\s+([a-z0-9-]+\.(?:com|org|net|in|io|co|gov|edu|ai|app|dev))\b"
+ROOT_VERB = r"^(?:go to|navigate to|visit)\s+([a-z0-9.-]+)\b"
+OPEN_AND, OPEN_SITE = r"^open\s+([a-z0-9.-]+)\s+(?:and|then|to)\s+", r"^open\s+([a-z0-9-]+)$"
+NO_SITE_AND = ["first", "second", "third", "latest", "newest", "last", "top", "the", "a", "an", "this", "my", "all", "mail", "email", "message", "tab", "link", "page", "file", "document", "chat", "post", "ticket", "issue"]
+NO_SITE = ["mail", "email", "message", "tab", "link", "file", "document", "chat", "post", "ticket", "issue", "cart"]
+ORDINALS = [
+    ("first", 0, r"\b(?:first|1st|top|latest|newest)\b"), ("second", 1, r"\b(?:second|2nd)\b"), ("third", 2, r"\b(?:third|3rd)\b"),
+    ("fourth", 3, r"\b(?:fourth|4th)\b"), ("fifth", 4, r"\b(?:fifth|5th)\b"), ("last", -1, r"\b(?:last|bottom|oldest)\b"),
+]
+EVERY = r"\b(?:all|every|each)\b"
+DOMAIN_WORDS = {
+    "form": r"\b(?:fill out|fill in|complete form|registration form|signup form|contact form|survey|application form|enter name|enter email)\b",
+    "change": r"\b(?:change|update|replace|modify|edit|set|fill)\s+(?:the\s+)?(?:[a-zA-Z0-9_\-\s]{2,30}?)\s+(?:to|with|=|as)\b",
+    "put": r"\b(?:enter|type|put|insert|fill)\s+.+?\s+(?:in|into|to|inside)\s+(?:the\s+)?[a-zA-Z0-9_\-\s]{2,30}\b",
+    "field": r"\b(?:change|update|replace|modify|edit|set|enter|fill)\s+(?:the\s+)?(?:email|phone|otp|password|code|two factor|2fa|name|address|input|field|message|details)\b",
+    "paper": r"\b(?:form|sign up|register|survey|application|registration|employee form)\b",
+    "goods": r"\b(?:buy|shop|shoes?|sneakers?|laptops?)\b",
+    "stay": r"\b(?:buy|shop|cart|checkout|fill|register)\b",
+    "travel": r"\b(?:flight|hotel|airbnb|booking|ticket|reservation|train|bus)\b",
+    "fault": r"\b(?:issue|bug|support ticket)\b",
+    "shop": r"\b(?:buy|shop|cart|product|price|shoes?|sneakers?|jackets?|clothes?|laptops?|phones?|discount|cost|winter jacket)\b",
+    "order": r"\border\b",
+    "ordering": r"\b(?:confirm order|place order|cancel order|submit order|order form)\b",
+    "learn": r"\b(?:read|article|paper|summary|extract|search for|look up|research|info|information|docs|documentation|learn about)\b",
+}
+CLICK = r"(?:click\s+(?:on\s+)?|press\s+(?:on\s+)?|tap\s+(?:on\s+)?|select\s+|activate\s+)(?:the\s+)?([a-zA-Z0-9_\-\s]+?)"
+CLICK_LATER = r"\b(?:and|then|to)\s+" + CLICK + r"(?:[,\.]|\s+(?:with|after|before)|$)"
+CLICK_NOW = r"\b" + CLICK + r"(?:[,\.]|\s+(?:and|then|with|after|before)|$)"
+COMMAND = r"\b(confirm\s+order|place\s+order|submit\s+form|confirm|submit|continue|cancel|save|proceed|checkout)\b"
+NO_TARGET = ["it", "this", "that", "first", "second", "item", "result"]
+CART = r"\b(?:add to cart|add to bag|add to basket|buy now)\b"
+ACT_LATER = r"\b(?:and|then|to)\s+(?:click\s+(?:on\s+)?)?(subscribe|follow|star|like|bookmark|download|share|pin|play|favorite|join|install|upvote|vote|fork|enroll|listen|watch|unfollow|unsubscribe|archive|delete|approve|merge|reply|confirm|continue|submit|save|proceed|cancel)\b"
+ACT_NOW = r"\b(?:click\s+(?:on\s+)?)?(subscribe|follow|star|bookmark|download|upvote|fork|archive|approve|confirm|continue|proceed|cancel)\b"
+ABOUT = r"\b(?:search|find|read)\s+about\b"
 # --- end of fixed values ---
 
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"

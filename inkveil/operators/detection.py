@@ -135,12 +135,47 @@ def exact_merge(found: DataFrame, key: str) -> DataFrame:
     )
 
 
-def labelled_spans(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """(key, start, end, value) of a labelled pattern's first group."""
-    found = spans_of(df, key, text, pattern)
-    value = F.regexp_extract("value", c.java(pattern), 1)
-    # The group ends its match in every labelled pattern.
-    return found.select(key, (F.col("end") - F.length(value)).alias("start"), "end", value.alias("value"))
+#: kind, pattern, test of the value, whether a value that the text has already is left out; in order
+LABELLED = [
+    ("email", c.EMAIL, None, False),
+    ("phone", c.STRICT_PHONE, lambda v: F.length(t.digits(v)).between(7, 15), False),
+    ("card", c.STRICT_CARD, t.luhn, False),
+    ("labelled_card", c.LABELLED_CARD, lambda v: F.length(t.digits(v)) >= 13, True),
+    ("ip", c.IPV4, None, False),
+    ("account", c.STRICT_ACCOUNT_ID, None, False),
+    ("name", c.LABELLED_NAME, lambda v: F.length(v) >= 2, False),
+    ("id", c.LABELLED_ID, lambda v: F.length(v) >= 2, False),
+    ("otp", f"(?:{c.OTP_AFTER}|{c.OTP_BEFORE}(?={c.OTP_FOLLOWS}))", lambda v: F.length(v) >= 4, True),
+    ("greeting", c.GREETING, lambda v: (F.length(v) >= 2) & ~F.lower(v).isin(c.NO_NAMES), True),
+]
+
+
+def labelled_found(text: Column) -> Column:
+    """All spans of plain and labelled detectors in order, as (kind, start, end, value); some kinds skip a value found before."""
+    parts = []
+    for kind, pattern, check, once in LABELLED:
+        parts.append(_labelled(text, kind, pattern, check, once))
+
+    def step(done: Column, s: Column) -> Column:
+        return F.when(s["once"] & F.exists(done, lambda x: x["value"] == s["value"]), done).otherwise(F.array_append(done, s))
+
+    kind = "array<struct<kind:string,start:bigint,end:bigint,value:string,once:boolean>>"
+    return F.aggregate(F.concat(*parts).cast(kind), F.array().cast(kind), step)
+
+
+def _labelled(text: Column, kind: str, pattern: str, check, once: bool) -> Column:
+    def one(s: Column) -> Column:
+        value = s["value"]
+        if kind == "otp":  # what follows a code is no part of the match
+            value = F.regexp_extract(value, r"[0-9]{4,8}$", 0)
+        elif kind in ("labelled_card", "name", "id", "greeting"):
+            value = F.regexp_extract(value, c.java(pattern), 1)
+        value = F.trim(value)
+        start = s["start"] + F.instr(s["value"], value) - 1
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lit(once).alias("once"))
+
+    own = F.transform(t.spans(text, pattern), one)
+    return F.filter(own, lambda s: check(s["value"])) if check else own
 
 
 def disjoint(found: Column) -> Column:

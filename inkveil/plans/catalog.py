@@ -101,17 +101,13 @@ def doc_masked_values(spark, sf):
 
 @query
 def labelled_fields(spark, sf):
-    """Labelled names, ids and cards, greetings and numbers in seeded lines (the tables have none)."""
+    """Labelled names, ids, cards and codes, greetings and numbers in seeded lines (the tables have none)."""
     seeds = spark.createDataFrame(SEEDED_LINES, "line_id long, text string")
-    out = None
-    for kind, pattern in LABELLED:
-        one = d.labelled_spans(seeds, "line_id", "text", pattern).select("line_id", F.lit(kind).alias("kind"), "start", "end", "value")
-        out = one if out is None else out.unionByName(one)
+    found = seeds.select("line_id", F.explode(d.labelled_found(F.col("text"))).alias("s")).select("line_id", "s.kind", "s.start", "s.end", "s.value")
     plain = d.spans_of(seeds, "line_id", "text", c.SSN).select("line_id", F.lit("ssn").alias("kind"), "start", "end", "value")
-    return out.unionByName(plain)
+    return found.unionByName(plain)
 
 
-LABELLED = [("name", c.LABELLED_NAME), ("id", c.LABELLED_ID), ("card", c.LABELLED_CARD), ("greeting", c.GREETING)]
 SEEDED_LINES = [
     (1, "Full Name: Ana Lima"),
     (2, "Customer ID: AB_12-9"),
@@ -120,6 +116,16 @@ SEEDED_LINES = [
     (5, "SSN 123-45-6789 and 987-65-4321"),
     (6, "é ID: 77"),
     (7, "nothing here"),
+    (8, "full name: ana lima"),
+    (9, "id: 77, ID: 7"),
+    (10, "dear Bob"),
+    (11, "Dear Customer, welcome"),
+    (12, "card: 4111-1111-1111-111, CARD: 4111-1111-1111-111"),
+    (13, "Your OTP is: 4821; otp 4821 and pin 99887"),
+    (14, "123456 is your verification code"),
+    (15, "account 10.0.0.1 and ACC-12AB34 mail a.b@c.io or call 415-555-0199"),
+    (16, "code 12345678901"),
+    (17, "4444 - login code"),
 ]
 
 

@@ -104,15 +104,6 @@ def values(rows, names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({names}))"
 
 
-LINES = values(k.SEEDED_LINES, "line_id, text")
-ORACLE_SQL["labelled_fields"] = (
-    " UNION ALL ".join(
-        f"SELECT CAST(line_id AS BIGINT) AS line_id, '{kind}' AS kind, \"start\", \"end\", value FROM ({spans(LINES, 'line_id', 'text', pat, group=True)})" for kind, pat in k.LABELLED
-    )
-    + f" UNION ALL SELECT CAST(line_id AS BIGINT), 'ssn', \"start\", \"end\", value FROM ({spans(LINES, 'line_id', 'text', c.SSN)})"
-)
-
-
 def in_(x: str, names) -> str:
     return f"{x} IN ({', '.join(map(q, names))})"
 

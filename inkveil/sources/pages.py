@@ -38,13 +38,14 @@ def endpoint_class(url: F.Column) -> F.Column:
 class _Nodes(HTMLParser):
     def __init__(self, most: int):
         super().__init__(convert_charrefs=True)
-        self.most, self.rows, self.path, self.seen, self.skip = most, [], [], [{}], 0
+        self.most, self.rows, self.path, self.seen, self.hidden = most, [], [], [{}], [False]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         n = self.seen[-1][tag] = self.seen[-1].get(tag, 0) + 1
         own = dict(attrs)
+        hidden = self.hidden[-1] or tag in SKIPPED or own.get("aria-hidden") == "true" or "hidden" in own
         place = "/".join([*self.path, f"{tag}:nth-of-type({n})"])
-        if not self.skip:
+        if not hidden:
             if tag in ("input", "textarea") and own.get("value") and own.get("type") != "hidden":
                 self._row(place, own["value"] or "", tag)
             if own.get("aria-label"):
@@ -52,18 +53,16 @@ class _Nodes(HTMLParser):
         if tag not in VOID:
             self.path.append(f"{tag}:nth-of-type({n})")
             self.seen.append({})
-            self.skip += tag in SKIPPED or own.get("aria-hidden") == "true" or "hidden" in own
+            self.hidden.append(hidden)
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.path) - 1, -1, -1):
             if self.path[i].split(":")[0] == tag:
-                del self.path[i:], self.seen[i + 1 :]
-                if not any(p.split(":")[0] in SKIPPED for p in self.path):
-                    self.skip = 0
+                del self.path[i:], self.seen[i + 1 :], self.hidden[i + 1 :]
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.skip and data.strip():
+        if not self.hidden[-1] and data.strip():
             self._row("/".join(self.path), " ".join(data.split()), "text")
 
     def _row(self, path: str, text: str, source: str) -> None:
