@@ -236,9 +236,9 @@ class Searcher:
         truth, ranks = self.exact(drawn), []
         for v, found in truth.items():
             place = {leaf: i for i, leaf in enumerate(best_bins(self.tree, np.frombuffer(v), self.tree.leaves))}
-            ranks += [place[leaf] for _, _, leaf in found]
+            ranks += [place[leaf] for _, _, leaf in found[1:]]  # the first is the probe itself
         visits = 1
-        while np.mean(np.array(ranks) < visits) < self.recall:
+        while ranks and np.mean(np.array(ranks) < visits) < self.recall:
             visits = min(self.tree.leaves, visits + max(1, visits // 4))
         return visits
 

@@ -1,14 +1,17 @@
 """Toxicity by held-out accuracy, nearest neighbours by recall, the pipeline against its stages' brute force."""
 
 import collections
+import itertools
+import zlib
 
 import common as c
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from inkveil.llm import ann_tree, toxicity
+from inkveil.llm import ann_tree, queries, toxicity
 
 
 def planted(spark, n=600):
@@ -171,6 +174,65 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in stages["best-fit packing"](spark, cut, c.SF).collect()} == set(before)
 
 
+def test_run_against_brute_force(spark):
+    """Toxicity's decisions are its own; what the other stages make of what is left is worked out in plain Python."""
+    docs = spark.read.parquet(f"{c.SF}/documents.parquet")
+    rejected = {r["doc_id"] for r in toxicity.toxicity(docs, spark.read.parquet(f"{c.SF}/labels.parquet")).collect() if r["predicted"]}
+    texts = {i: x or "" for i, x in c.pairs(docs) if i not in rejected}
+    key = lambda line: c.low(line.strip(" \t\n\v\f\r"))
+    holders = collections.defaultdict(set)
+    for i, x in texts.items():
+        for line in x.split("\n"):
+            if len(key(line)) >= 40:
+                holders[key(line)].add(i)
+    texts = {i: "\n".join(line for line in x.split("\n") if len(holders.get(key(line), ())) < 5 or max(holders[key(line)]) == i) for i, x in texts.items()}
+    heads = {i for i, _, head in c.groups_brute(list(texts.items())) if head == i}
+    texts = {i: x for i, x in texts.items() if i in heads}
+    seen, want = set(), collections.Counter()
+    coder = Tokenizer.from_file(queries.WORD_BPE)
+    coder.encode_special_tokens = True
+    for i in sorted(texts):
+        words, gone = c.WORD.findall(texts[i]), set()
+        for a in range(len(words) - 19):
+            window = tuple(words[a : a + 20])
+            if window in seen:
+                gone.update(range(a, a + 20))
+            seen.add(window)
+        ids = np.array([*coder.encode(" ".join(w for j, w in enumerate(words) if j not in gone), add_special_tokens=False).ids, 0], "<u4")
+        want.update((i, k, at, len(cut := ids[at : at + 2048]), zlib.crc32(cut.tobytes())) for k, at in enumerate(range(0, len(ids), 2048)))
+    got = corpus_pipeline.run(spark, c.SF).collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(own)] == [0, *itertools.accumulate(n for _, n in sorted(own))][:-1] and sum(n for _, n in own) <= 2048 for own in bins.values())
+
+
+def test_viterbi_against_all_readings():
+    rng = np.random.default_rng(6)
+    cost = rng.uniform(0.1, 6, (toxicity.SYMBOLS,) * 3)
+    for token in ("1d10t", "a55", "id!ot", "iidd", "s.c.u", "x$1", "bbb0", "é3é"):
+        readings = {}
+        for way in itertools.product(*toxicity.lattice(token)):
+            word, price = "".join(x for x, _ in way), sum(p for _, p in way)
+            seq = [0, 0, *map(toxicity._number, word), 0]
+            total = price + sum(float(cost[a, b, x]) for a, b, x in zip(seq, seq[1:], seq[2:], strict=False))
+            readings[word] = min(total, readings.get(word, np.inf))
+        best = min(readings, key=readings.get)
+        word, price = toxicity.cheapest(token, cost)
+        assert word == best and abs(price - readings[best]) < 1e-9
+
+
+def test_scores_against_plain_python(spark):
+    docs = spark.read.parquet(f"{c.SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{c.SF}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, text in c.pairs(docs):
+        own = {f for t in toxicity.tokens(text or "") for f in toxicity.token_features(t, model.cost)}
+        z = model.bias + sum(model.weights[model.ids[f]] for f in own if f in model.ids)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_pipeline_of_odd_and_no_rows(spark, tmp_path):
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for docs in (c.odd_documents(spark), c.empty_documents(spark)):
