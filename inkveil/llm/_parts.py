@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_PARTS = 250_000
+KEPT_PARTS = 400_000
 PART_CHUNK = 1 << 20  # bytes of text at a time: a part that occurs twice in it is looked up once
 
 
