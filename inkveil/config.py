@@ -83,6 +83,22 @@ CATEGORY_WORDS = {
     "address": "address|street|postal code|zip code|location",
     "account_identifier": "account|account number|account id|iban|customer id",
 }
+CATEGORY_PARTS = [
+    ("email", "email"), ("phone", "phone"), ("payment", "payment_card"), ("card", "payment_card"), ("password", "password_field"), ("otp", "otp"), ("name", "person_name"), ("address", "address"), ("account", "account_identifier"),
+]
+ROLE_WORDS = {
+    "secret": r"\b(?:passcode|otp|2fa|verification code|pin|secret)\b",
+    "billing": "billing|cvv|cvc|card|payment",
+    "shipping": r"\b(?:shipping|delivery|ship_to|shipment|street|postal|zip)\b",
+    "recipient": "recipient|send_to|sendto|to_email|to_address|receiver|client",
+    "sending": r"\b(?:to|send|message)\b",
+    "account": r"\b(?:username|user_id|login_email|account_id)\b",
+    "product": r"\b(?:product|price|title|specs|brand|model)\b",
+    "search": r"\b(?:search|query|find|lookup)\b",
+}
+KIND_CONFIDENCE = {"email": 0.98, "phone": 0.92, "card": 0.95, "labelled_card": 0.95, "ip": 0.90, "account": 0.85, "name": 0.92, "id": 0.90, "otp": 0.95, "greeting": 0.90}
+KIND_TYPE = {"email": "EMAIL", "phone": "PHONE", "card": "CREDIT_CARD", "labelled_card": "CREDIT_CARD", "ip": "ID", "account": "ID", "name": "NAME", "id": "ID", "otp": "OTP", "greeting": "NAME"}
+SCREEN_LABELS = [(3, "pay|card|checkout|billing"), (2, "login|register|password|email")]
 FULL_URL = r"(?i:https?://[^\s]+)"
 NAMED_SITE = r"\b(?:go to|navigate to|visit|open(?:\s+website)?)\s+([a-z0-9-]+\.(?:com|org|net|in|io|co|gov|edu|ai|app|dev))\b"
 ROOT_VERB = r"^(?:go to|navigate to|visit)\s+([a-z0-9.-]+)\b"

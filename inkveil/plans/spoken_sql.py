@@ -89,9 +89,9 @@ LINES = values(SEEDED_LINES, "line_id, text")
 OTP = rf"(?:{c.OTP_AFTER}|{c.OTP_BEFORE}{c.OTP_FOLLOWS})"  # this engine has no lookahead; the lines have no codes that overlap
 
 
-def labelled(order: int, kind: str, pattern: str, check: str, once: bool, group: str) -> str:
+def labelled(order: int, kind: str, pattern: str, check: str, once: bool, group: str, table: str = LINES) -> str:
     return f"""SELECT {order} AS k, line_id, '{kind}' AS kind, "start" + instr(whole, value) - 1 AS "start", "start" + instr(whole, value) - 1 + length(value) AS "end", value, {str(once).lower()} AS once
-      FROM (SELECT line_id, "start", value AS whole, trim({group}) AS value FROM ({spans(LINES, "line_id", "text", pattern)})) WHERE {check}"""
+      FROM (SELECT line_id, "start", value AS whole, trim({group}) AS value FROM ({spans(table, "line_id", "text", pattern)})) WHERE {check}"""
 
 
 ALL = " UNION ALL ".join(

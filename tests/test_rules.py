@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil import config as c
 from inkveil.functions import text as t
-from inkveil.operators import detection, entities, goals, layout, redaction, telemetry
+from inkveil.operators import context, detection, entities, goals, layout, redaction, telemetry
 from inkveil.plans import catalog, seeded
 from inkveil.sources import pages
 
@@ -156,3 +156,24 @@ def test_fused_items_of_fixed_boxes(spark):
     rows = catalog.QUERIES["fused_items"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) < len(seeded.ITEMS) and {r["page_id"] for r in rows} == {1, 2}
     assert layout.fuse
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        (' {"a": 1} ', '{"a":1}'),
+        ('Sure:\n```json\n{"a": [1, 2]}\n```', '{"a":[1,2]}'),
+        ('I think {not json} but {"b": "}"} fits', '{"b":"}"}'),
+        ("3", None),
+        ("", None),
+        (None, None),
+        ("{", None),
+    ],
+)
+def test_recovered_json(spark, text, expected):
+    assert one(spark, text, context.recovered_json(F.col("text"))) == expected
+
+
+def test_values_are_gone_from_prompts(spark):
+    row = spark.createDataFrame([("ann anna x", ["ann", "anna", "", "ann"])], "text string, v array<string>")
+    assert row.select(context.without_values(F.col("text"), F.col("v")).alias("x")).first()["x"] == "[REDACTED] [REDACTED] x"
