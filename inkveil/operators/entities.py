@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 
 # --- fixed values ---
 HONORIFICS = ["mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "lord", "lady", "rev"]
-GIVEN_NAMES = (
-    "john jane alex sarah michael emily david emma daniel olivia james sophia william isabella robert mia joseph charlotte thomas amelia "
-    "charles harper christopher evelyn rahul priya amit ananya vikram neha arjun sneha rohit pooja suresh deepa rajesh sunita mohammed fatima "
-    "ahmed aisha ali zainab wei mei chen yan taro hanako"
-).split()
-STREETS = "street st avenue ave road rd boulevard blvd lane ln drive dr way court ct circle cir highway hwy square sq".split()
-COMPANIES = "inc corp llc ltd gmbh co company corporation technologies tech solutions group holdings enterprise foundation institute bank".split()
+GIVEN_NAMES = [
+    "john", "jane", "alex", "sarah", "michael", "emily", "david", "emma", "daniel", "olivia", "james", "sophia", "william", "isabella", "robert", "mia",
+    "joseph", "charlotte", "thomas", "amelia", "charles", "harper", "christopher", "evelyn", "rahul", "priya", "amit", "ananya", "vikram", "neha",
+    "arjun", "sneha", "rohit", "pooja", "suresh", "deepa", "rajesh", "sunita", "mohammed", "fatima", "ahmed", "aisha", "ali", "zainab", "wei", "mei",
+    "chen", "yan", "taro", "hanako",
+]
+STREETS = [
+    "street", "st", "avenue", "ave", "road", "rd", "boulevard", "blvd", "lane", "ln", "drive", "dr", "way", "court", "ct", "circle", "cir", "highway",
+    "hwy", "square", "sq",
+]
+COMPANIES = [
+    "inc", "corp", "llc", "ltd", "gmbh", "co", "company", "corporation", "technologies", "tech", "solutions", "group", "holdings", "enterprise",
+    "foundation", "institute", "bank",
+]
 # --- end of fixed values ---
 
 #: White space as the reference's own expressions have it; their other classes are ASCII.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as c
 from ..functions import text as t
 
+# --- fixed values ---
 FIELD_RULES = [
     ("password_field", "password", "password|current-password|new-password"),
     ("email", "email", "email"),
@@ -29,6 +30,7 @@ SEMANTIC_RULES = [
     ("account_identifier", None, r"account\s*(id|number|num|ref)|customer\s*id|member\s*id|iban"),
 ]
 ACTIONS = ["CLICK", "TYPE", "CLEAR", "SELECT", "CHECK", "UNCHECK", "PRESS_KEY", "FILL", "SUBMIT", "SCROLL", "NAVIGATE", "GO_BACK", "WAIT"]
+# --- end of fixed values ---
 
 
 def first_rule(rules: list, kind: Column, text: Column) -> Column:
@@ -136,11 +138,18 @@ def relevance(category: Column, intent: Column, negated: Column, named: Column,
 
 # --- fixed values ---
 CONCEPTS = {
-    "email": "email mail e-mail address", "phone": "phone tel telephone mobile cell contact", "name": "name fullname firstname lastname", "password": "password pass pwd",
-    "otp": "otp code pin token 2fa two-factor auth verification", "message": "message comment feedback notes query description inquiry", "address": "address street city location shipping billing delivery",
-    "submit": "submit send save apply register signup proceed continue finish complete", "confirm": "confirm place order accept agree verify ok yes", "cancel": "cancel dismiss close back abort reject no",
-}
-STOP_WORDS = "the a an please to on in into for with of at by".split()
+    "email": ["email", "mail", "e-mail", "address"],
+    "phone": ["phone", "tel", "telephone", "mobile", "cell", "contact"],
+    "name": ["name", "fullname", "firstname", "lastname"],
+    "password": ["password", "pass", "pwd"],
+    "otp": ["otp", "code", "pin", "token", "2fa", "two-factor", "auth", "verification"],
+    "message": ["message", "comment", "feedback", "notes", "query", "description", "inquiry"],
+    "address": ["address", "street", "city", "location", "shipping", "billing", "delivery"],
+    "submit": ["submit", "send", "save", "apply", "register", "signup", "proceed", "continue", "finish", "complete"],
+    "confirm": ["confirm", "place", "order", "accept", "agree", "verify", "ok", "yes"],
+    "cancel": ["cancel", "dismiss", "close", "back", "abort", "reject", "no"],
+}
+STOP_WORDS = ["the", "a", "an", "please", "to", "on", "in", "into", "for", "with", "of", "at", "by"]
 # --- end of fixed values ---
 
 
@@ -153,8 +162,7 @@ def target_score(target: Column, shown: Column, code: Column, kind: Column) -> C
     each = F.aggregate(words, F.lit(0), lambda a, w: a + F.when(shown.contains(w), 30).when(code.contains(w), 20).otherwise(0))
     all_ = F.when((F.size(words) > 1) & F.forall(words, lambda w: shown.contains(w) | code.contains(w)), 50).otherwise(0)
     concept = F.lit(0)
-    for name, synonyms in CONCEPTS.items():
-        s = synonyms.split()
+    for name, s in CONCEPTS.items():
         typed = (kind == name) | ((kind == "tel") if name == "phone" else F.lit(False))
         seen = F.exists(F.array(*map(F.lit, s)), lambda x: shown.contains(x) | code.contains(x))
         points = F.when(typed, 80).otherwise(0) + F.when(seen, 40).otherwise(0)

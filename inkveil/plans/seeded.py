@@ -244,8 +244,8 @@ def legacy_policy(spark, sf):
 
 
 @query
-def opaque_tokens(spark, sf):
+def opaque_tokens(spark, sf, key: str = "bench-key"):
     """Keyed tokens of the documents' addresses: equal values have equal tokens, and none shows its value."""
     found = d.spans_of(table(spark, sf, "documents"), "doc_id", "text", c.EMAIL)
-    token = F.concat(F.lit("PII_TOKEN_EMAIL_"), F.substring(F.sha2(F.concat(F.lit("bench-key:"), F.col("value")), 256), 1, 12))
+    token = F.concat(F.lit("PII_TOKEN_EMAIL_"), F.substring(F.sha2(F.concat(F.lit(f"{key}:"), F.col("value")), 256), 1, 12))
     return found.select("doc_id", "start", token.alias("token"))

@@ -63,8 +63,8 @@ FROM (SELECT CAST(task_id AS BIGINT) AS task_id, category, CASE {" ".join(f"WHEN
   FROM (VALUES {TASK_ROWS}) t(task_id, intent, negated, named, field, contact), (SELECT unnest({lists(s.TASK_CATEGORIES)}) AS category))"""
 W = f"""[w FOR w IN string_split_regex(regexp_replace(lower(trim(target)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+') IF w <> '' AND NOT list_contains({lists(gates.STOP_WORDS)}, w)]"""
 CONCEPT = " + ".join(
-    f"""CASE WHEN len([w FOR w IN words IF list_contains({lists(x.split())}, w)]) > 0 THEN (CASE WHEN kind = '{n}'{" OR kind = 'tel'" if n == "phone" else ""} THEN 80 ELSE 0 END)
-      + (CASE WHEN len([x FOR x IN {lists(x.split())} IF contains(shown, x) OR contains(code, x)]) > 0 THEN 40 ELSE 0 END) ELSE 0 END"""
+    f"""CASE WHEN len([w FOR w IN words IF list_contains({lists(x)}, w)]) > 0 THEN (CASE WHEN kind = '{n}'{" OR kind = 'tel'" if n == "phone" else ""} THEN 80 ELSE 0 END)
+      + (CASE WHEN len([x FOR x IN {lists(x)} IF contains(shown, x) OR contains(code, x)]) > 0 THEN 40 ELSE 0 END) ELSE 0 END"""
     for n, x in gates.CONCEPTS.items()
 )
 ORACLE_SQL["target_resolution"] = f"""
