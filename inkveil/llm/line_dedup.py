@@ -56,7 +56,7 @@ def build_mph(h: np.ndarray, gamma: float = 2.0) -> tuple[list[np.ndarray], np.n
     rest, base = np.arange(len(h)), 0
     while len(rest):
         size = max(64, int(gamma * len(rest)) + 63 & ~63)
-        at = (mix(h[rest] + _U(len(levels)) * _U(0x9E3779B97F4A7C15)) % _U(size)).astype(np.int64)
+        at = (mix(h[rest] + _U(len(levels) * 0x9E3779B97F4A7C15 % (1 << 64))) % _U(size)).astype(np.int64)
         bits = np.bincount(at, minlength=size) == 1
         alone = bits[at]
         rank = np.cumsum(bits) - 1
@@ -82,7 +82,7 @@ class Shard:
         """Document count (0: no such line) and largest document of each hash."""
         slot, rest = np.full(len(h), -1, np.int64), np.arange(len(h))
         for level, bits in enumerate(self.bits):
-            at = (mix(h[rest] + _U(level) * _U(0x9E3779B97F4A7C15)) % _U(len(bits))).astype(np.int64)
+            at = (mix(h[rest] + _U(level * 0x9E3779B97F4A7C15 % (1 << 64))) % _U(len(bits))).astype(np.int64)
             hit = bits[at]
             slot[rest[hit]] = self.ranks[level][at[hit]]
             rest = rest[~hit]
