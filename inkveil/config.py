@@ -134,6 +134,72 @@ CART = r"\b(?:add to cart|add to bag|add to basket|buy now)\b"
 ACT_LATER = r"\b(?:and|then|to)\s+(?:click\s+(?:on\s+)?)?(subscribe|follow|star|like|bookmark|download|share|pin|play|favorite|join|install|upvote|vote|fork|enroll|listen|watch|unfollow|unsubscribe|archive|delete|approve|merge|reply|confirm|continue|submit|save|proceed|cancel)\b"
 ACT_NOW = r"\b(?:click\s+(?:on\s+)?)?(subscribe|follow|star|bookmark|download|upvote|fork|archive|approve|confirm|continue|proceed|cancel)\b"
 ABOUT = r"\b(?:search|find|read)\s+about\b"
+GOAL_SIGNS = {
+    "search": r"\b(?:search|find|look for|query)\b",
+    "filter": r"\b(?:filter|sort|under|color|brand|price|size)\b",
+    "press": r"\b(?:click|press|tap)\b",
+    "look": r"\b(?:inspect|check|view|details|look at|examine|open first|review)\b",
+    "compare": r"\b(?:compare|options|few options|which is better|best of)\b",
+    "fill": r"\b(?:fill|enter|input|type|change|update|replace|modify|set|edit)\b",
+    "send": r"\b(?:submit|apply|register|sign up|book now|complete form|confirm|continue|checkout|place order|send message|save|cancel)\b",
+    "cart": r"\b(?:add to cart|add to bag|buy now|buy|cart)\b",
+    "extract": r"\b(?:extract|summarize|get info|information)\b",
+    "press_or_send": r"\b(?:click|press|tap|submit|confirm|continue|cancel|checkout|place order|add to cart)\b",
+    "any_search": r"search|query|find\s+information",
+    "any_fill": r"fill|complete form|enter|type|input",
+    "any_cart": r"add to cart|add to bag|add to basket",
+    "submit": r"\b(?:submit|confirm|place order|register|checkout|save)\b",
+}
+SEARCHED = r"(?i:(?:search\s+(?:on|in)\s+[a-z0-9.-]+\s+for|search\s+[a-z0-9.-]+\s+for|search\s+for|look\s+up|find\s+information\s+(?:on|about)|read\s+about|learn\s+about)\s+(.+?)(?:\s+(?:and\s+.*|under\s+.*|below\s+.*|with\s+.*))?$)"
+ITEM = r"(?i:^(?:open|read|view|select|click|inspect|check|review|book|download|forward|find|get|show|send)\s+(?:me\s+)?(?:a\s+|an\s+|the\s+)?(?:first|second|third|latest|newest|last|top|1st|2nd|3rd)?\s*([a-zA-Z0-9_\-#\s]+?)(?:[,\.]|\s+(?:from|by|to|for|on|in|under|with|and)|\s*$))"
+NO_ITEM = ["the", "a", "an", "this", "that", "it", "item", "result"]
+GOAL_PREFIX = r"(?i:^(?:find me a|find me|find a|find|search for|search on\s+[a-z0-9.-]+\s+for|search in\s+[a-z0-9.-]+\s+for|search|look for|look up|open|go to|show me|compare|buy|get me|review|book|download|inspect|check|view|select|click|forward|send)\s+)"
+BEFORE_ACTION = r"\s+(?:and|then|to)?\s*"
+GOAL_LIMITS = r"(?i:\s+(?:under|below|less than|above|over|priced|max)\s+.*$)"
+NO_ENTITY = {"ecommerce": "item", "research": "topic", "": "target"}
+NO_FILTER = ["url", "candidate_count", "sender", "author"]
+BROWSER_PAGES = ["chrome://", "about:", "chrome-extension://"]
+MODAL = r"\b(?:cookie policy|we use cookies|privacy preferences|sign up for|subscribe to our newsletter|accept all cookies|cookie consent)\b"
+MODAL_CLOSE = r"\b(?:close|dismiss|agree|accept all|accept cookies|got it|not now|skip|continue without|decline)\b"
+NOTHING_FOUND = r"\b(?:no results found|0 results|did not match any products|no matches found|try checking your spelling)\b"
+CHOOSE_CATEGORY = r"\b(?:select a category|choose category|all departments|select department)\b"
+MOST_REPLANS = 5
+REPLAN_TASKS = {
+    "modal_overlay": ("close_modal", "Inserted immediate task to dismiss modal dialog via "),
+    "zero_results": ("search", "Zero search results detected. Inserted refined search task without relaxing constraints."),
+    "category_selector": ("select_category", "Inserted task to select required product category."),
+    "consecutive_failures": ("scroll", "Recovering from consecutive failures by scrolling viewport."),
+}
+MIXED_CONTENT = [
+    ("item_pub_title", "product_title", 0.99, "public_product_attribute", "REQUIRED", "CONTEXTUAL_REFERENCE", "REMOTE_REASONING", "Active Noise-Cancelling Over-Ear Headphones"),
+    ("item_pub_price", "price", 0.98, "public_product_attribute", "REQUIRED", "CONTEXTUAL_REFERENCE", "REMOTE_REASONING", "$199.99"),
+    ("item_pub_spec", "specification", 0.97, "public_product_attribute", "OPTIONAL", "CONTEXTUAL_REFERENCE", "REMOTE_REASONING", "Midnight Black, 40h Battery, Bluetooth 5.3"),
+    ("item_email_recipient", "email", 0.96, "recipient", "REQUIRED", "REMOTE_REASONING_REQUIRED", "REMOTE_REASONING", "delivery-contact@example.test"),
+    ("item_phone_unneeded", "phone", 0.95, "account_identifier", "IRRELEVANT", "UNNECESSARY", "REMOTE_REASONING", "+1-555-0199"),
+    ("item_auth_password", "password_field", 0.99, "authentication_secret", "REQUIRED", "LOCAL_EXECUTION_ONLY", "LOCAL_BROWSER", "UserSecretPassword#2026"),
+    ("item_auth_otp", "otp", 0.98, "authentication_secret", "REQUIRED", "LOCAL_EXECUTION_ONLY", "LOCAL_BROWSER", "849201"),
+]
+SHOWN = {
+    "TOKENIZE": ("Masked (Solid Black Fill)", "Stored Locally in PrivacyVault (Token Map)"),
+    "LOCAL_ONLY": ("Masked (Solid Black Fill)", "Stored Locally in PrivacyVault (Purpose Isolated)"),
+    "REDACT": ("Masked (Solid Black Fill)", "Not Stored (Minimized)"),
+    "ALLOW": ("Clear / Visible (Safe Context)", "Not Stored (Public)"),
+}
+SOURCE_COMMENTS = [r"/\*[\s\S]*?\*/", r"//.*", r"/\(.*?\)[/i]+"]
+SOURCE_RULES = {
+    "execution_primitives": r"(?i:\beval\s*\(|\bnew\s+Function\s*\()",
+    "hardcoded_endpoints": r"(?i:https://example\.com|https://api\.production)",
+    "hardcoded_credentials": r"(?i:api_key_secret|bearer_token_production|super_secret_key)",
+}
+VIOLATIONS = {
+    "allow_dom": "ALLOW item must not be masked in DOM",
+    "allow_screenshot": "ALLOW item must not be masked in screenshot",
+    "token": "TOKENIZE decision must provide a token",
+    "token_payload": "TOKENIZE remote payload must match token exactly",
+    "screenshot": " item must have sensitive pixels masked",
+    "redact_payload": "REDACT remote payload must be [REDACTED]",
+    "local_payload": "LOCAL_ONLY secret must never appear in remote payload",
+}
 # --- end of fixed values ---
 
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"

@@ -91,3 +91,36 @@ def vault_result(known: Column, destination: Column, state: Column, expires_ms:
         .when(~purpose.eqNullSafe(wanted), "DENIED_PURPOSE_MISMATCH")
         .otherwise("GRANTED")
     )
+
+
+def representations(decision: Column, token: Column, value: Column) -> Column:
+    """struct<dom, screenshot, remote_payload, vault>: what each place shows of a value under its decision; an unknown decision counts as REDACT."""
+    known = F.when(decision.isin(*c.SHOWN), decision).otherwise("REDACT")
+    dom = F.when(known == "ALLOW", value).when(known == "TOKENIZE", token).when(known == "LOCAL_ONLY", "[LOCAL_ONLY_PROTECTED]").otherwise("[REDACTED]")
+    shown = F.create_map(*[x for k, v in c.SHOWN.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[known]
+    remote = F.when(known == "LOCAL_ONLY", "EXCLUDED (Zero Remote Egress)").otherwise(dom)
+    return F.struct(dom.alias("dom"), shown[0].alias("screenshot"), remote.alias("remote_payload"), shown[1].alias("vault"))
+
+
+def violation(decision: Column, token: Column, dom_masked: Column, screenshot_masked: Column, remote_payload: Column) -> Column:
+    """The first rule that an item's representations break, null if none. Nulls: not known, which breaks nothing, but a missing token does."""
+    sent, say = F.coalesce(remote_payload, F.lit("")), c.VIOLATIONS
+    clear = decision.isin("TOKENIZE", "REDACT", "LOCAL_ONLY") & ~screenshot_masked
+    return (
+        F.when((decision == "ALLOW") & dom_masked, say["allow_dom"])
+        .when((decision == "ALLOW") & screenshot_masked, say["allow_screenshot"])
+        .when((decision == "TOKENIZE") & (F.coalesce(token, F.lit("")) == ""), say["token"])
+        .when((decision == "TOKENIZE") & (sent != "") & (sent != token), say["token_payload"])
+        .when(clear, F.concat(decision, F.lit(say["screenshot"])))
+        .when((decision == "REDACT") & ~sent.isin("", "[REDACTED]"), say["redact_payload"])
+        .when((decision == "LOCAL_ONLY") & sent.contains("secret"), say["local_payload"])
+    )
+
+
+def source_audit(text: Column) -> Column:
+    """struct of three flags, true where a source text breaks the rule. Comments and literals of patterns do not count as calls."""
+    code = text
+    for pattern in c.SOURCE_COMMENTS:
+        code = F.regexp_replace(code, pattern, "")
+    of = {name: code if name == "execution_primitives" else text for name in c.SOURCE_RULES}
+    return F.struct(*[F.coalesce(of[name].rlike(c.java(rule)), F.lit(False)).alias(name) for name, rule in c.SOURCE_RULES.items()])

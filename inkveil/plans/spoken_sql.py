@@ -24,8 +24,9 @@ def named(pattern: str) -> str:
     return f"CASE WHEN NOT {in_(target, c.NO_TARGET)} THEN {target} END"
 
 
-ORACLE_SQL["goal_parse"] = f"""
-WITH g AS (SELECT CAST(goal_id AS BIGINT) AS goal_id, goal, lower(goal) AS low, lower(trim(goal)) AS bare FROM {values(s.GOALS, "goal_id, goal")}),
+def goal_parse(goals) -> str:
+    return f"""
+WITH g AS (SELECT CAST(goal_id AS BIGINT) AS goal_id, goal, lower(goal) AS low, lower(trim(goal)) AS bare FROM {values(goals, "goal_id, goal")}),
 n AS (SELECT *, nullif(regexp_extract(goal, {q(c.FULL_URL)}, 0), '') AS full_url, {first("bare", c.NAMED_SITE)} AS site, {first("bare", c.OPEN_AND)} AS opened, {first("bare", c.OPEN_SITE)} AS alone FROM g),
 p AS (
   SELECT *, coalesce(full_url, 'https://' || site) AS url,
@@ -44,6 +45,9 @@ SELECT goal_id, explicit, CASE WHEN full_url IS NULL THEN place END AS destinati
 FROM e"""
 
 
+ORACLE_SQL["goal_parse"] = goal_parse(s.GOALS)
+
+
 def scrub(text: str) -> str:
     """The replacements before and after the cards; cards need their checksum."""
     x = f"regexp_replace({text}, {q(c.SENTINEL)}, '[PROTECTED_SENTINEL]', 'g')"
