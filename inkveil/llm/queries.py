@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, byte_bpe, chat_format, jaccard_join, jpeg_media, line_dedup, packing, substring_dedup, toxicity, warc_fixity
+from . import ann_tree, byte_bpe, chat_format, jaccard_join, jpeg_media, line_dedup, packing, periodic_runs, source_mix, substring_dedup, toxicity, turn_repair, warc_fixity
 from . import sql
 from ._shared import documents
 
@@ -62,6 +62,19 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(warc_fixity.records(pages), warc_fixity.records(warc_fixity.damaged(pages)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_substring_dedup, op4_ngram_jaccard, op5_chat_format, op6_jpeg_media, op7_kmeans_tree, op8_line_dedup, op9_best_fit_packing, op10_warc_fixity)}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return turn_repair.digests(turn_repair.damaged(turns), turns.select("conv_id").distinct())
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapse(periodic_runs.damaged(documents(spark, sf_dir)), with_text=False).drop("runs", "kept_text")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_substring_dedup, op4_ngram_jaccard, op5_chat_format, op6_jpeg_media, op7_kmeans_tree, op8_line_dedup, op9_best_fit_packing, op10_warc_fixity, op11_turn_repair, op12_periodic_runs, op13_source_mix)}
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": sql.OP5, "op8_line_dedup": sql.OP8, "op10_warc_fixity": sql.OP10}
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": sql.OP5, "op8_line_dedup": sql.OP8, "op10_warc_fixity": sql.OP10, "op11_turn_repair": sql.OP11, "op13_source_mix": sql.OP13}

@@ -51,3 +51,98 @@ SELECT a.file_no, a.record_no, a.page_id, a."offset", a.length, a.digest,
   CASE WHEN a.digest <> b.digest THEN 'corrupt' WHEN a."offset" <> b."offset" THEN 'moved' ELSE 'intact' END AS status
 FROM placed a JOIN placed b ON a.replica = 'a' AND b.replica = 'b' AND a.file_no = b.file_no AND a.record_no = b.record_no
 """
+
+OP13 = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    left(md5('13:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 16) AS key
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM sized GROUP BY source
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM sources WINDOW w AS (ORDER BY 3 * source_size / weight, weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, least((3 * source_size)::DOUBLE, weight * (SELECT level FROM levels WHERE weight * level <= 3 * source_size ORDER BY 3 * source_size / weight, weight, source LIMIT 1)) AS target FROM levels
+), budgets AS (
+  SELECT *, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS budget FROM targets
+), placed AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS copies, budget,
+    coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized JOIN budgets ON sized.source IS NOT DISTINCT FROM budgets.source
+)
+SELECT doc_id, size, source_size, target, copies * size + greatest(0, least(size, budget - copies * source_size - before)) AS taken,
+  copies, greatest(0, least(size, budget - copies * source_size - before)) AS cut
+FROM placed
+"""
+
+_CRC = "xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT))"
+
+#: States n (nothing), s, u, a as (cost, audit), least first; 9999999 stands for out of reach. A turn's step inserts up to two turns, then edits it.
+OP11 = rf"""
+WITH faults AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(text="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM faults WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+  FROM hurt
+), judged AS (
+  SELECT *, CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) AS before
+  FROM placed
+), convs AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) AS n_turns,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pos > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'c': CASE initial WHEN 's' THEN 's' WHEN 'u' THEN 'u' WHEN 'a' THEN 'a' WHEN '' THEN 'e' ELSE 'o' END, 'gone': fault IN ('blank', 'duplicate'), 'more': CASE fault WHEN 'truncated' THEN 5 ELSE 0 END}} ORDER BY pos) AS codes,
+    list(role ORDER BY pos) AS roles, list(text ORDER BY pos) AS texts
+  FROM judged GROUP BY conv_id
+), walked AS (
+  WITH RECURSIVE steps AS (
+    SELECT conv_id, 0 AS i, 0 AS nc, '' AS na, 9999999 AS sc, '' AS sa, 9999999 AS uc, '' AS ua, 9999999 AS ac, '' AS aa FROM convs
+    UNION ALL
+    SELECT conv_id, i + 1, n.c, n.a, s.c, s.a, u.c, u.a, a.c, a.a FROM (
+      SELECT conv_id, i,
+        {{'c': pn.c + 2, 'a': pn.a || 'D'}} AS n0, CASE WHEN NOT gone AND c = 'e' THEN {{'c': pn.c + more, 'a': pn.a || 'K'}} ELSE {{'c': 9999999, 'a': ''}} END AS n1,
+        {{'c': ps.c + 2, 'a': ps.a || 'D'}} AS s0, CASE WHEN gone THEN {{'c': 9999999, 'a': ''}} WHEN c = 's' THEN {{'c': pn.c + more, 'a': pn.a || 'K'}} WHEN c = 'e' THEN {{'c': ps.c + more, 'a': ps.a || 'K'}} ELSE {{'c': 9999999, 'a': ''}} END AS s1,
+        {{'c': pu.c + 2, 'a': pu.a || 'D'}} AS u0,
+        CASE WHEN gone OR c NOT IN ('u', 'e') THEN {{'c': 9999999, 'a': ''}} WHEN c = 'e' THEN {{'c': pu.c + more, 'a': pu.a || 'K'}} ELSE least({{'c': pn.c + more, 'a': pn.a || 'K'}}, {{'c': ps.c + more, 'a': ps.a || 'K'}}, {{'c': pa.c + more, 'a': pa.a || 'K'}}) END AS u1,
+        CASE WHEN gone THEN {{'c': 9999999, 'a': ''}} ELSE least({{'c': pn.c + 1 + more, 'a': pn.a || 'R'}}, {{'c': ps.c + 1 + more, 'a': ps.a || 'R'}}, {{'c': pa.c + 1 + more, 'a': pa.a || 'R'}}) END AS u2,
+        {{'c': pa.c + 2, 'a': pa.a || 'D'}} AS a0,
+        CASE WHEN gone OR c NOT IN ('a', 'e') THEN {{'c': 9999999, 'a': ''}} WHEN c = 'e' THEN {{'c': pa.c + more, 'a': pa.a || 'K'}} ELSE {{'c': pu.c + more, 'a': pu.a || 'K'}} END AS a1,
+        CASE WHEN gone THEN {{'c': 9999999, 'a': ''}} ELSE {{'c': pu.c + 1 + more, 'a': pu.a || 'R'}} END AS a2,
+        least(n0, n1) AS n, least(s0, s1) AS s, least(u0, u1, u2) AS u, least(a0, a1, a2) AS a
+      FROM (
+        SELECT steps.conv_id, i, codes[i + 1].c AS c, codes[i + 1].gone AS gone, codes[i + 1].more AS more,
+          {{'c': nc, 'a': na}} AS pn, {{'c': sc, 'a': sa}} AS ps,
+          least({{'c': uc, 'a': ua}}, {{'c': nc + 5, 'a': na || 'I'}}, {{'c': sc + 5, 'a': sa || 'I'}}, {{'c': ac + 5, 'a': aa || 'I'}}) AS pu,
+          least({{'c': ac, 'a': aa}}, {{'c': uc + 5, 'a': ua || 'I'}}, {{'c': nc + 10, 'a': na || 'II'}}, {{'c': sc + 10, 'a': sa || 'II'}}) AS pa
+        FROM steps JOIN convs ON steps.conv_id IS NOT DISTINCT FROM convs.conv_id WHERE i < len(codes)
+      )
+    )
+  )
+  SELECT steps.conv_id, least({{'c': nc, 'a': na}}, {{'c': ac, 'a': aa}}, {{'c': uc + 5, 'a': ua || 'I'}}, {{'c': sc + 10, 'a': sa || 'II'}}) AS best
+  FROM steps JOIN convs ON steps.conv_id IS NOT DISTINCT FROM convs.conv_id WHERE i = len(codes)
+), edits AS (
+  SELECT walked.conv_id, roles, texts, best.a AS audit, unnest(range(1, len(best.a) + 1)) AS k FROM walked JOIN convs ON walked.conv_id IS NOT DISTINCT FROM convs.conv_id
+), sources AS (
+  SELECT conv_id, k, substr(audit, k, 1) AS edit, len(replace(left(audit, k), 'I', ''))::INT AS source, roles, texts FROM edits
+), said AS (
+  SELECT conv_id, k, edit, CASE WHEN edit = 'K' THEN roles[source] END AS kept, CASE WHEN edit = 'I' THEN '' ELSE texts[source] END AS text FROM sources WHERE edit <> 'D'
+), numbered AS (
+  SELECT *, count(*) FILTER (kept IS NULL OR left(kept, 1) IN ('u', 'a')) OVER (PARTITION BY conv_id ORDER BY k) AS place FROM said
+), out AS (
+  SELECT conv_id, sha256(string_agg(coalesce(kept, CASE WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY k)) AS repaired_sha256 FROM numbered GROUP BY conv_id
+)
+SELECT ids.conv_id, coalesce(n_turns, 0) AS n_turns, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+LEFT JOIN convs ON ids.conv_id IS NOT DISTINCT FROM convs.conv_id
+LEFT JOIN walked ON ids.conv_id IS NOT DISTINCT FROM walked.conv_id
+LEFT JOIN out ON ids.conv_id IS NOT DISTINCT FROM out.conv_id
+"""
