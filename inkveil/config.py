@@ -39,6 +39,13 @@ LONG_ADDRESS = r"\b[0-9]{1,5}\s+[A-Za-z0-9.,\s-]+\s+(?i:Street|St|Avenue|Ave|Roa
 STREET_WORD = r"\s(?i:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Court|Ct)\b"
 REMOTE_EMAIL, REMOTE_DIGITS = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"(?:[0-9][ -]*?){13,19}"
 REMOTE_KEYS = ["value", "rawvalue", "password", "otp", "cardnumber", "creditcard", "secret", "phonenumber", "emailaddress"]
+SENSITIVE_KEYS = [
+    "password", "passwd", "pwd", "secret", "secret_?value", "raw_?value", "cvv", "cvc", "security_?code", "otp",
+    "passcode", "api_?key", "token_?secret", "auth_?header", "credit_?card", "card_?number", "session_?secret", "private_?key", "user_?input", "raw_?input",
+]
+RAW_PAGE_KEYS, RAW_IMAGE_KEYS = ["rawDom", "rawHtml", "html"], ["screenshotBuffer", "rawScreenshot"]
+RAW_PAGE, RAW_IMAGE, PROTECTED, PROTECTED_MAPPING = "[RAW_DOM_REDACTED_FROM_TELEMETRY]", "[RAW_SCREENSHOT_REDACTED_FROM_TELEMETRY]", "[PROTECTED_SECRET]", "[PROTECTED_SECRET_MAPPING]"
+TOKEN_PREFIX, MOST_PAYLOAD_BYTES, MOST_TASK_CHARS = "PII_TOKEN_", 524_288, 500
 RETRYABLE, NEVER_RETRIED = [408, 429, 500, 502, 503, 504], [400, 401, 403, 422]
 
 BASE_CONFIDENCE = {

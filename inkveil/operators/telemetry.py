@@ -1,17 +1,13 @@
-"""Scrubbing of what may leave as telemetry or as a remote payload: strings by expressions, free-form JSON leaf by leaf."""
+"""Scrubbing of what may leave as telemetry or as a remote payload: strings by expressions; json_tree.py does whole payloads."""
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import text as t
-from . import detection, redaction
+from . import detection
 
 
 def scrub(text: Column) -> Column:
@@ -50,34 +46,3 @@ def error(kind: Column, message: Column, code: Column, stack: Column) -> Column:
 def remote_string(text: Column) -> Column:
     """E-mail addresses, then runs of 13 to 19 digits, masked."""
     return F.regexp_replace(F.regexp_replace(text, c.java(c.REMOTE_EMAIL), "[EMAIL_REDACTED]"), c.REMOTE_DIGITS, "[CARD_REDACTED]")
-
-
-_WORD = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-_EMAIL, _DIGITS = re.compile(c.java(c.REMOTE_EMAIL)), re.compile(c.REMOTE_DIGITS)
-
-
-def _leaves(value, dropped: frozenset[str]):
-    if isinstance(value, str):
-        return _DIGITS.sub("[CARD_REDACTED]", _EMAIL.sub("[EMAIL_REDACTED]", value))
-    if isinstance(value, list):
-        return [_leaves(x, dropped) for x in value]
-    if isinstance(value, dict):
-        return {k: _leaves(x, dropped) for k, x in value.items() if k.lower() not in dropped}
-    return value
-
-
-def remote_json(column: Column) -> Column:
-    """Free-form JSON without its sensitive keys and with every string masked; null for what is no JSON, so that nothing unread leaves."""
-    dropped = frozenset(c.REMOTE_KEYS)
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            try:
-                return None if text is None else json.dumps(_leaves(json.loads(text), dropped), ensure_ascii=False, separators=(",", ":"))
-            except (ValueError, RecursionError):
-                return None
-
-        return texts.map(one)
-
-    return run(column)

@@ -103,12 +103,6 @@ def test_scrub(spark):
     assert one(spark, None, telemetry.scrub(F.col("text"))) is None
 
 
-def test_remote_json_leaf_by_leaf(spark):
-    text = '{"a": [{"Password": "x", "note": "mail a@b.io"}, 3, null], "cardNumber": 4, "b": {"c": "4111111111111111"}}'
-    assert one(spark, text, telemetry.remote_json(F.col("text"))) == '{"a":[{"note":"mail [EMAIL_REDACTED]"},3,null],"b":{"c":"[CARD_REDACTED]"}}'
-    assert one(spark, "{no json", telemetry.remote_json(F.col("text"))) is None
-
-
 def test_hidden_subtrees_stay_hidden(spark):
     html = '<body><div hidden aria-label="L1"><p>a</p>SECRET1</div><div aria-hidden="true"><b><i>x</i></b>SECRET2</div><input hidden value="v"><p aria-label="L2">seen</p></body>'
     rows = pages.text_nodes(spark.createDataFrame([(1, html), (2, None), (3, "<p>z")], "page_id long, html string")).collect()
