@@ -36,7 +36,7 @@ def keyed(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size (words) and a random key for each document."""
     text = F.coalesce("text", F.lit(""))
     said = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.substring(F.md5(said), 1, 16).alias("key"), *keep)
+    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.substring(F.md5(said), 1, 16).alias("key"), *([F.struct(*keep).alias("kept")] if keep else []))
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def filled(sources: DataFrame, share: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 13, keep: tuple[str, ...] = (), max_broadcast: int = 1 << 16) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, copies (times it is taken whole), cut (words of one more, partial copy) and keep.
+    """Per document: doc_id, size, source_size, target, taken, copies (times it is taken whole), cut (words of one more, partial copy) and keep (other names than these).
 
     Sources in order of code points, null last, have the weights in turn. Together they take `share` of all words, none
     more than `most` times its own. Up to max_broadcast (range, source) pairs go to every task; beyond, both sides are shuffled.
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     few = plan.limit(max_broadcast + 1).count() <= max_broadcast
     joined = rows.withColumnRenamed("part", "own").join(F.broadcast(plan) if few else plan, F.expr("own = part AND source <=> from"))
     cut = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("offset") - F.col("before")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + cut).alias("taken"), "copies", cut.alias("cut"), *keep)
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + cut).alias("taken"), "copies", cut.alias("cut"), *(["kept.*"] if keep else []))
 
 
 def drawn(mixed: DataFrame, text: Column | str = "text") -> DataFrame:
