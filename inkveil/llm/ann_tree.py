@@ -248,11 +248,14 @@ class Searcher:
         sent = queries.sparkSession.sparkContext.broadcast((self.tree, self.held))
         keys = stash(self.keys(queries), "ann-queries")
         visits = self.visits = self.calibrate(keys)
+        # A query's id may stand at several vectors, none of which counts for it: so many more are looked for.
+        most = keys.groupBy("query_id").agg(F.count_distinct("vector").alias("n")).agg(F.max("n")).first()[0]
+        wanted = k + (most or 1)
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 vectors = b.column("vector").to_pylist()
-                leaves = [best_bins(sent.value[0], np.frombuffer(v), visits, sent.value[1], k + 1) for v in vectors]
+                leaves = [best_bins(sent.value[0], np.frombuffer(v), visits, sent.value[1], wanted) for v in vectors]
                 yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], ["vector", "leaves"])
 
         walked = keys.select("vector").distinct().mapInArrow(walk, "vector binary, leaves array<long>").select("vector", F.explode("leaves").alias("leaf"))
@@ -268,12 +271,12 @@ class Searcher:
             if not len(q) or not len(v):
                 return pd.DataFrame({"vector": [], "found": []})
             x, asked = (np.frombuffer(b"".join(d["vector"])).reshape(-1, width) for d in (v, q))
-            found = [[{"score": float(s), "vec_id": int(i)} for i, s in zip(own, score, strict=True)] for _, own, score in _partial(asked, x, list(v["ids"]), k + 1)]
+            found = [[{"score": float(s), "vec_id": int(i)} for i, s in zip(own, score, strict=True)] for _, own, score in _partial(asked, x, list(v["ids"]), wanted)]
             return pd.DataFrame({"vector": q["vector"], "found": found})
 
         group = ["leaf", "qb", "vb"]
         parts = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, "vector binary, found array<struct<score: double, vec_id: long>>")
-        merged = _merged(parts, "vector", k + 1)
+        merged = _merged(parts, "vector", wanted)
         mine = keys.join(merged, "vector").withColumn("found", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k))
         out = mine.select("query_id", F.posexplode("found").alias("at", "f"))
         return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))

@@ -199,21 +199,40 @@ def restored(token: str, cost: np.ndarray) -> tuple[str, bool]:
 # ---- features -----------------------------------------------------------------------------------------------------
 
 
-def features(word: str, anywhere: bool) -> list[str]:
-    out = []
-    for i in range(max(len(word) - 2, 1) if anywhere else 1):
-        w = word[i:]
-        if len(w) > 2:
-            out.append("=" + w)
-        out += ["^" + w[:n] for n in (4, 5, 6) if len(w) >= n]
-    return out
+UNTOLD = math.log(1 / 3)  # the score's log odds where labels are of one kind or no feature tells them apart: nothing counts as toxic
+CACHED_FEATURES = 1 << 19
+SPELLED = 64  # features up to so many letters are spelled, longer ones go by a 61-bit rolling hash: a token costs its length, not its square
+_BASE, _PRIME = 0x2545F4914F6CDD1D, (1 << 61) - 1
+
+
+def features(word: str, anywhere: bool) -> Iterator[str]:
+    """Beginnings of 4, 5 and 6 letters and the whole rest of the word, from its start or from anywhere in it."""
+    hashed = 0
+    stop = max(len(word) - 2, 1) if anywhere else 1
+    for i in range(len(word) - 1, stop - 1, -1) if len(word) > SPELLED else ():
+        hashed = (hashed * _BASE + ord(word[i]) + 1) % _PRIME
+    for i in range(stop - 1, -1, -1):
+        size = len(word) - i
+        if len(word) > SPELLED:
+            hashed = (hashed * _BASE + ord(word[i]) + 1) % _PRIME
+        if size > SPELLED:
+            yield f"#{hashed:x}"
+        elif size > 2:
+            yield "=" + word[i:]
+        yield from ("^" + word[i : i + n] for n in (4, 5, 6) if size >= n)
+
+
+def told_features(token: str, cost: np.ndarray) -> Iterator[str]:
+    """Those of the restored token; where it is of letters only and may be a word as it stands, its own too. Some may come twice."""
+    word, decoded = restored(token, cost)
+    yield from features(word, decoded)
+    own = token.strip(_EDGES) if decoded else ""
+    if own.isalpha():
+        yield from features(own, False)
 
 
 def token_features(token: str, cost: np.ndarray) -> set[str]:
-    """Those of the restored token; where it is of letters only and may be a word as it stands, its own too."""
-    word, decoded = restored(token, cost)
-    own = token.strip(_EDGES) if decoded else ""
-    return {*features(word, decoded), *(features(own, False) if own.isalpha() else ())}
+    return set(told_features(token, cost))
 
 
 def tokens(text: str) -> set[str]:
@@ -235,7 +254,7 @@ class Features(dict):
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) > CACHED_TOKENS:
             self.clear()
-        found = tuple({i for f in token_features(token, self.cost) if (i := self.ids.get(f)) is not None})
+        found = tuple({i for f in told_features(token, self.cost) if (i := self.ids.get(f)) is not None})
         self[token] = found
         return found
 
@@ -257,22 +276,29 @@ def held_out() -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of at most `sample` documents that aren't held out."""
+    """(text, toxic) of at most `sample` documents that aren't held out, a row each: where rows of one doc_id differ, the least text counts."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = one.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return stash(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"), "labelled")
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return stash(joined.select("text", "toxic"), "labelled")
 
 
 def _common(rows: DataFrame, cost: np.ndarray, most: int) -> list[str]:
     """Features in 3 toxic documents or more, the most frequent `most` of them."""
     sent = rows.sparkSession.sparkContext.broadcast(cost)
 
+    def told(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in chunks(batches):
             for text in batch.column("text").fill_null("").to_pylist():
-                seen.update({f for t in tokens(text) for f in token_features(t, sent.value)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+                seen.update({f for t in tokens(text) for f in told_features(t, sent.value)})
+                if len(seen) > CACHED_FEATURES:  # counts of a feature add up further on
+                    yield told(seen)
+                    seen.clear()
+        yield told(seen)
 
     counted = rows.where("toxic = 1").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     return [r["feature"] for r in counted.where("n >= 3").orderBy(F.desc("n"), "feature").limit(most).collect()]
@@ -313,15 +339,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     rows = labelled(docs, labels, sample)
     size = {int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     good, bad = size.get(0, 0), size.get(1, 0)
-    prior = math.log((bad + 0.5) / (good + 1.5))
+    untold = Model(cost, {}, np.zeros(0), UNTOLD)
     if not good or not bad:
-        return Model(cost, {}, np.zeros(0), prior)
+        return untold
     names = _common(rows, cost, 16 * features)
     seen = _counted(rows, names, cost)
     odds = np.log((seen[1] + 0.5) / (bad - seen[1] + 0.5)) - np.log((seen[0] + 0.5) / (good - seen[0] + 0.5))
     sure = odds / np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
     chosen = [i for i in np.argsort(-np.abs(sure), kind="stable")[:features] if abs(sure[i]) > 3]
     ids = {names[i]: k for k, i in enumerate(chosen)}
+    if not ids:
+        return untold
     sent = rows.sparkSession.sparkContext.broadcast((ids, cost))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

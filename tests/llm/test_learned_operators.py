@@ -240,3 +240,50 @@ def test_pipeline_of_odd_and_no_rows(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert docs.limit(1).count() == out.limit(1).count()
             docs = out
+
+
+def test_features_of_a_long_token_are_linear(spark):
+    """200,000 letters and digits: memory and time of a token's length, not of its square."""
+    import random
+    import resource
+
+    rng = random.Random(3)
+    token = "".join(rng.choice("abcdefgh0134") for _ in range(200_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = toxicity.token_features(token, likely("idiot"))
+    assert len(found) > 100_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+def test_long_features_tell_words_apart_as_spelled_ones():
+    a, b = "x" * 100 + "abc", "x" * 100 + "abd"
+    long_a, long_b = ({f for f in toxicity.features(w, True) if f.startswith("#")} for w in (a, b))
+    assert len(long_a) == len(long_b) == 103 - toxicity.SPELLED and not long_a & long_b
+    assert next(f for f in toxicity.features("q" + a, False) if f[0] == "#") not in long_a
+    assert set(toxicity.features(a, True)) <= set(toxicity.features("zz" + a, True))
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_labels_of_one_kind_reject_nothing(spark, label):
+    """Nor does a model without features."""
+    docs = spark.createDataFrame([(i, f"text number {i}", "en", "s", 13) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1, label)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 40 and {r["predicted"] for r in got} == {0}
+    mostly = spark.createDataFrame([(i, 1, int(i % 5 > 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert {r["predicted"] for r in toxicity.toxicity(docs.withColumn("text", F.lit("same words")), mostly).collect()} == {0}
+
+
+def test_repeated_doc_ids_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(7, "b"), (7, "a"), (7, "a"), (8, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
+    ids = {r["doc_id"] for r in labels.where(~toxicity.held_out()).select("doc_id").collect()}
+    got = sorted(r["text"] for r in toxicity.labelled(docs, labels, 100).collect())
+    assert got == sorted(["a"] * (7 in ids) + ["c"] * (8 in ids))
+
+
+def test_query_id_of_two_vectors_still_gets_k(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(40)] + [(0, [0.25, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann_tree.Searcher(table).search(table.where("vec_id = 0")).collect()
+    assert len(found) == 20 and all(r["vec_id"] != 0 for r in found)
+    assert sorted({r["vec_id"] for r in found}) == list(range(1, 11))
