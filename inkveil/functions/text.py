@@ -97,6 +97,16 @@ def mask(category: Column, value: Column) -> Column:
     )
 
 
+def given(value: Column) -> Column:
+    """A generator: a row with the value, none where it is null. Unlike a filter after a projection, it computes the value once."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
+def changed(text: Column, rewritten: Column) -> Column:
+    """A generator of the rewritten text where it differs."""
+    return given(let(rewritten, lambda x: F.when(x != text, x)))
+
+
 def lookup(table: dict[str, float], key: Column, default: float) -> Column:
     pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))

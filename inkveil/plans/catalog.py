@@ -15,6 +15,7 @@ from ..operators import events as ev
 from ..operators import policy as p
 from ..operators import redaction as r
 from ..sources import pages as pg
+from .derived import derived, fed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,8 +102,8 @@ def doc_masked_values(spark, sf):
 
 @query
 def labelled_fields(spark, sf):
-    """Labelled names, ids, cards and codes, greetings and numbers in seeded lines (the tables have none)."""
-    seeds = spark.createDataFrame(SEEDED_LINES, "line_id long, text string")
+    """Labelled names, ids, cards and codes, greetings and numbers in seeded lines and in lines on customers."""
+    seeds = fed(spark, sf, "lines", SEEDED_LINES, "line_id long, text string")
     found = seeds.select("line_id", F.explode(d.labelled_found(F.col("text"))).alias("s")).select("line_id", "s.kind", "s.start", "s.end", "s.value")
     plain = d.spans_of(seeds, "line_id", "text", c.SSN).select("line_id", F.lit("ssn").alias("kind"), "start", "end", "value")
     return found.unionByName(plain)
@@ -150,10 +151,11 @@ def doc_policy_decisions(spark, sf):
 
 @query
 def policy_matrix(spark, sf):
-    """All combinations of category, relevance, destination and authorization."""
+    """All combinations of category, relevance, destination and authorization, and those of events."""
     item = spark.range(1).select()
     for name, values in (("category", POLICY_CATEGORIES), ("relevance", POLICY_RELEVANCE), ("destination", POLICY_DESTINATIONS), ("authorized", (True, False)), ("detection", (0.5, 0.9))):
         item = item.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    item = item.unionByName(derived(spark, sf, "matrix").withColumn("detection", F.col("detection").cast("double")))
     rows = item.withColumn("necessity", p.necessity(F.col("category"), F.col("relevance")))
     one = F.lit(0.9)
     choice = p.decide(F.col("category"), F.lit(None).cast("string"), F.col("relevance"), F.col("necessity"), F.col("destination"), F.col("authorized"), F.col("detection"), one, one)
@@ -216,13 +218,14 @@ def leak_audit_control(spark, sf):
 
 @query
 def token_secret_scrub(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", r.scrub_secrets(F.col("text")).alias("scrubbed"))
-    return docs.where("scrubbed <> text").select("doc_id", F.sha2("scrubbed", 256).alias("scrubbed_sha256"))
+    docs = table(spark, sf, "documents").select("doc_id", t.changed(F.col("text"), r.scrub_secrets(F.col("text"))).alias("scrubbed"))
+    return docs.select("doc_id", F.sha2("scrubbed", 256).alias("scrubbed_sha256"))
 
 
 @query
 def payload_audit(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(r.payload_errors(F.col("text")), ",").alias("errors")).where("errors <> ''")
+    errors = t.let(r.payload_errors(F.col("text")), lambda e: F.when(F.size(e) > 0, F.array_join(e, ",")))
+    return table(spark, sf, "documents").select("doc_id", t.given(errors).alias("errors"))
 
 
 @query
@@ -359,15 +362,17 @@ def event_stale(spark, sf):
 BOXES = [(1, 50, 50, 100, 20), (2, 52, 51, 98, 18), (3, 140, 55, 90, 20), (4, 400, 300, 10, 0), (5, 410, 310, 0, 10), (6, 120, 60, 400, 300), (7, 700, 20, 30, 30)]
 
 
-def _boxes(spark):
-    rows = spark.createDataFrame([tuple(map(float, b)) for b in BOXES], "id double, x double, y double, width double, height double")
-    return rows.select(F.col("id").cast("long").alias("id"), g.box(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("b"))
+def _boxes(spark, sf):
+    """Seeded boxes and those of order lines; a box's page is its number without the last digit."""
+    rows = fed(spark, sf, "boxes", [tuple(map(float, b)) for b in BOXES], "id double, x double, y double, width double, height double")
+    return rows.select(F.col("id").cast("long").alias("id"), F.floor(F.col("id") / 10).cast("long").alias("page"), g.box(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("b"))
 
 
 @query
 def bbox_overlap(spark, sf):
-    a, b = (_boxes(spark).select(F.col("id").alias(n), F.col("b").alias(f"box_{n}")) for n in ("a", "b"))
-    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & g.overlap(F.col("box_a"), F.col("box_b"))).select("a", "b")  # seven fixed boxes
+    """Pairs of boxes of one page that overlap."""
+    a, b = (_boxes(spark, sf).select("page", F.col("id").alias(n), F.col("b").alias(f"box_{n}")) for n in ("a", "b"))
+    return a.join(b, "page").where((F.col("a") < F.col("b")) & g.overlap(F.col("box_a"), F.col("box_b"))).select("a", "b")
 
 
 @query
@@ -375,7 +380,7 @@ def bbox_transform(spark, sf):
     size = [F.lit(float(x)) for x in (1280, 720, 2560, 1440)]
     view, page = g.viewport_to_bitmap(F.col("b"), *size), g.page_to_bitmap(F.col("b"), F.lit(0.0), F.lit(40.0), *size)
     visible, back = g.in_viewport(F.col("b"), F.lit(0.0), F.lit(40.0), *size[:2]), g.bitmap_to_viewport(F.col("b"), *size)
-    out = _boxes(spark).select("id", view.alias("v"), page.alias("p"), back.alias("k"), visible.alias("visible"))
+    out = _boxes(spark, sf).select("id", view.alias("v"), page.alias("p"), back.alias("k"), visible.alias("visible"))
     return out.select("id", "visible", *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in "vpk" for f in ("x", "y", "width", "height")])
 
 
@@ -387,6 +392,7 @@ def confidence_table(spark, sf):
     cats = spark.range(1).select(F.explode(F.array(*map(F.lit, [*c.BASE_CONFIDENCE, "unlisted"]))).alias("category"))
     groups = F.array(*[F.array(*map(F.lit, e)).cast("array<string>") for e in EVIDENCE])
     rows = cats.select("category", F.posexplode(groups).alias("evidence_no", "evidence"))
+    rows = rows.unionByName(derived(spark, sf, "evidence").select("category", "evidence_no", F.get(groups, F.col("evidence_no").cast("int")).alias("evidence")))
     return rows.select("category", F.col("evidence_no").cast("long").alias("evidence_no"), t.confidence(F.col("category"), F.col("evidence")).alias("confidence"))
 
 
@@ -399,8 +405,8 @@ VAULT_ASKS = [
 
 @query
 def vault_retrieve_codes(spark, sf):
-    vault = spark.createDataFrame(VAULT, "vault_id long, state string, expires_ms long, purpose string")
-    asks = spark.createDataFrame(VAULT_ASKS, "ask_id long, vault_id long, destination string, authorized boolean, wanted string")
+    vault = fed(spark, sf, "vault", VAULT, "vault_id long, state string, expires_ms long, purpose string")
+    asks = fed(spark, sf, "vault_asks", VAULT_ASKS, "ask_id long, vault_id long, destination string, authorized boolean, wanted string")
     rows = asks.join(vault.withColumn("known", F.lit(True)), "vault_id", "left")
     code = p.vault_result(F.col("known"), F.col("destination"), F.col("state"), F.col("expires_ms"), F.lit(1000), F.col("authorized"), F.col("purpose"), F.col("wanted"))
     return rows.select("ask_id", code.alias("code"))
@@ -421,7 +427,7 @@ def task_intent(spark, sf):
         ladder = F.when(test, value) if ladder is None else ladder.when(test, value)
     clause = F.array_join(F.regexp_extract_all(low, F.lit(c.java(c.NEGATION)), F.lit(1)), " ")
     named = lambda text: F.array_compact(F.array(*[F.when(text.rlike(c.java(rf"\b(?:{w})\b")), k) for k, w in c.CATEGORY_WORDS.items()]))
-    rows = spark.createDataFrame(GOALS, "goal_id long, goal string").select("goal_id", ladder.alias("i"), named(clause).alias("negated"), named(low).alias("named"))
+    rows = fed(spark, sf, "goals", GOALS, "goal_id long, goal string").select("goal_id", ladder.alias("i"), named(clause).alias("negated"), named(low).alias("named"))
     return rows.select(
         "goal_id", F.coalesce("i.intent", F.lit("UNKNOWN")).alias("intent"), F.coalesce("i.confidence", F.lit(0.5)).alias("confidence"),
         F.array_join("negated", ",").alias("negated"), F.array_join(F.array_except("named", "negated"), ",").alias("explicit"),

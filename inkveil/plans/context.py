@@ -8,6 +8,7 @@ from .. import config as c
 from ..functions import geometry as g
 from ..operators import context, policy
 from .catalog import query, table
+from .derived import fed
 
 ELEMENTS = [
     (1, 1, "e1", "n1", "email", "text", "email", "user email", ""), (1, 2, "e2", "n2", "password", "password", "", "pw", ""), (1, 3, "e3", "n3", "card_number", "text", "cc-number", "card", ""),
@@ -23,8 +24,8 @@ ITEMS = [
 @query
 def semantic_roles(spark, sf):
     """Items with the element they belong to, and what they are there."""
-    items = spark.createDataFrame(ITEMS, "page_id long, item_id string, node_id string, category string, request string")
-    rows = context.with_element(items, spark.createDataFrame(ELEMENTS, ELEMENT_SCHEMA))
+    items = fed(spark, sf, "items", ITEMS, "page_id long, item_id string, node_id string, category string, request string")
+    rows = context.with_element(items, fed(spark, sf, "elements", ELEMENTS, ELEMENT_SCHEMA))
     role = context.role(F.col("category"), F.col("element_type"), F.col("autocomplete"), F.col("names"), F.col("role"), F.col("request"))
     return rows.withColumn("r", role).select("page_id", "item_id", "pos", "r.role", "r.confidence")
 
@@ -35,8 +36,8 @@ RELEVANCE = [(1, "e1", None, "REQUIRED"), (2, None, "email", "OPTIONAL"), (3, No
 @query
 def item_relevance(spark, sf):
     """Relevance by id, else by category; the last record counts."""
-    items = spark.createDataFrame([(i, k) for _, i, _, k, _ in ITEMS], "item_id string, category string")
-    return policy.with_relevance(items, spark.createDataFrame(RELEVANCE, "pos int, item_id string, category string, relevance string"))
+    items = fed(spark, sf, "item_names", [(i, k) for _, i, _, k, _ in ITEMS], "item_id string, category string")
+    return policy.with_relevance(items, fed(spark, sf, "relevance", RELEVANCE, "pos int, item_id string, category string, relevance string"))
 
 
 BLOCKS = [
@@ -45,22 +46,22 @@ BLOCKS = [
 POLICIES = [(1, 2, "person_name", "TOKENIZE", "T1", 10, 40, 90, 12), (1, 1, "id", "LOCAL_ONLY", None, 900, 900, 5, 5), (1, 3, "", None, None, 410, 42, 30, 8), (2, 1, "phone", "REDACT", None, 700, 700, 1, 1), (3, 1, "address", "REDACT", None, 500, 500, 1, 1)]
 
 
-def _boxed(spark, rows, schema):
+def _boxed(spark, sf, name, rows, schema):
     own = g.box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    return spark.createDataFrame(rows, schema).withColumn("box", own)
+    return fed(spark, sf, name, rows, schema).withColumn("box", own)
 
 
 @query
 def ocr_pii(spark, sf):
-    blocks = spark.createDataFrame([(p, n, t, s) for p, n, t, *_, s in BLOCKS], "page_id long, pos int, text string, confidence double")
+    blocks = fed(spark, sf, "ocr_texts", [(p, n, t, s) for p, n, t, *_, s in BLOCKS], "page_id long, pos int, text string, confidence double")
     found = blocks.where("trim(text) <> ''").select("page_id", "pos", F.explode(context.ocr_found(F.col("text"), F.col("confidence"))).alias("f"))
     return found.select("page_id", "pos", "f.type", "f.value", "f.confidence")
 
 
 @query
 def block_policies(spark, sf):
-    blocks = _boxed(spark, [(p, n, t, *map(float, b)) for p, n, t, *b, _ in BLOCKS], "page_id long, pos int, text string, x double, y double, width double, height double")
-    rules = _boxed(spark, [(*r[:5], *map(float, r[5:])) for r in POLICIES], "page_id long, rank int, category string, decision string, token string, x double, y double, width double, height double")
+    blocks = _boxed(spark, sf, "placed_texts", [(p, n, t, *map(float, b)) for p, n, t, *b, _ in BLOCKS], "page_id long, pos int, text string, x double, y double, width double, height double")
+    rules = _boxed(spark, sf, "policies", [(*r[:5], *map(float, r[5:])) for r in POLICIES], "page_id long, rank int, category string, decision string, token string, x double, y double, width double, height double")
     return context.block_decisions(blocks.select("page_id", "pos", "text", "box"), rules)
 
 
@@ -89,5 +90,5 @@ ENTRIES = [(1, "ACTIVE", 5000), (1, "ACTIVE", 900), (1, "REVOKED", 5000), (2, "E
 @query
 def vault_sizes(spark, sf):
     """Entries that still count at 1000 ms."""
-    rows = spark.createDataFrame(ENTRIES, "vault_id long, state string, expires_ms long")
+    rows = fed(spark, sf, "entries", ENTRIES, "vault_id long, state string, expires_ms long")
     return rows.groupBy("vault_id").agg(F.count_if((F.col("state") == "ACTIVE") & (F.col("expires_ms") > 1000)).alias("size"))

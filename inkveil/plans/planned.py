@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as c
+from ..functions import text as t
 from ..operators import goals, planning, policy
 from .catalog import query, table
+from .derived import fed
 from .spoken import GOALS
 
 MORE_GOALS = [
@@ -22,9 +24,9 @@ ENTITIES = [(103, 1, "from", "Ana", True), (109, 1, None, "please", False), (116
 STARTS = [(101, "https://shop.example/"), (102, "about:blank"), (103, "https://mail.example/"), (105, "chrome://newtab"), (107, ""), (112, "https://a.example/"), (115, "https://a.example/")]
 
 
-def _specs(spark):
+def _specs(spark, sf):
     """Goals with what they were given: constraints, entities, the page they start from."""
-    goals_ = spark.createDataFrame(GOALS + MORE_GOALS, "goal_id long, goal string")
+    goals_ = fed(spark, sf, "goals", GOALS + MORE_GOALS, "goal_id long, goal string")
     given = spark.createDataFrame(CONSTRAINTS, "goal_id long, pos int, name string, operator string, value string, is_update boolean")
     named = spark.createDataFrame(ENTITIES, "goal_id long, pos int, preposition string, text string, person boolean")
 
@@ -47,14 +49,14 @@ def _specs(spark):
 def goal_spec(spark, sf):
     """Operations, entity and summary of each goal."""
     names = ("goal", "entity", "domain", "ordinal", "chosen", "click_target", "action", "constraints")
-    return _specs(spark).select("goal_id", F.array_join("ops", ",").alias("operations"), "entity", planning.summary(*map(F.col, names)).alias("summary"))
+    return _specs(spark, sf).select("goal_id", F.array_join("ops", ",").alias("operations"), "entity", planning.summary(*map(F.col, names)).alias("summary"))
 
 
 @query
 def goal_plan(spark, sf):
     """The tasks of each goal, in order."""
     names = ("goal", "url", "ops", "entity", "domain", "explicit", "ordinal", "chosen", "click_target", "action", "constraints", "entities")
-    tasks = _specs(spark).select("goal_id", F.posexplode(planning.plan(*map(F.col, names))).alias("pos", "t"))
+    tasks = _specs(spark, sf).select("goal_id", F.posexplode(planning.plan(*map(F.col, names))).alias("pos", "t"))
     return tasks.select("goal_id", "pos", "t.type", "t.description", "t.target")
 
 
@@ -71,13 +73,13 @@ SEEN = [
 @query
 def page_obstacles(spark, sf):
     """What stands in the way of each state's task, and how its plan changes."""
-    states = spark.createDataFrame(STATES, "state_id long, task_type string, failures int, overlay boolean, nothing_found boolean, replans int")
-    elements = spark.createDataFrame(SEEN, "state_id long, pos int, element_id string, tag string, role string, text string, aria_label string, width double, height double")
+    states = fed(spark, sf, "states", STATES, "state_id long, task_type string, failures int, overlay boolean, nothing_found boolean, replans int")
+    elements = fed(spark, sf, "seen", SEEN, "state_id long, pos int, element_id string, tag string, role string, text string, aria_label string, width double, height double")
     return planning.obstacles(states, elements)
 
 
-def _mixed(spark):
-    rows = spark.createDataFrame(c.MIXED_CONTENT, "item_id string, category string, detection double, role string, relevance string, necessity string, destination string, value string")
+def _mixed(spark, sf):
+    rows = fed(spark, sf, "mixed", c.MIXED_CONTENT, "item_id string, category string, detection double, role string, relevance string, necessity string, destination string, value string")
     sure = F.lit(0.9)
     choice = policy.decide(*[F.col(x) for x in ("category", "role", "relevance", "necessity", "destination")], F.lit(False), F.col("detection"), sure, sure)
     # Bound once: the ladder is long, and all that follows asks for it several times.
@@ -88,8 +90,8 @@ def _mixed(spark):
 
 @query
 def mixed_content(spark, sf):
-    """Seven fixed items, their decisions and what each place shows of them."""
-    return _mixed(spark).select("item_id", "decision", "shown.*")
+    """Seven fixed items and those of events, their decisions and what each place shows of them."""
+    return _mixed(spark, sf).select("item_id", "decision", "shown.*")
 
 
 REPRESENTED = [
@@ -100,12 +102,12 @@ REPRESENTED = [
 
 @query
 def representation_violations(spark, sf):
-    """Items that some place shows otherwise than decided: seeded ones; of the seven fixed items, none."""
-    seeded = spark.createDataFrame(REPRESENTED, "item_id long, decision string, token string, dom_masked boolean, screenshot_masked boolean, remote_payload string")
+    """Items that some place shows otherwise than decided: seeded ones and those of events; of the items that were decided here, none."""
+    seeded = fed(spark, sf, "represented", REPRESENTED, "item_id long, decision string, token string, dom_masked boolean, screenshot_masked boolean, remote_payload string")
     masked = F.col("shown.screenshot").startswith("Masked")
-    own = _mixed(spark).select(F.lit(0).cast("long").alias("item_id"), "decision", "token", (F.col("decision") != "ALLOW").alias("dom_masked"), masked.alias("screenshot_masked"), "shown.remote_payload")
+    own = _mixed(spark, sf).select(F.lit(0).cast("long").alias("item_id"), "decision", "token", (F.col("decision") != "ALLOW").alias("dom_masked"), masked.alias("screenshot_masked"), "shown.remote_payload")
     broken = policy.violation(*[F.col(x) for x in ("decision", "token", "dom_masked", "screenshot_masked", "remote_payload")])
-    return seeded.unionByName(own).select("item_id", broken.alias("violation")).where("violation IS NOT NULL")
+    return seeded.unionByName(own).select("item_id", t.given(broken).alias("violation"))
 
 
 SOURCES = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import config as c
 from . import planned as s
+from .derived import relation
 from .spoken import GOALS
 from .spoken_sql import goal_parse
 from .sql import ORACLE_SQL, in_, q, values
@@ -33,7 +34,7 @@ r AS (
     (SELECT count(*) FROM given x WHERE x.goal_id = p.goal_id) AS n_given, (SELECT count(*) FROM given x WHERE x.goal_id = p.goal_id AND is_update) AS n_sets,
     (SELECT count(*) FROM given x WHERE x.goal_id = p.goal_id AND NOT is_update AND NOT {in_("name", c.NO_FILTER)}) AS n_filters,
     (SELECT count(*) FROM named x WHERE x.goal_id = p.goal_id) AS n_named, (SELECT count(*) FROM named x WHERE x.goal_id = p.goal_id AND person) AS n_people
-  FROM parsed p JOIN {values(GOALS + s.MORE_GOALS, "goal_id, goal")} g USING (goal_id) LEFT JOIN starts u USING (goal_id)
+  FROM parsed p JOIN {relation("goals", values(GOALS + s.MORE_GOALS, "goal_id, goal"), "goal_id, goal")} g USING (goal_id) LEFT JOIN starts u USING (goal_id)
 ), a AS (
   SELECT *, ({SIGN["search"]} OR domain = 'ecommerce' OR (domain = 'research' AND NOT chosen)) AS search, (acts OR {SIGN["press"]}) AS pressed,
     (n_sets > 0 OR {SIGN["fill"]} OR domain = 'form_filling') AS fill, (acts OR {SIGN["press"]} OR {SIGN["send"]}) AS send,
@@ -81,7 +82,7 @@ LOW, BOTH = "lower(coalesce(text, ''))", "lower(coalesce(text, '') || ' ' || coa
 CLOSER = f"""(coalesce(width > 0 AND height > 0, true) AND (regexp_matches({BOTH}, {q(c.MODAL_CLOSE)}) OR (coalesce(tag, '') = 'button' AND coalesce(text, '') = '×') OR coalesce(aria_label, '') ILIKE '%close%')
   AND (coalesce(tag, '') IN ('button', 'a', '') OR coalesce(role, '') = 'button'))"""
 ORACLE_SQL["page_obstacles"] = f"""
-WITH st AS {values(s.STATES, "state_id, task_type, failures, overlay, nothing_found, replans")}, el AS {values(s.SEEN, "state_id, pos, element_id, tag, role, text, aria_label, width, height")},
+WITH st AS {relation("states", values(s.STATES, "state_id, task_type, failures, overlay, nothing_found, replans"), "state_id, task_type, failures, overlay, nothing_found, replans")}, el AS {relation("seen", values(s.SEEN, "state_id, pos, element_id, tag, role, text, aria_label, width, height"), "state_id, pos, element_id, tag, role, text, aria_label, width, height")},
 fl AS (
   SELECT state_id, bool_or(regexp_matches({LOW}, {q(c.MODAL)})) AS modal, bool_or(regexp_matches({LOW}, {q(c.NOTHING_FOUND)})) AS nothing, arg_min(element_id, pos) FILTER ({CLOSER}) AS close_id,
     arg_min(CASE WHEN coalesce(text, '') <> '' THEN text WHEN coalesce(aria_label, '') <> '' THEN aria_label ELSE 'Close' END, pos) FILTER ({CLOSER}) AS close_name,
@@ -97,18 +98,25 @@ SELECT CAST(state_id AS BIGINT) AS state_id, obstacle, CASE obstacle WHEN 'modal
     {" ".join(f"WHEN obstacle = '{k}' THEN {q(why)}" + (" || target_id" if k == "modal_overlay" else "") for k, (_, why) in c.REPLAN_TASKS.items())} END AS reason,
   CASE WHEN NOT spent THEN CASE obstacle {" ".join(f"WHEN '{k}' THEN '{task}'" for k, (task, _) in c.REPLAN_TASKS.items())} END END AS new_task FROM o"""
 
+_SECRET = f"(role = 'authentication_secret' OR {in_('category', c.SECRETS)} OR ({in_('destination', c.LOCAL)} AND {in_('category', c.CARDS)}))"
+_PUBLIC = f"({in_('category', c.PUBLIC)} OR role IN ('public_product_attribute', 'contextual_reference'))"
+_REMOTE, _UNKNOWN = in_("destination", c.REMOTE), "(relevance = 'UNKNOWN' AND necessity = 'UNKNOWN')"
+DECISION = f"""CASE WHEN {_SECRET} AND (relevance = 'IRRELEVANT' OR necessity = 'UNNECESSARY') THEN 'REDACT' WHEN {_SECRET} THEN 'LOCAL_ONLY'
+    WHEN relevance = 'IRRELEVANT' OR necessity = 'UNNECESSARY' THEN 'REDACT' WHEN {_UNKNOWN} AND {_PUBLIC} THEN 'ALLOW' WHEN {_UNKNOWN} OR detection < 0.6 THEN 'REDACT' WHEN {_PUBLIC} THEN 'ALLOW'
+    WHEN {_REMOTE} AND necessity = 'LOCAL_EXECUTION_ONLY' THEN 'LOCAL_ONLY'
+    WHEN {_REMOTE} AND {in_('category', c.TOKENIZABLE)} AND (necessity IN ('REMOTE_REASONING_REQUIRED', 'CONTEXTUAL_REFERENCE') OR (necessity = 'UNKNOWN' AND relevance IN ('REQUIRED', 'OPTIONAL'))) THEN 'TOKENIZE'
+    WHEN {_REMOTE} THEN 'REDACT' ELSE 'LOCAL_ONLY' END"""
 SHOWN = """SELECT *, CASE decision WHEN 'ALLOW' THEN value WHEN 'TOKENIZE' THEN token WHEN 'LOCAL_ONLY' THEN '[LOCAL_ONLY_PROTECTED]' ELSE '[REDACTED]' END AS dom,
     CASE decision WHEN 'ALLOW' THEN 'Clear / Visible (Safe Context)' ELSE 'Masked (Solid Black Fill)' END AS screenshot FROM (
   SELECT *, CASE decision WHEN 'TOKENIZE' THEN 'PII_TOKEN_' || upper(category) END AS token FROM (
-    SELECT *, CASE WHEN role = 'authentication_secret' AND relevance = 'REQUIRED' THEN 'LOCAL_ONLY' WHEN relevance = 'IRRELEVANT' THEN 'REDACT' WHEN role = 'public_product_attribute' THEN 'ALLOW' WHEN category = 'email' THEN 'TOKENIZE' ELSE 'REDACT' END AS decision
-    FROM """ + values(c.MIXED_CONTENT, "item_id, category, detection, role, relevance, necessity, destination, value") + "))"
+    SELECT *, """ + DECISION + """ AS decision FROM """ + relation("mixed", values(c.MIXED_CONTENT, "item_id, category, detection, role, relevance, necessity, destination, value"), "item_id, category, detection, role, relevance, necessity, destination, value") + "))"
 ORACLE_SQL["mixed_content"] = f"""
 SELECT item_id, decision, dom, screenshot, CASE decision WHEN 'LOCAL_ONLY' THEN 'EXCLUDED (Zero Remote Egress)' ELSE dom END AS remote_payload,
   CASE decision WHEN 'ALLOW' THEN 'Not Stored (Public)' WHEN 'TOKENIZE' THEN 'Stored Locally in PrivacyVault (Token Map)' WHEN 'LOCAL_ONLY' THEN 'Stored Locally in PrivacyVault (Purpose Isolated)' ELSE 'Not Stored (Minimized)' END AS vault FROM ({SHOWN})"""
 V = c.VIOLATIONS
 ORACLE_SQL["representation_violations"] = f"""
-WITH i AS (SELECT * FROM {values(s.REPRESENTED, "item_id, decision, token, dom_masked, screenshot_masked, remote_payload")}
-  UNION ALL SELECT 0, decision, token, decision <> 'ALLOW', screenshot LIKE 'Masked%', CASE decision WHEN 'LOCAL_ONLY' THEN 'EXCLUDED (Zero Remote Egress)' ELSE dom END FROM ({SHOWN})),
+WITH shown_ AS MATERIALIZED ({SHOWN}), i AS MATERIALIZED (SELECT * FROM {relation("represented", values(s.REPRESENTED, "item_id, decision, token, dom_masked, screenshot_masked, remote_payload"), "item_id, decision, token, dom_masked, screenshot_masked, remote_payload")}
+  UNION ALL SELECT 0, decision, token, decision <> 'ALLOW', screenshot LIKE 'Masked%', CASE decision WHEN 'LOCAL_ONLY' THEN 'EXCLUDED (Zero Remote Egress)' ELSE dom END FROM shown_),
 v AS (SELECT item_id, CASE decision
     WHEN 'ALLOW' THEN CASE WHEN dom_masked THEN {q(V["allow_dom"])} WHEN screenshot_masked THEN {q(V["allow_screenshot"])} END
     WHEN 'TOKENIZE' THEN CASE WHEN coalesce(token, '') = '' THEN {q(V["token"])} WHEN remote_payload <> '' AND remote_payload <> token THEN {q(V["token_payload"])} WHEN NOT screenshot_masked THEN 'TOKENIZE{V["screenshot"]}' END

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import geometry as g
+from ..functions import text as t
 from ..operators import detection as d
 from ..operators import entities as en
 from ..operators import gates, layout
 from ..operators import policy as p
 from ..sources import pages as pg
 from .catalog import query, table
+from .derived import derived, fed
 
 FIELDS = [
     (1, "password", "", "pw", "", "", "", ""), (2, "text", "email", "user", "", "", "", ""), (3, "tel", "", "x", "", "", "", ""), (4, "text", "cc-number", "", "", "", "", ""), (5, "text", "one-time-code", "", "", "", "", ""),
@@ -23,7 +25,7 @@ FIELD_COLUMNS = ["type", "autocomplete", "name", "id", "placeholder", "aria_labe
 
 @query
 def field_categories(spark, sf):
-    rows = spark.createDataFrame(FIELDS, "field_id long, " + ", ".join(f"{x} string" for x in FIELD_COLUMNS))
+    rows = fed(spark, sf, "fields", FIELDS, "field_id long, " + ", ".join(f"{x} string" for x in FIELD_COLUMNS))
     own = [F.col(x) for x in FIELD_COLUMNS]
     return rows.select("field_id", gates.field_category(*own).alias("category"), gates.field_semantics(*own).alias("semantics"))
 
@@ -32,7 +34,7 @@ def field_categories(spark, sf):
 def payload_firewall(spark, sf):
     """The first reason why a document may not be sent, counted."""
     reason = gates.payload_reason(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", reason.alias("reason")).where("reason IS NOT NULL")
+    return table(spark, sf, "documents").select("doc_id", t.given(reason).alias("reason"))
 
 
 RESPONSES = [
@@ -44,7 +46,7 @@ RESPONSES = [
 
 @query
 def response_firewall(spark, sf):
-    rows = spark.createDataFrame(RESPONSES, "response_id long, json string")
+    rows = fed(spark, sf, "responses", RESPONSES, "response_id long, json string")
     return rows.select("response_id", F.coalesce(gates.response_reason(F.col("json")), F.lit("VALID")).alias("verdict"))
 
 
@@ -57,7 +59,7 @@ STORES = [
 
 @query
 def vault_store_codes(spark, sf):
-    rows = spark.createDataFrame(STORES, "op_id long, category string, pii_id string, length int, purpose_ok boolean, destination string, authorized boolean, policy string")
+    rows = fed(spark, sf, "stores", STORES, "op_id long, category string, pii_id string, length int, purpose_ok boolean, destination string, authorized boolean, policy string")
     return rows.select("op_id", gates.store_code(*[F.col(x) for x in ("category", "pii_id", "length", "purpose_ok", "destination", "authorized", "policy")]).alias("code"))
 
 
@@ -69,7 +71,7 @@ ASKED_ACTIONS = [
 
 @query
 def action_codes(spark, sf):
-    rows = spark.createDataFrame(ASKED_ACTIONS, "action_id long, kind string, destination string, has_target boolean, url string, parameters string")
+    rows = fed(spark, sf, "actions", ASKED_ACTIONS, "action_id long, kind string, destination string, has_target boolean, url string, parameters string")
     return rows.select("action_id", gates.action_code(*[F.col(x) for x in ("kind", "destination", "has_target", "url", "parameters")]).alias("code"))
 
 
@@ -87,7 +89,7 @@ TASK_CATEGORIES = ["email", "phone", "otp", "price", "payment_card"]
 
 @query
 def task_relevance(spark, sf):
-    rows = spark.createDataFrame(TASKS, "task_id long, intent string, negated array<string>, named array<string>, field boolean, contact boolean")
+    rows = fed(spark, sf, "tasks", TASKS, "task_id long, intent string, negated array<string>, named array<string>, field boolean, contact boolean")
     rows = rows.select("*", F.explode(F.array(*map(F.lit, TASK_CATEGORIES))).alias("category"))
     out = gates.relevance(*[F.col(x) for x in ("category", "intent", "negated", "named", "field", "contact")])
     return rows.withColumn("r", out).select("task_id", "category", "r.relevance", "r.confidence", p.necessity(F.col("category"), F.col("r.relevance")).alias("necessity"))
@@ -103,7 +105,7 @@ TARGETS = [(1, "phone number"), (2, "the email"), (3, "confirm order"), (4, "mes
 def target_resolution(spark, sf):
     """The best element of each target, more than 20 points, ties to the first; six fixed elements, so they are one broadcast array."""
     elements = F.array(*[F.struct(F.lit(i).cast("long").alias("element_id"), F.lit(s).alias("shown"), F.lit(k).alias("code"), F.lit(t).alias("kind")) for i, s, k, t in ELEMENTS])
-    rows = spark.createDataFrame(TARGETS, "target_id long, target string").select("*", F.explode(elements).alias("e"))
+    rows = fed(spark, sf, "targets", TARGETS, "target_id long, target string").select("*", F.explode(elements).alias("e"))
     scored = rows.select("target_id", "e.element_id", gates.target_score(F.col("target"), F.col("e.shown"), F.col("e.code"), F.col("e.kind")).cast("long").alias("score"))
     best = scored.groupBy("target_id").agg(F.max_by(F.struct("element_id", "score"), F.struct(F.col("score"), -F.col("element_id"))).alias("b"))
     return best.select("target_id", "b.element_id", "b.score").where("score > 20")
@@ -131,8 +133,8 @@ BLOCKS = [
 BLOCK_SCHEMA = "page_id long, pos int, text string, x double, y double, width double, height double, confidence double"
 
 
-def _blocks(spark):
-    return spark.createDataFrame([(a, b, t, *map(float, r)) for a, b, t, *r in BLOCKS], BLOCK_SCHEMA)
+def _blocks(spark, sf):
+    return fed(spark, sf, "blocks", [(a, b, t, *map(float, r)) for a, b, t, *r in BLOCKS], BLOCK_SCHEMA)
 
 
 @query
@@ -140,19 +142,19 @@ def ocr_blocks(spark, sf):
     """Blocks worth reading: text that isn't blank, confidence of 60 or more, at most 500 a page; confidence as a share."""
     from pyspark.sql import Window
 
-    kept = _blocks(spark).where("trim(text) <> '' AND confidence >= 60")
+    kept = _blocks(spark, sf).where("trim(text) <> '' AND confidence >= 60")
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     return kept.withColumn("n", n).where("n <= 500").select("page_id", "pos", "text", F.round(F.col("confidence") / 100, 2).alias("confidence"))
 
 
 @query
 def ocr_lines(spark, sf):
-    return layout.stitch(_blocks(spark), "page_id").select("page_id", "pos", "text", "width", "confidence")
+    return layout.stitch(_blocks(spark, sf), "page_id").select("page_id", "pos", "text", "width", "confidence")
 
 
 @query
 def cover_boxes(spark, sf):
-    rows = _blocks(spark).where("width > 0 AND height > 0").select("page_id", "pos", layout.cover(g.box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))).alias("c"))
+    rows = _blocks(spark, sf).where("width > 0 AND height > 0").select("page_id", "pos", layout.cover(g.box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))).alias("c"))
     return rows.select("page_id", "pos", "c.x", "c.y", "c.width", "c.height")
 
 
@@ -165,7 +167,7 @@ ITEMS = [
 @query
 def fused_items(spark, sf):
     rows = [(a, b, k, s, e, *map(float, r)) for a, b, k, s, e, *r in ITEMS]
-    return layout.fuse(spark.createDataFrame(rows, "page_id long, pos int, category string, source string, evidence array<string>, x double, y double, width double, height double"))
+    return layout.fuse(fed(spark, sf, "fusable", rows, "page_id long, pos int, category string, source string, evidence array<string>, x double, y double, width double, height double"))
 
 
 @query
@@ -217,7 +219,7 @@ def label_line_errors(spark, sf):
         F.when(F.trim("line") == "", "EMPTY").when(F.size(f) != 5, "FIELDS").when(cls.isNull(), "CLASS").when(~cls.between(0, 15), "CLASS_RANGE")
         .when(F.exists(values, lambda x: x.isNull()), "NUMBER").when(F.exists(values, lambda x: ~x.between(0, 1)), "RANGE").otherwise("OK")
     )
-    return spark.createDataFrame(LABEL_LINES, "line_no long, line string").select("line_no", reason.alias("reason"))
+    return fed(spark, sf, "label_lines", LABEL_LINES, "line_no long, line string").select("line_no", reason.alias("reason"))
 
 
 @query
@@ -232,6 +234,7 @@ def legacy_policy(spark, sf):
     rows = spark.range(1).select()
     for name, values in (("classification", ("sensitive", "not_sensitive")), ("purpose", ("remote_reasoning", "local_action", "other")), ("reference", (True, False)), ("authorized", (True, False))):
         rows = rows.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    rows = rows.unionByName(derived(spark, sf, "short_policies"))
     local, remote = F.col("purpose") == "local_action", F.col("purpose") == "remote_reasoning"
     category = F.when(local, "password_field").otherwise("email")
     needed = (local & F.col("authorized")) | (remote & F.col("reference"))

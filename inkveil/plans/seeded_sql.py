@@ -5,6 +5,7 @@ from __future__ import annotations
 from .. import config as c
 from ..operators import gates
 from . import seeded as s
+from .derived import relation
 from .sql import HYBRID, ORACLE_SQL, digits, luhn, q, spans, values
 
 NAMES = "field_id, " + ", ".join(s.FIELD_COLUMNS)
@@ -18,7 +19,7 @@ def ladder(rules, text: str) -> str:
 ORACLE_SQL["field_categories"] = f"""
 SELECT CAST(field_id AS BIGINT) AS field_id, CASE {ladder(gates.FIELD_RULES, TEXT)} END AS category,
   CASE {ladder(gates.SEMANTIC_RULES[:6], f"regexp_replace({TEXT}, '[._-]', ' ', 'g')")} WHEN contains(autocomplete, 'name') THEN 'person_name' {ladder(gates.SEMANTIC_RULES[6:], f"regexp_replace({TEXT}, '[._-]', ' ', 'g')")} END AS semantics
-FROM {values(s.FIELDS, NAMES)}"""
+FROM {relation("fields", values(s.FIELDS, NAMES), NAMES)}"""
 MASKED = "(contains(text, '[REDACTED]') OR contains(text, '{{TOKEN_') OR contains(text, '[LOCAL_ONLY'))"
 ORACLE_SQL["payload_firewall"] = f"""
 SELECT * FROM (SELECT doc_id, CASE
@@ -32,15 +33,15 @@ FROM documents) WHERE reason IS NOT NULL"""
 ORACLE_SQL["response_firewall"] = f"""
 SELECT CAST(response_id AS BIGINT) AS response_id, CASE WHEN NOT contains(json, '"ok"') THEN 'SHAPE' WHEN contains(json, 'Actions": {{') THEN 'NOT_AN_ARRAY'
   WHEN contains(json, '1,1,1,1,1,1,1,1,1,1,1') THEN 'TOO_MANY_ACTIONS' WHEN contains(json, '<script') THEN 'SCRIPT' WHEN contains(json, 'vaultSecret') THEN 'VAULT_SECRET'
-  WHEN contains(json, 'executeDirectly') THEN 'DIRECT_EXECUTION' ELSE 'VALID' END AS verdict FROM {values(s.RESPONSES, "response_id, json")}"""
+  WHEN contains(json, 'executeDirectly') THEN 'DIRECT_EXECUTION' ELSE 'VALID' END AS verdict FROM {relation("responses", values(s.RESPONSES, "response_id, json"), "response_id, json")}"""
 ORACLE_SQL["vault_store_codes"] = f"""
 SELECT CAST(op_id AS BIGINT) AS op_id, CASE WHEN trim(category) = '' OR pii_id IS NULL OR length NOT BETWEEN 1 AND 10000 OR NOT purpose_ok THEN 'DENIED_INVALID_REQUEST'
   WHEN destination NOT LIKE 'LOCAL%' THEN 'DENIED_REMOTE_DESTINATION' WHEN authorized = false THEN 'DENIED_UNAUTHORIZED' WHEN policy = 'REDACT' THEN 'DENIED_INVALID_REQUEST' ELSE 'GRANTED' END AS code
-FROM {values(s.STORES, "op_id, category, pii_id, length, purpose_ok, destination, authorized, policy")}"""
+FROM {relation("stores", values(s.STORES, "op_id, category, pii_id, length, purpose_ok, destination, authorized, policy"), "op_id, category, pii_id, length, purpose_ok, destination, authorized, policy")}"""
 ORACLE_SQL["action_codes"] = f"""
 SELECT CAST(action_id AS BIGINT) AS action_id, CASE WHEN kind = 'HACK' THEN 'DENIED_INVALID_ACTION' WHEN destination NOT LIKE 'LOCAL%' THEN 'DENIED_REMOTE_DESTINATION' WHEN NOT has_target THEN 'DENIED_INVALID_TARGET'
   WHEN kind = 'NAVIGATE' AND (url IS NULL OR url NOT LIKE 'http%:%') THEN 'DENIED_UNSAFE_ACTION' WHEN contains(parameters, 'eval(') THEN 'DENIED_UNSAFE_ACTION' ELSE 'VALID' END AS code
-FROM {values(s.ASKED_ACTIONS, "action_id, kind, destination, has_target, url, parameters")}"""
+FROM {relation("actions", values(s.ASKED_ACTIONS, "action_id, kind, destination, has_target, url, parameters"), "action_id, kind, destination, has_target, url, parameters")}"""
 ORACLE_SQL["page_protocols"] = "SELECT url ILIKE 'http:%' OR url ILIKE 'https:%' AS allowed, count(*) AS pages FROM pages GROUP BY 1"
 
 
@@ -60,7 +61,7 @@ SELECT task_id, category, relevance, CAST(confidence AS DOUBLE) AS confidence, C
   WHEN category = 'price' THEN 'CONTEXTUAL_REFERENCE' WHEN relevance = 'UNKNOWN' THEN 'UNKNOWN' ELSE 'REMOTE_REASONING_REQUIRED' END AS necessity
 FROM (SELECT CAST(task_id AS BIGINT) AS task_id, category, CASE {" ".join(f"WHEN {t} THEN '{r}'" for t, r, _ in RULES)} ELSE 'UNKNOWN' END AS relevance,
   CASE {" ".join(f"WHEN {t} THEN {'(CASE WHEN field THEN 0.96 ELSE 0.92 END)' if x is None else x}" for t, _, x in RULES)} ELSE 0.5 END AS confidence
-  FROM (VALUES {TASK_ROWS}) t(task_id, intent, negated, named, field, contact), (SELECT unnest({lists(s.TASK_CATEGORIES)}) AS category))"""
+  FROM {relation("tasks", f"(VALUES {TASK_ROWS}) AS t(task_id, intent, negated, named, field, contact)", "task_id, intent, negated, named, field, contact")}, (SELECT unnest({lists(s.TASK_CATEGORIES)}) AS category))"""
 W = f"""[w FOR w IN string_split_regex(regexp_replace(lower(trim(target)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+') IF w <> '' AND NOT list_contains({lists(gates.STOP_WORDS)}, w)]"""
 CONCEPT = " + ".join(
     f"""CASE WHEN len([w FOR w IN words IF list_contains({lists(x)}, w)]) > 0 THEN (CASE WHEN kind = '{n}'{" OR kind = 'tel'" if n == "phone" else ""} THEN 80 ELSE 0 END)
@@ -68,7 +69,7 @@ CONCEPT = " + ".join(
     for n, x in gates.CONCEPTS.items()
 )
 ORACLE_SQL["target_resolution"] = f"""
-WITH e AS (SELECT *, {W} AS words FROM {values(s.TARGETS, "target_id, target")}, {values(s.ELEMENTS, "element_id, shown, code, kind")}),
+WITH e AS (SELECT *, {W} AS words FROM {relation("targets", values(s.TARGETS, "target_id, target"), "target_id, target")}, {values(s.ELEMENTS, "element_id, shown, code, kind")}),
 scored AS (SELECT target_id, element_id, (CASE WHEN contains(shown, lower(target)) THEN 120 WHEN contains(code, replace(lower(target), ' ', '_')) OR contains(code, replace(lower(target), ' ', '-')) OR contains(code, replace(lower(target), ' ', '')) THEN 90 ELSE 0 END
   + coalesce(list_sum([CASE WHEN contains(shown, w) THEN 30 WHEN contains(code, w) THEN 20 ELSE 0 END FOR w IN words]), 0)
   + CASE WHEN len(words) > 1 AND len([w FOR w IN words IF contains(shown, w) OR contains(code, w)]) = len(words) THEN 50 ELSE 0 END + {CONCEPT})::BIGINT AS score FROM e)
@@ -79,7 +80,7 @@ GROUP BY doc_id, category, normal"""
 ORACLE_SQL["decision_badges"] = f"""
 SELECT label, css, count(*) AS n FROM (SELECT CASE category WHEN 'email' THEN 'TOKENIZE' WHEN 'payment_card' THEN 'LOCAL_ONLY' ELSE 'REDACT' END AS decision FROM ({HYBRID}))
 LEFT JOIN {values(s.BADGES, "decision, label, css")} USING (decision) GROUP BY label, css"""
-BLOCKS = values([(a, b, t, *map(float, r)) for a, b, t, *r in s.BLOCKS], "page_id, pos, text, x, y, w, h, confidence")
+BLOCKS = relation("blocks", values([(a, b, t, *map(float, r)) for a, b, t, *r in s.BLOCKS], "page_id, pos, text, x, y, w, h, confidence"), "page_id, pos, text, x, y, w, h, confidence")
 ORACLE_SQL["ocr_blocks"] = f"""SELECT CAST(page_id AS BIGINT) AS page_id, pos, text, CAST(round(confidence / 100, 2) AS DOUBLE) AS confidence FROM {BLOCKS} WHERE trim(text) <> '' AND confidence >= 60"""
 ORACLE_SQL["cover_boxes"] = f"""
 SELECT CAST(page_id AS BIGINT) AS page_id, pos, greatest(0, x - 2)::DOUBLE AS x, greatest(0, y - 2)::DOUBLE AS y, (w + 4)::DOUBLE AS width, (h + 4)::DOUBLE AS height FROM {BLOCKS}"""
@@ -92,10 +93,10 @@ SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS completed, coun
 ORACLE_SQL["label_line_errors"] = f"""
 SELECT CAST(line_no AS BIGINT) AS line_no, CASE WHEN line = '' THEN 'EMPTY' WHEN len(f) <> 5 THEN 'FIELDS' WHEN TRY_CAST(f[1] AS INTEGER) IS NULL THEN 'CLASS' WHEN TRY_CAST(f[1] AS INTEGER) NOT BETWEEN 0 AND 15 THEN 'CLASS_RANGE'
   WHEN len([x FOR x IN f[2:5] IF TRY_CAST(x AS DOUBLE) IS NULL]) > 0 THEN 'NUMBER' WHEN len([x FOR x IN f[2:5] IF TRY_CAST(x AS DOUBLE) NOT BETWEEN 0 AND 1]) > 0 THEN 'RANGE' ELSE 'OK' END AS reason
-FROM (SELECT *, string_split_regex(trim(line), '\\s+') AS f FROM {values(s.LABEL_LINES, "line_no, line")})"""
+FROM (SELECT *, string_split_regex(trim(line), '\\s+') AS f FROM {relation("label_lines", values(s.LABEL_LINES, "line_no, line"), "line_no, line")})"""
 ORACLE_SQL["page_elements"] = """SELECT page_id, least(100, len(l)) AS elements FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages) WHERE len(l) > 0"""
-ORACLE_SQL["legacy_policy"] = """
+ORACLE_SQL["legacy_policy"] = f"""
 SELECT *, decision IN ('ALLOW', 'TOKENIZE') AS may_leave FROM (
   SELECT *, CASE WHEN classification = 'not_sensitive' THEN 'ALLOW' WHEN purpose = 'local_action' AND authorized THEN 'LOCAL_ONLY' WHEN purpose = 'remote_reasoning' AND reference THEN 'TOKENIZE' ELSE 'REDACT' END AS decision
-  FROM (SELECT unnest(['sensitive', 'not_sensitive']) AS classification), (SELECT unnest(['remote_reasoning', 'local_action', 'other']) AS purpose), (SELECT unnest([true, false]) AS reference), (SELECT unnest([true, false]) AS authorized))"""
+  FROM {relation("short_policies", "(SELECT unnest(['sensitive', 'not_sensitive']) AS classification), (SELECT unnest(['remote_reasoning', 'local_action', 'other']) AS purpose), (SELECT unnest([true, false]) AS reference), (SELECT unnest([true, false]) AS authorized)", "classification, purpose, reference, authorized")})"""
 ORACLE_SQL["opaque_tokens"] = f"""SELECT doc_id, "start", 'PII_TOKEN_EMAIL_' || left(sha256('bench-key:' || value), 12) AS token FROM ({spans("documents", "doc_id", "text", c.EMAIL)})"""

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import geometry as g
+from ..functions import text as t
 from ..operators import goals, telemetry
 from .catalog import query, table
+from .derived import fed
 
 GOALS = [
     (1, "Open https://example.org/a?b=1 now"), (2, "go to example.org and read the article"), (3, "Navigate to youtube"), (4, "open amazon and buy the second pair of shoes"), (5, "open mail and reply"),
@@ -21,7 +23,7 @@ GOALS = [
 @query
 def goal_parse(spark, sf):
     """Where a goal leads, which item it means, its domain, what it clicks and does."""
-    rows = spark.createDataFrame(GOALS, "goal_id long, goal string")
+    rows = fed(spark, sf, "goals", GOALS, "goal_id long, goal string")
     goal = F.col("goal")
     out = rows.select("goal_id", "goal", goals.navigation(goal).alias("n"), goals.selection(goal).alias("s"), goals.click_target(goal).alias("click_target"), goals.action(goal).alias("action"))
     return out.select("goal_id", "n.explicit", "n.destination", "n.url", "s.ordinal", "s.index", "s.quantifier", goals.domain(goal, F.col("n.explicit")).alias("domain"), "click_target", "action")
@@ -30,15 +32,15 @@ def goal_parse(spark, sf):
 @query
 def telemetry_scrub(spark, sf):
     """Documents that the six replacements change."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", telemetry.scrub(F.col("text")).alias("scrubbed"))
-    return docs.where("scrubbed <> text").select("doc_id", F.sha2("scrubbed", 256).alias("scrubbed_sha256"))
+    docs = table(spark, sf, "documents").select("doc_id", t.changed(F.col("text"), telemetry.scrub(F.col("text"))).alias("scrubbed"))
+    return docs.select("doc_id", F.sha2("scrubbed", 256).alias("scrubbed_sha256"))
 
 
 @query
 def telemetry_leaks(spark, sf):
     """Scrubbed documents that still hold an address: no rows."""
-    docs = table(spark, sf, "documents").select("doc_id", telemetry.scrub(F.col("text")).alias("scrubbed"))
-    return docs.where(F.col("scrubbed").rlike(c.java(c.EMAIL))).select("doc_id")
+    held = t.let(telemetry.scrub(F.col("text")), lambda x: F.when(x.rlike(c.java(c.EMAIL)), True))
+    return table(spark, sf, "documents").select("doc_id", t.given(held).alias("held")).select("doc_id")
 
 
 RECORDS = [
@@ -48,7 +50,7 @@ RECORDS = [
 
 @query
 def telemetry_tasks(spark, sf):
-    rows = spark.createDataFrame(RECORDS, "record_id long, text string, summary string").select("record_id", telemetry.task(F.col("text"), F.col("summary")).alias("t"))
+    rows = fed(spark, sf, "records", RECORDS, "record_id long, text string, summary string").select("record_id", telemetry.task(F.col("text"), F.col("summary")).alias("t"))
     return rows.select("record_id", "t.task", "t.summary", "t.had_secrets")
 
 
@@ -59,7 +61,7 @@ ERRORS = [
 
 @query
 def telemetry_errors(spark, sf):
-    rows = spark.createDataFrame(ERRORS, "error_id long, kind string, message string, code string, stack string")
+    rows = fed(spark, sf, "errors", ERRORS, "error_id long, kind string, message string, code string, stack string")
     out = rows.select("error_id", telemetry.error(F.col("kind"), F.col("message"), F.col("code"), F.col("stack")).alias("e"))
     return out.select("error_id", "e.kind", "e.message", "e.code", "e.stack")
 
@@ -67,8 +69,8 @@ def telemetry_errors(spark, sf):
 @query
 def remote_strings(spark, sf):
     """Documents that masking for a remote service changes."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", telemetry.remote_string(F.col("text")).alias("sent"))
-    return docs.where("sent <> text").select("doc_id", F.sha2("sent", 256).alias("sent_sha256"))
+    docs = table(spark, sf, "documents").select("doc_id", t.changed(F.col("text"), telemetry.remote_string(F.col("text"))).alias("sent"))
+    return docs.select("doc_id", F.sha2("sent", 256).alias("sent_sha256"))
 
 
 MODEL_BOXES = [(1, 0.1, 0.2, 0.5, 0.25), (2, 64.0, 200.0, 128.0, 40.0), (3, -5.0, 100.0, 700.0, 700.0), (4, 0.0, 0.0, 0.0, 0.0), (5, 600.0, 560.0, 80.0, 10.5), (6, 1.0, 1.0, 1.0, 1.5)]
@@ -76,7 +78,7 @@ MODEL_BOXES = [(1, 0.1, 0.2, 0.5, 0.25), (2, 64.0, 200.0, 128.0, 40.0), (3, -5.0
 
 @query
 def model_boxes(spark, sf):
-    rows = spark.createDataFrame(MODEL_BOXES, "box_id long, x double, y double, width double, height double")
+    rows = fed(spark, sf, "model_boxes", MODEL_BOXES, "box_id long, x double, y double, width double, height double")
     own = g.box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     size = [F.lit(float(x)) for x in (800, 600, 640, 640)]
     out = rows.select("box_id", g.model_to_bitmap(own, *size).alias("b"), g.label_box(own, *size[:2]).alias("l"))
@@ -90,7 +92,7 @@ MOST_RETRIES = 3
 @query
 def retry_class(spark, sf):
     """What follows an answer after so many attempts; a missing status counts as 500."""
-    rows = spark.createDataFrame(ANSWERS, "answer_id long, status int, attempt int")
+    rows = fed(spark, sf, "answers", ANSWERS, "answer_id long, status int, attempt int")
     status = F.coalesce("status", F.lit(500))
     what = (
         F.when(status == 200, "DONE").when(status.isin(c.NEVER_RETRIED), "FATAL").when(status.isin(c.RETRYABLE) & (F.col("attempt") < MOST_RETRIES), "RETRY").when(status.isin(c.RETRYABLE), "EXHAUSTED").otherwise("FAILED")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .. import config as c
 from . import spoken as s
 from .catalog import SEEDED_LINES
+from .derived import relation
 from .sql import ORACLE_SQL, PHONE_OK, digits, in_, luhn, q, spans, values
 
 
@@ -26,7 +27,7 @@ def named(pattern: str) -> str:
 
 def goal_parse(goals) -> str:
     return f"""
-WITH g AS (SELECT CAST(goal_id AS BIGINT) AS goal_id, goal, lower(goal) AS low, lower(trim(goal)) AS bare FROM {values(goals, "goal_id, goal")}),
+WITH g AS (SELECT CAST(goal_id AS BIGINT) AS goal_id, goal, lower(goal) AS low, lower(trim(goal)) AS bare FROM {relation("goals", values(goals, "goal_id, goal"), "goal_id, goal")}),
 n AS (SELECT *, nullif(regexp_extract(goal, {q(c.FULL_URL)}, 0), '') AS full_url, {first("bare", c.NAMED_SITE)} AS site, {first("bare", c.OPEN_AND)} AS opened, {first("bare", c.OPEN_SITE)} AS alone FROM g),
 p AS (
   SELECT *, coalesce(full_url, 'https://' || site) AS url,
@@ -63,16 +64,16 @@ ORACLE_SQL["telemetry_scrub"] = f"SELECT doc_id, sha256(x) AS scrubbed_sha256 FR
 ORACLE_SQL["telemetry_leaks"] = f"SELECT doc_id FROM (SELECT doc_id, {scrub('text')} AS x FROM documents) WHERE regexp_matches(x, {q(c.EMAIL)})"
 ORACLE_SQL["telemetry_tasks"] = f"""
 SELECT record_id, task, {scrub("given")} AS summary, (text IS NULL OR task <> text OR {scrub("given")} <> given) AS had_secrets FROM (
-  SELECT *, coalesce(summary, task) AS given FROM (SELECT CAST(record_id AS BIGINT) AS record_id, text, summary, {scrub("coalesce(text, '')")} AS task FROM {values(s.RECORDS, "record_id, text, summary")}))"""
+  SELECT *, coalesce(summary, task) AS given FROM (SELECT CAST(record_id AS BIGINT) AS record_id, text, summary, {scrub("coalesce(text, '')")} AS task FROM {relation("records", values(s.RECORDS, "record_id, text, summary"), "record_id, text, summary")}))"""
 ORACLE_SQL["telemetry_errors"] = f"""
 SELECT CAST(error_id AS BIGINT) AS error_id, coalesce(kind, 'Error') AS kind, {scrub("message")} AS message, coalesce(code, 'ERR_RUNTIME') AS code, {scrub("lines")} AS stack
-FROM (SELECT *, array_to_string(string_split(stack, chr(10))[1:5], chr(10)) AS lines FROM {values(s.ERRORS, "error_id, kind, message, code, stack")})"""
+FROM (SELECT *, array_to_string(string_split(stack, chr(10))[1:5], chr(10)) AS lines FROM {relation("errors", values(s.ERRORS, "error_id, kind, message, code, stack"), "error_id, kind, message, code, stack")})"""
 ORACLE_SQL["remote_strings"] = f"""
 SELECT doc_id, sha256(x) AS sent_sha256 FROM (
   SELECT doc_id, text, regexp_replace(regexp_replace(text, {q(c.REMOTE_EMAIL)}, '[EMAIL_REDACTED]', 'g'), {q(c.REMOTE_DIGITS)}, '[CARD_REDACTED]', 'g') AS x FROM documents) WHERE x <> text"""
 HALF = "floor(({}) + 0.5)"
 ORACLE_SQL["model_boxes"] = f"""
-WITH b AS (SELECT * FROM {values(s.MODEL_BOXES, "box_id, x, y, w, h")}), u AS (
+WITH b AS (SELECT * FROM {relation("model_boxes", values(s.MODEL_BOXES, "box_id, x, y, w, h"), "box_id, x, y, w, h")}), u AS (
   SELECT *, greatest(x, y, w, h) <= 1 AND (w > 0 OR h > 0) AS shares, greatest(0, floor(x / 0.8 + 0.5)) AS ux, greatest(0, floor((y - 80) / 0.8 + 0.5)) AS uy FROM b)
 SELECT CAST(box_id AS BIGINT) AS box_id,
   (CASE WHEN shares THEN greatest(0, floor(x * 800 + 0.5)) ELSE ux END)::DOUBLE AS b_x, (CASE WHEN shares THEN greatest(0, floor(y * 600 + 0.5)) ELSE uy END)::DOUBLE AS b_y,
@@ -84,12 +85,12 @@ FROM u"""
 ORACLE_SQL["retry_class"] = f"""
 SELECT CAST(answer_id AS BIGINT) AS answer_id, CASE WHEN s = 200 THEN 'DONE' WHEN s IN (400, 401, 403, 422) THEN 'FATAL'
   WHEN s IN (408, 429, 500, 502, 503, 504) THEN CASE WHEN attempt < 3 THEN 'RETRY' ELSE 'EXHAUSTED' END ELSE 'FAILED' END AS outcome
-FROM (SELECT *, coalesce(status, 500) AS s FROM {values(s.ANSWERS, "answer_id, status, attempt")})"""
+FROM (SELECT *, coalesce(status, 500) AS s FROM {relation("answers", values(s.ANSWERS, "answer_id, status, attempt"), "answer_id, status, attempt")})"""
 ORACLE_SQL["ordinal_choice"] = """
 SELECT o_custkey, CAST(i AS INTEGER) AS "index", CASE WHEN i = -1 THEN l[len(l)] ELSE l[least(i + 1, len(l))] END AS o_orderkey
 FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey), (VALUES (2), (-1)) v(i)"""
 
-LINES = values(SEEDED_LINES, "line_id, text")
+LINES = relation("lines", values(SEEDED_LINES, "line_id, text"), "line_id, text")
 OTP = rf"(?:{c.OTP_AFTER}|{c.OTP_BEFORE}{c.OTP_FOLLOWS})"  # this engine has no lookahead; the lines have no codes that overlap
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import config as c
 from . import catalog as k
+from .derived import relation
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -138,10 +139,12 @@ def decided(source: str) -> str:
 
 ORACLE_SQL["doc_policy_decisions"] = f"""
 SELECT doc_id, category, "start", necessity, decision, reason, policy_confidence FROM ({decided(f"SELECT h.*, relevance, 'REMOTE_REASONING' AS destination, false AS authorized, confidence AS detection FROM ({HYBRID}) h LEFT JOIN {values(k.TASK_RELEVANCE, 'category, relevance')} USING (category)")})"""
+_CASES = "category, relevance, destination, authorized, detection"
 CROSS = f"""SELECT category, relevance, destination, authorized, CAST(detection AS DOUBLE) AS detection
   FROM {values([(x,) for x in k.POLICY_CATEGORIES], 'category')}, {values([(x,) for x in k.POLICY_RELEVANCE], 'relevance')},
        {values([(x,) for x in k.POLICY_DESTINATIONS], 'destination')}, (VALUES (true), (false)) a(authorized), (VALUES (0.5), (0.9)) d(detection)"""
-ORACLE_SQL["policy_matrix"] = f"SELECT category, relevance, destination, authorized, detection, necessity, decision, reason, policy_confidence FROM ({decided(CROSS)})"
+CROSS = relation("matrix", f"({CROSS})", _CASES)
+ORACLE_SQL["policy_matrix"] = f"SELECT category, relevance, destination, authorized, detection, necessity, decision, reason, policy_confidence FROM ({decided(f"SELECT category, relevance, destination, authorized, CAST(detection AS DOUBLE) AS detection FROM {CROSS}")})"
 
 DISJOINT = f"""
 disjoint_ AS (
@@ -233,9 +236,9 @@ ORACLE_SQL["event_size_gate"] = "SELECT event_id, strlen(props) AS bytes, true A
 ORACLE_SQL["event_stale"] = """
 SELECT user_id, count(*) AS stale, max(gap) AS longest_ms FROM (
   SELECT user_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id)) // 1000 - epoch_us(ts) // 1000 AS gap FROM events) WHERE abs(gap) > 300000 GROUP BY user_id"""
-BOXES = values([tuple(map(float, b)) for b in k.BOXES], "id, x, y, w, h")
+BOXES = relation("boxes", values([tuple(map(float, b)) for b in k.BOXES], "id, x, y, w, h"), "id, x, y, w, h")
 ORACLE_SQL["bbox_overlap"] = f"""
-SELECT CAST(a.id AS BIGINT) AS a, CAST(b.id AS BIGINT) AS b FROM {BOXES} a JOIN {BOXES} b ON a.id < b.id
+SELECT CAST(a.id AS BIGINT) AS a, CAST(b.id AS BIGINT) AS b FROM {BOXES} a JOIN {BOXES} b ON floor(a.id / 10) = floor(b.id / 10) AND a.id < b.id
 WHERE (least(a.w * a.h, b.w * b.h) > 0 AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= 0.25 * least(a.w * a.h, b.w * b.h))
    OR (abs(a.x + a.w / 2 - b.x - b.w / 2) <= 20 AND abs(a.y + a.h / 2 - b.y - b.h / 2) <= 20)"""
 
@@ -249,14 +252,15 @@ def to_bitmap(name: str, y: str) -> str:
 ORACLE_SQL["bbox_transform"] = f"""
 SELECT CAST(id AS BIGINT) AS id, (x + w > 0 AND x < 1280 AND y - 40 + h > 0 AND y - 40 < 720) AS visible, {to_bitmap("v", "y")}, {to_bitmap("p", "(y - 40)")},
   floor(x / 2 + 0.5)::DOUBLE AS k_x, floor(y / 2 + 0.5)::DOUBLE AS k_y, floor(w / 2 + 0.5)::DOUBLE AS k_width, floor(h / 2 + 0.5)::DOUBLE AS k_height FROM {BOXES}"""
+BASES = values([*((n, v) for n, v in c.BASE_CONFIDENCE.items()), ("unlisted", 0.5)], "category, base")
+BOOSTS = values([(0, 0.0), (1, 0.15), (2, 0.12), (3, 0.18), (4, 0.37)], "evidence_no, boost")
 ORACLE_SQL["confidence_table"] = f"""
-SELECT category, CAST(evidence_no AS BIGINT) AS evidence_no, floor(least(0.98, greatest(0.1, base + boost))::DOUBLE * 100 + 0.5) / 100 AS confidence
-FROM {values([*((n, v) for n, v in c.BASE_CONFIDENCE.items()), ("unlisted", 0.5)], "category, base")},
-  (VALUES (0, 0.0), (1, 0.15), (2, 0.12), (3, 0.18), (4, 0.37)) e(evidence_no, boost)"""
+SELECT category, CAST(evidence_no AS BIGINT) AS evidence_no, floor(least(0.98, greatest(0.1, coalesce(base, 0.5) + boost))::DOUBLE * 100 + 0.5) / 100 AS confidence
+FROM {relation("evidence", f"(SELECT category, evidence_no FROM {BASES}, {BOOSTS})", "category, evidence_no")} LEFT JOIN {BASES} USING (category) JOIN {BOOSTS} USING (evidence_no)"""
 ORACLE_SQL["vault_retrieve_codes"] = f"""
 SELECT CAST(ask_id AS BIGINT) AS ask_id, CASE WHEN v.state IS NULL THEN 'DENIED_NOT_FOUND' WHEN destination NOT LIKE 'LOCAL%' THEN 'DENIED_REMOTE_DESTINATION' WHEN state = 'REVOKED' THEN 'DENIED_REVOKED'
   WHEN state = 'EXPIRED' OR expires_ms <= 1000 THEN 'DENIED_EXPIRED' WHEN NOT authorized THEN 'DENIED_UNAUTHORIZED' WHEN purpose <> wanted THEN 'DENIED_PURPOSE_MISMATCH' ELSE 'GRANTED' END AS code
-FROM {values(k.VAULT_ASKS, "ask_id, vault_id, destination, authorized, wanted")} a LEFT JOIN {values(k.VAULT, "vault_id, state, expires_ms, purpose")} v USING (vault_id)"""
+FROM {relation("vault_asks", values(k.VAULT_ASKS, "ask_id, vault_id, destination, authorized, wanted"), "ask_id, vault_id, destination, authorized, wanted")} a LEFT JOIN {relation("vault", values(k.VAULT, "vault_id, state, expires_ms, purpose"), "vault_id, state, expires_ms, purpose")} v USING (vault_id)"""
 
 
 def words(w: str) -> str:
@@ -270,7 +274,7 @@ SELECT CAST(goal_id AS BIGINT) AS goal_id,
   CAST(CASE {" ".join(f"WHEN regexp_matches(lower(goal), {words(w)}) THEN {b}" for _, w, b in c.INTENTS)} ELSE 0.5 END AS DOUBLE) AS confidence,
   concat_ws(',', {", ".join(f"CASE WHEN regexp_matches({NEGATED}, {words(w)}) THEN '{n}' END" for n, w in c.CATEGORY_WORDS.items())}) AS negated,
   concat_ws(',', {", ".join(f"CASE WHEN regexp_matches(lower(goal), {words(w)}) AND NOT regexp_matches({NEGATED}, {words(w)}) THEN '{n}' END" for n, w in c.CATEGORY_WORDS.items())}) AS explicit
-FROM {values(k.GOALS, "goal_id, goal")}"""
+FROM {relation("goals", values(k.GOALS, "goal_id, goal"), "goal_id, goal")}"""
 ORACLE_SQL["price_bracket"] = """
 SELECT CAST(CASE WHEN p_retailprice < 920 THEN 1 WHEN p_retailprice < 950 THEN 2 WHEN p_retailprice < 980 THEN 3 ELSE 4 END AS BIGINT) AS bracket, count(*) AS parts, min(p_partkey) AS first_part
 FROM part GROUP BY 1"""

@@ -94,3 +94,13 @@ def test_no_python_worker_and_no_shuffle(spark):
     rows = json_tree.scrubbed(spark.range(3).select("id", F.lit('{"a":["x"]}').alias("payload")), "payload", levels=2)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name,pattern,most", [("telemetry_scrub", "regexp_replace(", 7), ("telemetry_leaks", "regexp_replace(", 7), ("remote_strings", "regexp_replace(", 2), ("token_secret_scrub", "regexp_replace(", 2), ("payload_firewall", "RLIKE(", 9), ("payload_audit", "RLIKE(", 4)])
+def test_expressions_are_computed_once(spark, name, pattern, most):
+    """No filter repeats what the projection computes."""
+    from inkveil.plans import seeded, spoken  # noqa: F401
+    from inkveil.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(pattern) <= most, plan
