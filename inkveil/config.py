@@ -215,3 +215,39 @@ _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-
 def java(pattern: str) -> str:
     """The pattern as Spark's regular expressions read it, with ASCII word boundaries."""
     return pattern.replace(r"\b", _BOUNDARY)
+
+# --- fixed values: the grammar of goals, first match of each ---
+_MONEY = r"\s*(?:[₹$€£]|rs\.?|inr|usd)?\s*([\d,]+(?:\.\d+)?)\s*(k\b|thousand\b)?"
+MOST_PRICE = rf"(?i:(?:under|below|less than|max|up to|<=?){_MONEY})"
+LEAST_PRICE = rf"(?i:(?:above|over|more than|at least|>=?){_MONEY})"
+COLOR_WORD = r"\b(?i:(white|black|blue|red|green|yellow|grey|gray|pink|purple|orange|brown|silver|gold))\b"
+BRAND_WORD = r"\b(?i:(nike|adidas|puma|reebok|apple|samsung|sony|dell|hp|lenovo|asus|bose|logitech))\b"
+RATING_WORD = r"(?i:(\d(?:\.\d)?)\s*(?:stars?|rating|\+?\s*stars?))"
+SIZE_WORD = r"\b(?i:size\s*(?::|=|\s)?\s*([0-9A-Z]+))\b"
+COUNT_BEFORE, COUNT_AFTER = r"\b(?i:(?:top|compare|select from|best)\s*(\d+))\b", r"\b(?i:(\d+)\s*(?:options|candidates|laptops|phones|items))\b"
+SPEC_WORD = r"\b(?i:(\d+\s*(?:gb|tb)\s*(?:ram|ssd|storage|rom)?))\b"
+URL_WORD = r"(?i:https?://[^\s]+|(?<!@)\b[a-zA-Z0-9-]+\.(?:org|com|net|edu|gov|io)\b[^\s,.]*)"
+MODIFIES = r"\b(?i:change|update|replace|modify|set|enter|type|put|insert|fill in|fill)\b"
+EMAIL_FIELD, EMAIL_ANYWHERE = r"(?i:(?:email|e-mail)\s*(?:as|is|to|=|:)?\s*([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}))", r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b"
+NAME_FIELD = r"(?i:(?:name|full\s*name|first\s*name)\s*(?:as|is|to|=|:)?\s*([a-zA-Z\s]{2,35}?)(?=[,\.]|\band\b|\bemail\b|\bphone\b|\bwith\b|$))"
+PHONE_FIELD = r"(?i:(?:phone|mobile|tel|contact(?:\s*number)?)\s*(?:as|is|to|=|:)?\s*(\+?[\d\s-]{7,15}))"
+MESSAGE_FIELD = r"""(?i:(?:message|comment|feedback|query|notes?)\s*(?:as|is|to|=|:)\s*(["'][^"']+["']|[^,\.]+))"""
+_FIELD_END = r"(?=(?:\s+(?:and|then|click|confirm|submit|with|after)\b|(?:\.\s+)|\.$|$))"
+CHANGE_FIELD = rf"\b(?i:(?:change|update|replace|modify|set|enter|fill in|fill)\s+(?:the\s+)?([a-zA-Z0-9_\-\s]{{2,35}}?)\s+(?:to|with|=|as|is)\s+([^,;\n]+?){_FIELD_END})"
+ENTER_FIELD = rf"\b(?i:(?:enter|type|put|insert|fill)\s+([^,;\n]+?)\s+(?:in|into|to|inside)\s+(?:the\s+)?([a-zA-Z0-9_\-\s]{{2,35}}?){_FIELD_END})"
+NO_FIELD_CHANGED, NO_FIELD_ENTERED = r"\b(?i:first|second|top|options|candidates)\b", r"\b(?i:first|second|top|options|candidates|cart|bag)\b"
+_ENTITY = r"\s+([a-zA-Z0-9._%+-]+(?:\s+[a-zA-Z0-9._%+-]+)?)"
+ENTITY_RULES = [  # preposition, what ends its entity, words that are none, roles
+    ("from", "and|then|to|under|below|with|for|by|on|in|subject|about", "here|now|the|a|an|scratch", ["sender", "source", "author", "origin", "filter_constraint"]),
+    ("by", "and|then|to|under|below|with|for|from|on|in", "now|then|default|clicking|typing", ["author", "brand", "creator", "filter_constraint"]),
+    ("to", "and|then|under|below|with|for|from|by|on|in", "cart|bag|basket|buy|the|a|an|my|this", ["recipient", "target_entity", "destination"]),
+    ("for", "and|then|under|below|with|from|by|on|in", "sale|free|me|us|them|the|a|an", ["search_query", "target_entity", "recipient"]),
+    ("on|in", "and|then|under|below|with|for|from|by", "the|a|an|this|my|stock|sale|black|white|blue|red|green|yellow", ["platform_scope", "category", "folder", "location"]),
+]
+
+
+def entity_pattern(preposition: str, ends: str) -> str:
+    return rf"\b(?i:({preposition}){_ENTITY}(?=[,\.]|\s+(?:{ends})|\s*$))"
+
+
+# --- end of fixed values ---

@@ -23,8 +23,8 @@ CATEGORIES = ("email", "phone", "password_field", "otp", "payment_card", "addres
 RELEVANCE = ("REQUIRED", "OPTIONAL", "IRRELEVANT", "UNKNOWN")
 PLACES = ("LOCAL_BROWSER", "REMOTE_REASONING", "REMOTE_SERVICE", "LOCAL_EXTENSION")
 GOAL = (
-    "CASE (conv_id + turn) % 9 WHEN 0 THEN 'Find ' || left(text, 60) WHEN 1 THEN 'add to cart the second ' || left(text, 30) WHEN 2 THEN 'open example.org and read ' || left(text, 40) "
-    "WHEN 3 THEN 'Sign up with my name, do not use my credit card. ' || left(text, 40) WHEN 4 THEN 'compare the prices of ' || left(text, 40) WHEN 5 THEN 'Click on the Submit button then ' || left(text, 20) "
+    "CASE (conv_id + turn) % 9 WHEN 0 THEN 'Find black shoes size 10 by Nike under $' || CAST(50 + conv_id AS STRING) || ', 4.5 stars, ' || left(text, 60) WHEN 1 THEN 'add to cart the second ' || left(text, 30) WHEN 2 THEN 'open example.org and read ' || left(text, 40) "
+    "WHEN 3 THEN 'Sign up with my name, do not use my credit card. ' || left(text, 40) WHEN 4 THEN 'compare the top 2 laptops with 16 GB RAM over ' || CAST(1 + turn AS STRING) || 'k ' || left(text, 40) WHEN 5 THEN 'Click on the Submit button then ' || left(text, 20) "
     "WHEN 6 THEN 'book a ticket to ' || left(text, 25) WHEN 7 THEN 'Change the email of ' || left(text, 20) ELSE left(text, 200) END AS goal"
 )
 BOX = ["CAST(l_quantity * 8 AS DOUBLE) AS x", "CAST(l_linenumber * 14 + l_suppkey % 9 AS DOUBLE) AS y", "CAST(40 + l_partkey % 120 AS DOUBLE) AS width", "CAST(8 + l_suppkey % 15 AS DOUBLE) AS height"]

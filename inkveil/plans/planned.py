@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import text as t
-from ..operators import goals, planning, policy
+from ..operators import goals, grammar, planning, policy
 from .catalog import query, table
 from .derived import fed
 from .spoken import GOALS
@@ -35,9 +35,18 @@ def _specs(spark, sf):
         return rows.groupBy("goal_id").agg(F.transform(in_order, lambda r: r["x"]).alias(name))
 
     rows = goals_.join(listed(given, ["name", "operator", "value", "is_update"], "constraints"), "goal_id", "left").join(listed(named, ["preposition", "text", "person"], "entities"), "goal_id", "left")
-    rows = rows.join(spark.createDataFrame(STARTS, "goal_id long, url string"), "goal_id", "left")
-    goal = F.col("goal")
     rows = rows.withColumn("constraints", F.coalesce("constraints", F.array())).withColumn("entities", F.coalesce("entities", F.array()))
+    return _worked_out(rows.join(spark.createDataFrame(STARTS, "goal_id long, url string"), "goal_id", "left"))
+
+
+def _parsed(spark, sf):
+    """Goals with the constraints and entities that their words have."""
+    rows = fed(spark, sf, "goals", GOALS + MORE_GOALS, "goal_id long, goal string").withColumn("entities", grammar.entities(F.col("goal")))
+    return rows.withColumn("constraints", grammar.constraints(F.col("goal"), F.col("entities"))).withColumn("url", F.lit(None).cast("string"))
+
+
+def _worked_out(rows):
+    goal = F.col("goal")
     rows = rows.select("*", goals.navigation(goal)["explicit"].alias("explicit"), goals.selection(goal).alias("s"), goals.click_target(goal).alias("click_target"), goals.action(goal).alias("action"))
     rows = rows.select("*", F.col("s.ordinal").alias("ordinal"), F.col("s").isNotNull().alias("chosen"), goals.domain(goal, F.col("explicit")).alias("domain"))
     rows = rows.withColumn("entity", planning.target_entity(goal, F.col("domain"), F.col("click_target"), F.col("action")))
@@ -60,6 +69,36 @@ def goal_plan(spark, sf):
     return tasks.select("goal_id", "pos", "t.type", "t.description", "t.target")
 
 
+@query
+def goal_constraints(spark, sf):
+    """The constraints of each goal, as its words have them."""
+    rows = _parsed(spark, sf).select("goal_id", F.posexplode("constraints").alias("pos", "x"))
+    return rows.select("goal_id", "pos", "x.name", "x.operator", "x.value", "x.is_update")
+
+
+@query
+def goal_entities(spark, sf):
+    """The entities of each goal, as its words have them."""
+    rows = _parsed(spark, sf).select("goal_id", F.posexplode("entities").alias("pos", "e"))
+    return rows.select("goal_id", "pos", "e.preposition", "e.text", F.array_join("e.roles", ",").alias("roles"))
+
+
+@query
+def goal_plain_constraints(spark, sf):
+    """Constraints of the rules without look-ahead: prices, color, brand, rating, size, number of candidates, specification."""
+    rows = fed(spark, sf, "goals", GOALS + MORE_GOALS, "goal_id long, goal string")
+    found = rows.select("goal_id", F.explode(grammar.plain_constraints(F.col("goal"))).alias("x"))
+    return found.where(F.col("x.name").isin("price", "color", "brand", "rating", "size", "candidate_count", "spec")).select("goal_id", "x.name", "x.operator", "x.value")
+
+
+@query
+def goal_plan_parsed(spark, sf):
+    """The tasks of each goal, with the constraints and entities that its words have."""
+    names = ("goal", "url", "ops", "entity", "domain", "explicit", "ordinal", "chosen", "click_target", "action", "constraints", "entities")
+    tasks = _worked_out(_parsed(spark, sf)).select("goal_id", F.posexplode(planning.plan(*map(F.col, names))).alias("pos", "t"))
+    return tasks.select("goal_id", "pos", "t.type", "t.description", "t.target")
+
+
 STATES = [
     (1, "search", 0, False, False, 0), (2, "close_modal", 0, True, False, 1), (3, "search", 0, False, False, 0), (4, "filter", 3, False, False, 2), (5, "search", 1, False, True, 5), (6, None, None, None, None, None), (7, "search", 2, True, False, 0), (8, "search", 2, False, False, 4),
 ]

@@ -130,3 +130,27 @@ for comment in c.SOURCE_COMMENTS:
 ORACLE_SQL["source_audit"] = f"""
 SELECT page_id, {", ".join(f"coalesce(regexp_matches({CODE if k == 'execution_primitives' else 'source'}, {q(p)}), false) AS {k}" for k, p in c.SOURCE_RULES.items())}
 FROM (SELECT CAST(page_id AS BIGINT) AS page_id, html AS source FROM pages UNION ALL SELECT CAST(page_id AS BIGINT), source FROM {values(s.SOURCES, "page_id, source")})"""
+
+
+def first_of(pattern: str, group: int = 1) -> str:
+    return f"CASE WHEN regexp_matches(goal, {q(pattern)}) THEN regexp_extract(goal, {q(pattern)}, {group}) END"
+
+
+def as_text(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN {x}::BIGINT::VARCHAR ELSE {x}::VARCHAR END"
+
+
+def price_of(pattern: str) -> str:
+    amount = f"(TRY_CAST(replace({first_of(pattern)}, ',', '') AS DOUBLE) * CASE WHEN regexp_extract(goal, {q(pattern)}, 2) <> '' THEN 1000 ELSE 1 END)"
+    return as_text(amount)
+
+
+_RATING, _COUNT = f"TRY_CAST({first_of(c.RATING_WORD)} AS DOUBLE)", f"TRY_CAST(coalesce({first_of(c.COUNT_BEFORE)}, {first_of(c.COUNT_AFTER)}) AS BIGINT)"
+_BRAND = f"lower({first_of(c.BRAND_WORD)})"
+_PLAIN = [
+    ("price", "<=", price_of(c.MOST_PRICE)), ("price", ">=", price_of(c.LEAST_PRICE)), ("color", "=", f"lower({first_of(c.COLOR_WORD)})"), ("brand", "=", f"upper({_BRAND}[1]) || {_BRAND}[2:]"),
+    ("rating", ">=", f"CASE WHEN {_RATING} BETWEEN 1 AND 5 THEN {as_text(_RATING)} END"), ("size", "=", f"upper({first_of(c.SIZE_WORD)})"), ("candidate_count", ">=", f"CASE WHEN {_COUNT} > 0 THEN {_COUNT}::VARCHAR END"),
+    ("spec", "contains", f"regexp_replace(lower({first_of(c.SPEC_WORD)}), '\\s+', '', 'g')"),
+]
+_ALL_GOALS = relation("goals", values(GOALS + s.MORE_GOALS, "goal_id, goal"), "goal_id, goal")
+ORACLE_SQL["goal_plain_constraints"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST(goal_id AS BIGINT) AS goal_id, '{n}' AS name, '{o}' AS operator, {v} AS value FROM {_ALL_GOALS}" for n, o, v in _PLAIN) + ") WHERE value IS NOT NULL"
