@@ -73,7 +73,8 @@ def division(constraints: DataFrame, candidates: DataFrame, numbers: list[str],
         parts += [F.min(own).alias(f"one_{w}"), F.max(own).alias(f"other_{w}")]
     sets = constraints.groupBy("set_id").agg(*parts)
     box = [c for c in sets.columns if c != "set_id"]
-    boxes = sets.select(*box).distinct().withColumn("box", F.xxhash64(*box))  # a key of 64 bits
+    name_of = F.to_json(F.struct(*box))  # hashes of columns pass over nulls; names don't
+    boxes = sets.select(*box).distinct().withColumn("box", name_of)
     lowered = [F.lower(w).alias(w) for w in words]
     kinds = candidates.select("candidate_id", *[F.col(n).cast("double").alias(n) for n in numbers], *lowered).groupBy(*numbers, *words).agg(F.count("*").alias("n"), F.min("candidate_id").alias("first_id"))
     first = numbers[0]
@@ -92,4 +93,4 @@ def division(constraints: DataFrame, candidates: DataFrame, numbers: list[str],
     for w in words:
         fits = fits & F.coalesce((F.col(w) == F.col(f"one_{w}")) & (F.col(w) == F.col(f"other_{w}")), F.lit(True))
     found = boxes.select("*", F.explode(keys).alias("key")).join(keyed, "key").where(fits).groupBy("box").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
-    return sets.select("set_id", F.xxhash64(*box).alias("box")).join(found, "box", "left").select("set_id", F.coalesce("n", F.lit(0)).alias("n"), "first_id")
+    return sets.select("set_id", name_of.alias("box")).join(found, "box", "left").select("set_id", F.coalesce("n", F.lit(0)).alias("n"), "first_id")
