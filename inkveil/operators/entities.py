@@ -34,34 +34,56 @@ TOKEN = re.compile(rf"[A-Za-z0-9'’-]+|[^{SPACE}A-Za-z0-9_]")
 POSTAL = r"(?<![A-Za-z0-9_])[0-9]{5,6}(?:-[0-9]{4})?(?![A-Za-z0-9_])"
 NAME_WORD, ORG_WORD = r"^[A-Z][a-zA-Z'’-]+$", r"^([A-Z][a-zA-Z0-9&]*|[oO][fF]|&)$"
 MOST_TOKENS, BEFORE = 6, 25
-_FIRST, _POSTAL = re.compile(r"[A-Z0-9]|[oO][fF]$|&"), re.compile(POSTAL)
+CLUE = r"(?:address|ship to|bill to|location|delivered to|sent to)\s*:?\s*$"
+_POSTAL = re.compile(POSTAL)
 _ROWS = 20_000
 
 
-def _may_start(token: str) -> bool:
-    """Whether a run from this token on can score by its first token: a capitalised word, number or code, `of`, `&`, or a given name after a title (`jOHN`)."""
-    return _FIRST.match(token) is not None or (token.lower() in GIVEN_NAMES and token != token.lower())
+_NAME, _ORG, _CLUE = re.compile(NAME_WORD), re.compile(ORG_WORD), re.compile(CLUE)
+_CODE_DIGITS = 7  # the fewest that an identity number has
 
 
-def word_groups(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tokens, start, end, span, before): every run of 1 to 6 tokens that may be an entity, one row each.
+def _runs(tokens: list[str], i: int, before: str, postal: list[bool]) -> Iterator[int]:
+    """Lengths of the runs from token i on that some label may score: all others would score nothing.
 
-    A run can score if its first token may start one, or if it holds a postal number; others are never exploded.
+    A person is capitalised words, or a given name or a titled word alone; an address ends in a street word, holds a postal number or
+    follows a clue; an organization ends in a company word or is of its own kind of words; an identity number has many digits.
     """
+    first = tokens[i]
+    names = orgs = True
+    posted, clue = False, None
+    for n in range(1, min(MOST_TOKENS, len(tokens) - i) + 1):
+        token = tokens[i + n - 1]
+        low = token.lower()
+        names, orgs, posted = names and _NAME.match(token) is not None, orgs and _ORG.match(token) is not None, posted or postal[i + n - 1]
+        if n == 1:
+            titled = any(h in before[-15:].lower() for h in HONORIFICS)
+            if low in GIVEN_NAMES or (titled and names) or (orgs and low in COMPANIES) or sum(c.isdigit() for c in token) >= _CODE_DIGITS:
+                yield n
+            continue
+        if clue is None:
+            clue = _CLUE.search(before.lower()) is not None
+        if names or orgs or posted or clue or low in STREETS:
+            yield n
+        elif not posted and not any(postal[i + n : i + MOST_TOKENS]) and not first[0].isdigit() and not names and not orgs:
+            return
+
+
+def word_groups(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, tokens, start, end, span, before): every run of 1 to 6 tokens that may be an entity, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for own, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(whole or "")]
-                postal = len(found) + MOST_TOKENS  # the first token at i or later that holds a postal number
-                for i in range(len(found) - 1, -1, -1):
-                    start, _, token = found[i]
-                    if _POSTAL.search(token):
-                        postal = i
-                    if postal < i + MOST_TOKENS or _may_start(token):
-                        near = found[i : i + MOST_TOKENS]
-                        rows.append((own, start, [t for _, _, t in near], [e for _, e, _ in near], whole[start : near[-1][1]], whole[max(start - BEFORE, 0) : start]))
+                tokens = [t for _, _, t in found]
+                postal = [t[0].isdigit() | ("-" in t) | ("'" in t) | ("’" in t) and _POSTAL.search(t) is not None for t in tokens]
+                for i, (start, _, _) in enumerate(found):
+                    before = whole[max(start - BEFORE, 0) : start]
+                    for n in _runs(tokens, i, before, postal):
+                        end = found[i + n - 1][1]
+                        rows.append((own, tokens[i : i + n], start, end, whole[start:end], before))
                     if len(rows) >= _ROWS:
                         yield _batch(rows, batch.schema.field(0).type)
                         rows = []
@@ -69,15 +91,12 @@ def word_groups(df: DataFrame, key: str, text: str) -> DataFrame:
                 yield _batch(rows, batch.schema.field(0).type)
 
     kind = df.schema[key].dataType.simpleString()
-    starts = df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start int, tokens array<string>, ends array<int>, run string, before string")
-    sized = starts.select("*", F.explode(F.sequence(F.lit(1), F.size("tokens"))).alias("n"))
-    end = F.get("ends", F.col("n") - 1)
-    return sized.select(key, F.slice("tokens", F.lit(1), F.col("n")).alias("tokens"), "start", end.alias("end"), F.substr("run", F.lit(1), end - F.col("start")).alias("span"), "before")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens array<string>, start int, end int, span string, before string")
 
 
 def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = [kind, pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "start", "tokens", "ends", "run", "before"])
+    types = [kind, pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "tokens", "start", "end", "span", "before"])
 
 
 def _last(tokens: Column) -> Column:
@@ -96,7 +115,7 @@ def person_score(tokens: Column, span: Column, before: Column) -> Column:
 def address_score(tokens: Column, span: Column, before: Column) -> Column:
     n, number, street = F.size(tokens), F.element_at(tokens, 1).rlike(r"^\d"), _last(tokens).isin(STREETS)
     capital = F.forall(F.slice(tokens, F.when(number, 2).otherwise(1), n), lambda x: x.rlike(NAME_WORD))
-    clue = F.lower(before).rlike(r"(?:address|ship to|bill to|location|delivered to|sent to)\s*:?\s*$")
+    clue = F.lower(before).rlike(CLUE)
     return (
         F.when((n < 2) | (n > 8), 0.0)
         .when(number & street, 0.95)

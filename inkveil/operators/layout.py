@@ -36,11 +36,12 @@ def stitch(blocks: DataFrame, page: str) -> DataFrame:
     return blocks.groupBy(page).applyInPandas(run, blocks.schema)
 
 
-def normal_category(c: Column) -> Column:
+def fused_category(c: Column) -> Column:
+    """Fusion's own five rules: names, addresses and accounts keep what they are called."""
     low = F.lower(F.coalesce(c, F.lit("")))
     return (
         F.when(low.contains("email"), "email").when(low.contains("phone"), "phone").when(low.contains("payment") | low.contains("card"), "payment_card").when(low.contains("password"), "password_field")
-        .when(low.contains("otp"), "otp").when(low.contains("name"), "person_name").when(low.contains("address"), "address").when(low.contains("account"), "account_identifier").otherwise(low)
+        .when(low.contains("otp"), "otp").otherwise(low)
     )
 
 
@@ -75,7 +76,7 @@ def fuse(items: DataFrame) -> DataFrame:
             out.append((seed["page_id"], len(out), seed["category"], source, score, x, y, *far, len(own)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in FUSED.split(", ")])
 
-    return items.withColumn("kind", normal_category(F.col("category"))).groupBy("page_id", "kind").applyInPandas(run, FUSED)
+    return items.withColumn("kind", fused_category(F.col("category"))).groupBy("page_id", "kind").applyInPandas(run, FUSED)
 
 
 def cover(b: Column, padding: float = 2.0) -> Column:
