@@ -40,6 +40,9 @@ _ROWS = 20_000
 
 
 _NAME, _ORG, _CLUE = re.compile(NAME_WORD), re.compile(ORG_WORD), re.compile(CLUE)
+_CLUES = re.compile(CLUE[:-1])  # where it stands, not only at an end
+_CAPITALS, _WORDS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), frozenset([*GIVEN_NAMES, "of", "&"])  # what a run may start with, but for postal numbers and clues
+_TITLE = re.compile("|".join(HONORIFICS))
 _CODE_DIGITS = 7  # the fewest that an identity number has
 
 
@@ -57,8 +60,8 @@ def _runs(tokens: list[str], i: int, before: str, postal: list[bool]) -> Iterato
         low = token.lower()
         names, orgs, posted = names and _NAME.match(token) is not None, orgs and _ORG.match(token) is not None, posted or postal[i + n - 1]
         if n == 1:
-            titled = any(h in before[-15:].lower() for h in HONORIFICS)
-            if low in GIVEN_NAMES or (titled and names) or (orgs and low in COMPANIES) or sum(c.isdigit() for c in token) >= _CODE_DIGITS:
+            titled = names and _TITLE.search(before[-15:].lower()) is not None
+            if titled or low in _WORDS or (orgs and low in COMPANIES) or (token[-1].isdigit() and sum(map(str.isdigit, token)) >= _CODE_DIGITS):
                 yield n
             continue
         if clue is None:
@@ -78,8 +81,13 @@ def word_groups(df: DataFrame, key: str, text: str) -> DataFrame:
             for own, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(whole or "")]
                 tokens = [t for _, _, t in found]
-                postal = [t[0].isdigit() | ("-" in t) | ("'" in t) | ("’" in t) and _POSTAL.search(t) is not None for t in tokens]
-                for i, (start, _, _) in enumerate(found):
+                postal = [not t.isalpha() and _POSTAL.search(t) is not None for t in tokens]
+                starts = {i for i, t in enumerate(tokens) if t[0] in _CAPITALS or t in _WORDS or (not t.islower() and t.lower() in _WORDS)}
+                starts.update(j for i, p in enumerate(postal) if p for j in range(max(i - MOST_TOKENS + 1, 0), i + 1))
+                if clues := {m.end() for m in _CLUES.finditer((whole or "").lower())}:
+                    starts.update(i for i, f in enumerate(found) if f[0] in clues)
+                for i in sorted(starts):
+                    start = found[i][0]
                     before = whole[max(start - BEFORE, 0) : start]
                     for n in _runs(tokens, i, before, postal):
                         end = found[i + n - 1][1]
