@@ -42,7 +42,7 @@ _ROWS = 20_000
 _NAME, _ORG, _CLUE = re.compile(NAME_WORD), re.compile(ORG_WORD), re.compile(CLUE)
 _CLUES = re.compile(CLUE[:-1])  # where it stands, not only at an end
 _CAPITALS, _WORDS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), frozenset([*GIVEN_NAMES, "of", "&"])  # what a run may start with, but for postal numbers and clues
-_TITLE = re.compile("|".join(HONORIFICS))
+_GIVEN, _TITLE = frozenset(GIVEN_NAMES), re.compile("|".join(HONORIFICS))
 _CODE_DIGITS = 7  # the fewest that an identity number has
 
 
@@ -61,7 +61,7 @@ def _runs(tokens: list[str], i: int, before: str, postal: list[bool]) -> Iterato
         names, orgs, posted = names and _NAME.match(token) is not None, orgs and _ORG.match(token) is not None, posted or postal[i + n - 1]
         if n == 1:
             titled = names and _TITLE.search(before[-15:].lower()) is not None
-            if titled or low in _WORDS or (orgs and low in COMPANIES) or (token[-1].isdigit() and sum(map(str.isdigit, token)) >= _CODE_DIGITS):
+            if titled or low in _GIVEN or (orgs and low in COMPANIES) or (token[-1].isdigit() and sum(map(str.isdigit, token)) >= _CODE_DIGITS):
                 yield n
             continue
         if clue is None:
