@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import vault
+from ..streaming import ingest
 from .catalog import query, table
 
 
@@ -26,3 +27,22 @@ def vault_ops(spark, sf):
 def vault_replay(spark, sf):
     """The answer to each operation."""
     return vault.replay(vault_ops(spark, sf), keep_ms=86_400_000)
+
+
+def event_lines(spark, sf):
+    """Events as the lines a logger would send, some of them broken."""
+    e = table(spark, sf, "events").where("event_type IS NOT NULL")
+    no = F.col("event_id").cast("string")
+    payload = F.struct(
+        F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("stage"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Warn-"), F.col("event_type"))).alias("category"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("event"),
+        F.when(F.col("event_id") % 7 == 0, "debug").alias("level"), F.when(F.col("event_id") % 5 > 0, F.struct(F.concat(F.lit("s"), no).alias("password"), F.concat(F.lit("by u"), no, F.lit("@example.com")).alias("note"))).alias("data"),
+        F.struct(F.concat(F.lit("v"), no).alias("apiKey")).alias("metadata"),
+    )
+    line = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit('{"stage": '), no)).when(F.col("event_id") % 13 == 0, no).otherwise(F.to_json(payload))
+    return e.select("event_id", line.alias("line"))
+
+
+@query
+def event_ingest(spark, sf):
+    """What becomes of each line: kept with defaults, level and scrubbed data, or why not."""
+    return ingest.ingested(event_lines(spark, sf)).drop("line")
