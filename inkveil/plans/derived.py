@@ -125,6 +125,37 @@ DERIVED: dict[str, tuple[str, list[str], str]] = {
         "value IS NOT NULL",
     ),
     "represented": ("events", ["1000000 + event_id AS item_id", f"{pick('event_id', 'ALLOW', 'TOKENIZE', 'REDACT', 'LOCAL_ONLY', None)} AS decision", f"{pick('user_id', None, 'T1', '')} AS token", "event_id % 2 = 0 AS dom_masked", "event_id % 3 = 0 AS screenshot_masked", f"{pick('event_id + user_id', 'T1', '[REDACTED]', 'raw', '', 'T2')} AS remote_payload"], "true"),
+    "plan_ops": (
+        "events",
+        ["user_id AS session", "event_id AS op_id", "ts AS moment", "CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'insert' END WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'replace' END ELSE 'complete' END AS op",
+         f"split(CASE event_type WHEN 'signup' THEN {pick('event_id', 'navigate,search,filter,select_candidate,verify_goal', 'fill_form,submit_form,verify_goal', 'search,compare,add_to_cart,verify_goal', 'inspect')} WHEN 'view' THEN {pick('event_id', 'close_modal', 'scroll')} ELSE {pick('event_id', 'search,select_candidate', 'scroll,inspect,verify_goal', 'search')} END, ',') AS types"],
+        "user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL",
+    ),
+    "checked_goals": (
+        "orders",
+        ["o_orderkey AS goal_id", f"{pick('o_orderkey', 'Find shoes', 'Add to cart the blue lamp', 'click the button', 'compare two phones', 'buy now the red pen', 'fill out the form', 'please register me', 'star the repository')} AS request",
+         f"{pick('o_custkey', 'find it', None, 'confirm and go', 'look around')} AS summary", f"split({pick('o_orderkey', 'search,filter', 'add_to_cart', 'click,submit', 'search,compare', 'inspect', 'fill,fill_form', 'submit_form', 'perform_action')}, ',') AS operations",
+         f"{pick('o_orderkey', None, None, 'save', None, None, None, None)} AS click_target", f"{pick('o_custkey', None, 'Star', 'open', None, 'subscribe')} AS action", f"{pick('o_orderkey', 'ecommerce', 'general', 'form_filling')} AS domain", "o_custkey % 3 = 0 AS picks",
+         f"{pick('o_custkey', 'price', 'brand', 'candidate_count', None, 'rating')} AS c_name", f"{pick('o_custkey', '<=', '=', '=', None, '>=')} AS c_operator", f"{pick('o_custkey', '20000', 'ACME', '3', None, '4.5')} AS c_value", "o_orderkey % 10 = 3 AS c_update"],
+        "true",
+    ),
+    "goal_actions": (
+        "lineitem",
+        ["l_orderkey AS goal_id", f"{pick('l_partkey', 'CLICK', 'TYPE', 'SCROLL', 'NAVIGATE', 'SUBMIT', 'WAIT', None)} AS kind", f"{pick('l_suppkey', 'typed into search box', 'Subscribe to it', 'look', 'Add to cart', 'go on', 'order placed', None)} AS reason",
+         f"{pick('l_partkey', None, 'star', None, 'scroll')} AS action", f"{pick('l_suppkey', 'e1', None, 'bag', 'save_all', 'checkout link')} AS target", "'n' || CAST(l_linenumber AS STRING) AS target_id"],
+        "l_orderkey % 9 > 0",
+    ),
+    "goal_tasks": (
+        "lineitem",
+        ["l_orderkey AS goal_id", POS, f"{pick('l_partkey', 'search', 'filter', 'inspect', 'submit_form', 'verify_goal', 'perform_action', 'navigate')} AS type", f"{pick('l_suppkey', 'do the task', '', 'go there')} AS description", f"{pick('l_partkey + l_suppkey', 'completed', 'COMPLETED', 'pending', 'completed', 'completed')} AS status",
+         f"{pick('l_suppkey', 'CLICK', None)} AS action_kind", f"{pick('l_partkey', None, 'share', 'read')} AS action"],
+        "l_orderkey % 4 > 0",
+    ),
+    "goal_candidates": (
+        "lineitem",
+        ["l_orderkey AS goal_id", "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS price", f"{pick('l_partkey', 'acme', 'Other', None)} AS brand", f"{pick('l_suppkey', '4.7', '3', 'good', None)} AS rating"],
+        "l_orderkey % 5 > 1",
+    ),
 }
 
 
