@@ -22,6 +22,7 @@ from ..functions import text as t
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 # --- fixed values ---
 FORBIDDEN = ["script", "style", "noscript", "iframe", "object", "embed", "applet", "base"]
+NOT_SHOWN = ["head", "script", "style", "noscript", "template", "svg"]
 STRIPPED_ATTRIBUTES = ["onclick", "onload", "onerror", "onmouseover", "onfocus", "onblur", "onchange", "onsubmit", "data-raw-value", "data-secret", "data-password"]
 MOST_DEPTH, MOST_NODES, MOST_TEXT = 32, 1000, 5000
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "euro": "€", "bull": "•", "times": "×"}
@@ -204,6 +205,29 @@ def text_rows(pages: DataFrame, skipped: list[str], most: int) -> DataFrame:
 _CODE = r"(?i:<script(?![A-Za-z0-9_])|eval\(|new Function\(|javascript:)"
 
 
+def shown_rows(pages: DataFrame) -> DataFrame:
+    """page_id, pos, source, path, text, type, attributes of a page's texts, fields, buttons and images, in order; head, code and drawings left out."""
+    found = with_nodes(pages.select("page_id", "html"), lambda x: x["tag"].isin(NOT_SHOWN))
+    nodes = F.col("nodes")
+    empty = lambda x: F.coalesce(x, F.lit(""))
+
+    def named(n: Column) -> Column:
+        by_name = F.when(empty(get(n, "name")) != "", F.concat(n["tag"], F.lit('[name="'), get(n, "name"), F.lit('"]'))).otherwise(n["tag"])
+        return F.when(empty(get(n, "id")) != "", F.concat(F.lit("#"), get(n, "id"))).otherwise(by_name)
+
+    def row(n: Column) -> Column:
+        parent = F.get(nodes, n["parent"] - 1)
+        above = F.when(empty(get(parent, "id")) != "", F.concat(F.lit("#"), get(parent, "id"))).otherwise(F.coalesce(parent["tag"], F.lit("text")))
+        field = n["tag"].isin("input", "textarea")
+        value = F.coalesce(F.nullif(get(n, "value"), F.lit("")), F.when(n["tag"] == "textarea", F.nullif(content(nodes, n["id"]), F.lit(""))), get(n, "placeholder"), F.lit(""))
+        source = F.when(n["text"].isNotNull(), "text").when(field, "input").when(n["tag"] == "button", "button").when(n["tag"] == "img", "image")
+        text = F.when(n["text"].isNotNull(), n["text"]).when(field, value).when(n["tag"] == "button", content(nodes, n["id"])).otherwise(empty(get(n, "alt")))
+        return F.struct(source.alias("source"), F.when(n["text"].isNotNull(), above).otherwise(named(n)).alias("path"), text.alias("text"), get(n, "type").alias("type"), n["attributes"].alias("attributes"))
+
+    wanted = F.filter("nodes", lambda n: ~n["hidden"] & (n["text"].isNotNull() | n["tag"].isin("input", "textarea", "button", "img")))
+    return found.select("page_id", F.posexplode(F.transform(wanted, row)).alias("pos", "r")).select("page_id", "pos", "r.*")
+
+
 def _neutral(value: Column) -> Column:
     calm = F.regexp_replace(F.regexp_replace(value, r"(?i:javascript:)", "#"), r"(?i:eval\()[^\n\r]*?\)", "[NEUTRALIZED_CODE]")
     return F.when(value.rlike(_CODE), calm).otherwise(value)

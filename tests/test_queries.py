@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from inkveil.plans import catalog, context, context_sql, matched, matched_sql, page_tree, page_tree_sql, payloads, payloads_sql, planned, planned_sql, progress, progress_sql, seeded, seeded_sql, state, state_sql, spoken, spoken_sql, sql  # noqa: F401
+from inkveil.plans import catalog, context, context_sql, matched, matched_sql, page_tree, page_tree_sql, passed, passed_sql, payloads, payloads_sql, planned, planned_sql, progress, progress_sql, seeded, seeded_sql, state, state_sql, spoken, spoken_sql, sql  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
