@@ -92,23 +92,30 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x{A0}]+|[\s\x{A0}]+\z", "")
 
 
-def page_text(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+def _ranges(spans: DataFrame) -> DataFrame:
+    """page_id, pos, ranges: the spans of each node, those that overlap as one."""
+    node = Window.partitionBy("page_id", "pos").orderBy("start", "end")
+    before = F.max("end").over(node.rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.where("start < end").select("page_id", "pos", "start", "end", F.coalesce(F.col("start") >= before, F.lit(True)).alias("apart"))
+    apart = apart.withColumn("no", F.count_if("apart").over(node)).groupBy("page_id", "pos", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return apart.groupBy("page_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+
+
+def page_text(nodes: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """(page_id, nodes, sanitized, text): each page's visible nodes after redaction, a line each, in order.
 
     nodes: page_id, pos, source, path, text, type, protected. source: text (redacted at its spans, left out where nothing is left), input (a password
     hidden, a protected one redacted, an empty one without a line), button, image (a line if protected); rows of other sources are left out.
     spans: page_id, pos, start, end of nodes of source text, in code points; spans of a node that overlap are one, and of an empty one nothing goes.
+    Without spans, nodes have their own in `ranges` (array of struct<start, end, ...>, disjoint and in order; null or empty for none).
     Pages without nodes have no row.
     """
-    node = Window.partitionBy("page_id", "pos").orderBy("start", "end")
-    before = F.max("end").over(node.rowsBetween(Window.unboundedPreceding, -1))
-    apart = spans.where("start < end").select("page_id", "pos", "start", "end", F.coalesce(F.col("start") >= before, F.lit(True)).alias("apart"))
-    apart = apart.withColumn("no", F.count_if("apart").over(node)).groupBy("page_id", "pos", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    ranges = apart.groupBy("page_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     source, protected, shown = F.col("source"), F.coalesce("protected", F.lit(False)), F.coalesce("text", F.lit(""))
-    rows = nodes.where(source.isin("text", "input", "button", "image")).select("page_id", "pos", "source", F.coalesce("path", F.lit("")).alias("path"), shown.alias("text"), "type", protected.alias("protected"))
-    rows = rows.join(ranges, ["page_id", "pos"], "left")
-    cut = F.when(F.col("ranges").isNull(), _trimmed(F.col("text"))).otherwise(_trimmed(_put(F.col("text"), F.col("ranges"), lambda s: F.lit(REDACTED))))
+    rows = nodes.where(source.isin("text", "input", "button", "image")).select("page_id", "pos", "source", F.coalesce("path", F.lit("")).alias("path"), shown.alias("text"), "type", protected.alias("protected"), *(["ranges"] if spans is None else []))
+    if spans is not None:
+        rows = rows.join(_ranges(spans), ["page_id", "pos"], "left")
+    any_ = F.coalesce(F.size("ranges"), F.lit(0)) > 0
+    cut = F.when(~any_, _trimmed(F.col("text"))).otherwise(_trimmed(_put(F.col("text"), F.col("ranges"), lambda s: F.lit(REDACTED))))
     password = F.coalesce(F.lower("type") == "password", F.lit(False))
     out = (
         F.when(source == "text", cut)
@@ -116,7 +123,7 @@ def page_text(nodes: DataFrame, spans: DataFrame) -> DataFrame:
         .when(source == "button", _trimmed(F.col("text")))
         .otherwise(F.when(F.col("protected"), IMAGE).when(F.col("text") != "", F.concat(F.lit("[Image: "), "text", F.lit("]"))).otherwise("[Image]"))
     )
-    changed = F.when(source == "text", F.col("ranges").isNotNull()).when(source == "input", password | F.col("protected")).when(source == "image", F.col("protected")).otherwise(False)
+    changed = F.when(source == "text", any_).when(source == "input", password | F.col("protected")).when(source == "image", F.col("protected")).otherwise(False)
     rows = rows.select("page_id", "pos", "source", "path", "protected", changed.alias("changed"), out.alias("out")).where((F.col("source") != "text") | (F.col("out") != ""))
     field = F.concat(F.lit("["), "path", F.lit("]: "))
     line = (

@@ -156,6 +156,20 @@ DERIVED: dict[str, tuple[str, list[str], str]] = {
         ["l_orderkey AS goal_id", "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS price", f"{pick('l_partkey', 'acme', 'Other', None)} AS brand", f"{pick('l_suppkey', '4.7', '3', 'good', None)} AS rating"],
         "l_orderkey % 5 > 1",
     ),
+    "live_elements": (
+        "lineitem",
+        ["l_orderkey % 500 AS page_id", f"l_orderkey * 10000000 + {PLACE} AS pos", "'e' || CAST(l_partkey AS STRING) AS element_id", "'d' || CAST(l_suppkey AS STRING) AS dom_id", f"{pick('l_partkey', 'q', None, 'field', 'mail', '')} AS name",
+         f"{pick('l_suppkey', 'Search here', None, 'Your E-Mail', '')} AS placeholder", f"{pick('l_partkey', None, 'Close dialog', 'Open the menu')} AS aria_label", f"{pick('l_suppkey', 'Buy now', 'Add to cart', None, 'More results', 'Terms')} || CAST(l_partkey % 50 AS STRING) AS text", f"{pick('l_partkey', None, 'email', None, 'search', None, 'price', None)} AS semantic_type", "l_partkey % 3 = 0 AS sponsored"],
+        "l_orderkey % 500 > 20",
+    ),
+    "stale_refs": (
+        "orders",
+        ["o_orderkey AS ref_id", "o_orderkey % 500 AS page_id", f"CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'window' WHEN 2 THEN 'n7' WHEN 3 THEN 'e' || CAST(o_custkey AS STRING) WHEN 4 THEN 'd' || CAST(o_custkey % 20 AS STRING) WHEN 5 THEN '' ELSE 'gone' END AS target_id", "o_custkey % 9 = 0 AS stale",
+         f"{pick('o_custkey', None, None, 'email', None, None, '')} AS semantic_type", f"{pick('o_orderkey', None, 'nobody', None, 'mail', None, None, None)} AS name", f"{pick('o_custkey', None, ' Cart1 ', None, 'MENU')} AS label", f"{pick('o_orderkey', None, None, 'search HERE', None, None)} AS placeholder", "CASE WHEN o_custkey % 3 > 0 THEN 'now' || CAST(o_custkey % 60 AS STRING) END AS text",
+         f"{pick('o_custkey', 'abc', None, 'close')} AS aria_label"],
+        "true",
+    ),
+    "live_nodes": ("supplier", ["s_suppkey % 500 AS page_id", f"{pick('s_suppkey', 'n7', 'window', 'n8')} AS key"], "true"),
 }
 
 

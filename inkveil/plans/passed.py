@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import detection, gates, passes
 from ..sources import dom
 from .catalog import query, table
@@ -41,6 +42,6 @@ def page_nodes(spark, sf):
 @query
 def page_sanitized_text(spark, sf):
     """The text of each page with what was found in it redacted."""
-    rows = page_nodes(spark, sf)
-    found = detection.core_spans(rows.where("source = 'text'"), "page_id", "pos").select("page_id", "pos", "start", "end")
-    return passes.page_text(rows, found).select("page_id", "nodes", "sanitized", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+    own = F.when(F.col("source") == "text", t.let(detection.core_found(F.col("text")), detection.disjoint))
+    rows = page_nodes(spark, sf).withColumn("ranges", own)
+    return passes.page_text(rows).select("page_id", "nodes", "sanitized", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))

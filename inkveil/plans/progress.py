@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import completion, evaluation, plan_state
+from ..operators import completion, evaluation, plan_state, recovery
 from .catalog import query, table
 from .derived import derived
 
@@ -65,3 +65,10 @@ def centroid_evaluation(spark, sf):
     """Nearest class means as a classifier of the vectors' labels, judged by class and overall."""
     rows = evaluation.evaluated(_centroid_scores(table(spark, sf, "embeddings")))
     return rows.select("class", "support", "predicted", "hits", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "ap")])
+
+
+@query
+def stale_targets(spark, sf):
+    """Targets of orders found again among the elements of their pages, made of lines."""
+    refs, elements, nodes = (derived(spark, sf, name) for name in ("stale_refs", "live_elements", "live_nodes"))
+    return recovery.recovered(refs, elements, nodes)

@@ -93,3 +93,16 @@ rates AS (SELECT class, count_if(hit) AS support, count_if(chosen) AS predicted,
 by_class AS (SELECT class, support, predicted, hits, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS precision, hits / support AS recall, ap FROM rates JOIN area USING (class)),
 both_ AS (SELECT * FROM by_class UNION ALL SELECT NULL, sum(support), sum(predicted), sum(hits), avg(precision), avg(recall), avg(ap) FROM by_class)
 SELECT class, CAST(support AS BIGINT) AS support, CAST(predicted AS BIGINT) AS predicted, CAST(hits AS BIGINT) AS hits, round(precision, 9) AS precision, round(recall, 9) AS recall, round(ap, 9) AS ap FROM both_"""
+
+ORACLE_SQL["stale_targets"] = f"""
+WITH r AS (SELECT * REPLACE (nullif(target_id, '') AS target_id, nullif(semantic_type, '') AS semantic_type), nullif(trim(lower(coalesce(nullif(semantic_type, ''), name, label, placeholder, text, aria_label))), '') AS hint FROM {_of("stale_refs")}),
+e AS (SELECT *, lower(concat_ws(' ', coalesce(name, ''), coalesce(placeholder, ''), coalesce(aria_label, ''), coalesce(text, ''), coalesce(semantic_type, ''))) AS words FROM {_of("live_elements")}),
+n AS (SELECT * FROM {_of("live_nodes")}),
+k AS (SELECT page_id, element_id AS key FROM e UNION SELECT page_id, dom_id FROM e UNION SELECT page_id, nullif(name, '') FROM e UNION SELECT page_id, key FROM n),
+p AS (SELECT r.*, CASE WHEN target_id IS NULL THEN 'DENIED_INVALID_TARGET' WHEN stale AND target_id <> 'window' THEN 'DENIED_STALE_TARGET' END AS denied,
+  target_id = 'window' OR EXISTS (SELECT 1 FROM k WHERE k.page_id = r.page_id AND k.key = r.target_id) OR NOT EXISTS (SELECT 1 FROM k WHERE k.page_id = r.page_id) AS found FROM r),
+a AS (SELECT p.ref_id, arg_min(e.element_id, e.pos) AS again FROM p JOIN e ON e.page_id = p.page_id AND NOT e.sponsored
+  AND (e.semantic_type = p.semantic_type OR e.name = p.name AND e.name <> '' OR lower(e.placeholder) = lower(p.placeholder) AND e.placeholder <> '' OR length(p.hint) > 3 AND contains(e.words, p.hint))
+  WHERE denied IS NULL AND NOT found AND hint IS NOT NULL GROUP BY 1)
+SELECT ref_id, denied IS NULL AND (found OR again IS NOT NULL) AS resolved, coalesce(again, target_id) AS target_id, again IS NOT NULL AS recovered, coalesce(denied, CASE WHEN NOT found AND again IS NULL THEN 'DENIED_TARGET_NOT_FOUND' END) AS reason
+FROM p LEFT JOIN a USING (ref_id)"""
