@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 
+# --- fixed values ---
+PLATFORMS = {
+    "google": "https://www.google.com", "wikipedia": "https://www.wikipedia.org", "youtube": "https://www.youtube.com", "github": "https://github.com", "reddit": "https://www.reddit.com", "flipkart": "https://www.flipkart.com",
+    "ebay": "https://www.ebay.com", "walmart": "https://www.walmart.com", "amazon": "https://www.amazon.in", "myntra": "https://www.myntra.com", "twitter": "https://www.twitter.com", "x": "https://www.x.com",
+    "linkedin": "https://www.linkedin.com", "stackoverflow": "https://www.stackoverflow.com", "bing": "https://www.bing.com", "duckduckgo": "https://duckduckgo.com",
+}
+INTERNAL_PAGES, SEARCH_PAGE = ["chrome://", "about:", "chrome-extension://", "devtools://"], "https://www.google.com"
+NAMED_HOST = r"\b(?i:go to|open|visit|navigate to)\s+(?i:www\.)?((?i:[a-z0-9-]+\.(?:com|in|org|net|io|co|gov|edu|ai|app|dev)))\b"
+# --- end of fixed values ---
+
 
 def _group(text: Column, pattern: str) -> Column:
     """The first group of the first match, null without one."""
@@ -67,3 +77,29 @@ def action(goal: Column) -> Column:
     low = F.lower(goal)
     later, now = _group(low, c.ACT_LATER), F.when(~_has(low, c.ABOUT), _group(low, c.ACT_NOW))
     return F.when(~_has(low, c.CART), F.coalesce(F.regexp_extract(click_target(goal), r"^[^\s]+", 0), later, now))
+
+
+def start_url(goal: Column, place: Column, current: Column) -> Column:
+    """Where a browser at the page `current` should go first, null to stay. place: the goal's `navigation`.
+
+    An address in the goal counts first; a page outside the browser's own is left only for a goal that says where to; a known platform, then a named
+    host, unless the page is there already; from the browser's own pages else to a search. A null page is the browser's own.
+    """
+    at = F.lower(F.coalesce(current, F.lit("")))
+    internal = at == ""
+    for start in INTERNAL_PAGES:
+        internal = internal | F.coalesce(current.startswith(start), F.lit(False))
+    platform = F.try_element_at(F.create_map(*[F.lit(x) for kv in PLATFORMS.items() for x in kv]), F.lower(place["destination"]))
+    host = F.regexp_replace(F.regexp_extract(platform, "^https://([^/]+)", 1), r"^www\.", "")
+    named = _group(goal, NAMED_HOST)
+    away = lambda where: ~F.contains(at, F.lower(where))
+    return F.when(goal.isNull(), None).otherwise(
+        F.coalesce(
+            F.nullif(F.regexp_extract(goal, r"(?i:https?://[^\s]+)", 0), F.lit("")),
+            place["url"],
+            F.when(
+                internal | F.coalesce(place["explicit"], F.lit(False)),
+                F.coalesce(F.when(platform.isNotNull() & away(host), platform), F.when(named.isNotNull() & away(named), F.concat(F.lit("https://"), named)), F.when(internal, SEARCH_PAGE)),
+            ),
+        )
+    )

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import completion, evaluation, plan_state, recovery
+from ..operators import completion, evaluation, goals, plan_state, recovery
 from .catalog import query, table
-from .derived import derived
+from .derived import derived, fed, pick
+from .spoken import GOALS
+
+CURRENT = f"{pick('goal_id', None, 'about:blank', 'https://www.YouTube.com/watch', 'chrome://newtab', 'https://shop.example/', 'https://example.org/a')} AS current"
 
 
 def plan_ops(spark, sf):
@@ -72,3 +75,11 @@ def stale_targets(spark, sf):
     """Targets of orders found again among the elements of their pages, made of lines."""
     refs, elements, nodes = (derived(spark, sf, name) for name in ("stale_refs", "live_elements", "live_nodes"))
     return recovery.recovered(refs, elements, nodes)
+
+
+@query
+def goal_start_url(spark, sf):
+    """Where a browser should go first for each goal, from one of several pages."""
+    rows = fed(spark, sf, "goals", GOALS, "goal_id long, goal string").selectExpr("goal_id", "goal", CURRENT)
+    goal = F.col("goal")
+    return rows.select("goal_id", "goal", "current", goals.start_url(goal, goals.navigation(goal), F.col("current")).alias("url"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from .derived import DERIVED
-from .sql import ORACLE_SQL
+from ..operators import goals
+from .derived import DERIVED, relation
+from .progress import CURRENT
+from .spoken import GOALS
+from .spoken_sql import goal_parse
+from .sql import ORACLE_SQL, q, values
 
 
 def _of(name: str) -> str:
@@ -106,3 +110,13 @@ a AS (SELECT p.ref_id, arg_min(e.element_id, e.pos) AS again FROM p JOIN e ON e.
   WHERE denied IS NULL AND NOT found AND hint IS NOT NULL GROUP BY 1)
 SELECT ref_id, denied IS NULL AND (found OR again IS NOT NULL) AS resolved, coalesce(again, target_id) AS target_id, again IS NOT NULL AS recovered, coalesce(denied, CASE WHEN NOT found AND again IS NULL THEN 'DENIED_TARGET_NOT_FOUND' END) AS reason
 FROM p LEFT JOIN a USING (ref_id)"""
+
+_PLATFORMS = ", ".join(f"('{k}', '{v}')" for k, v in goals.PLATFORMS.items())
+_HOST = "regexp_replace(replace(platform, 'https://', ''), '^www.', '')"
+ORACLE_SQL["goal_start_url"] = f"""
+WITH parsed AS ({goal_parse(GOALS)}), g AS (SELECT goal_id, goal, explicit, url AS target, lower(destination) AS key, {CURRENT} FROM parsed JOIN {relation("goals", values(GOALS, "goal_id, goal"), "goal_id, goal")} USING (goal_id)),
+i AS (SELECT g.*, platform, nullif(regexp_extract(goal, {q(goals.NAMED_HOST)}, 1), '') AS named, lower(coalesce(current, '')) AS at_, coalesce(current, '') = '' OR regexp_matches(current, '^(chrome|about|chrome-extension|devtools):') AS internal
+  FROM g LEFT JOIN (VALUES {_PLATFORMS}) AS p(key, platform) USING (key))
+SELECT goal_id, goal, current, CASE
+  WHEN regexp_matches(goal, '(?i)https?://[^\\s]') THEN regexp_extract(goal, '(?i)https?://[^\\s]+') WHEN target IS NOT NULL THEN target WHEN NOT internal AND NOT coalesce(explicit, false) THEN NULL
+  WHEN platform IS NOT NULL AND NOT contains(at_, {_HOST}) THEN platform WHEN named IS NOT NULL AND NOT contains(at_, lower(named)) THEN 'https://' || named WHEN internal THEN 'https://www.google.com' END AS url FROM i"""
