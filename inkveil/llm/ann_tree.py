@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-Method. A tree of k-means splits is fitted on a bounded sample (`sample` vectors, the smallest by a hash of their id; its
+Method. A tree of k-means splits is fitted on a bounded sample (`sample` rows, the smallest by a hash of id and vector; its
 size is a parameter and the only part that doesn't read all rows). Every valid vector of the table goes to one leaf.
 Equal vectors are one index row with their k + 1 smallest ids (no query can need more, as ties go to smaller ids), gathered
 per chunk first, so a vector that a third of all rows share is no hot row. A query's vector walks the tree with a
 priority queue: nearest bins first, leaf after leaf. How many leaves are visited is calibrated: for `probes` query vectors
 the exact neighbours are found in one scan of all rows, and the visits widen until `recall` of them lie in visited leaves.
 A query whose leaves hold fewer than k + 1 ids goes on to further ones.
-Visits meet the leaves' vectors in cogroups of at most `block` distinct vectors; partial results merge by query vector.
-Distances are computed exactly, in double precision on the original vectors.
+Leaves that follow each other are one parcel of about `block` distinct vectors. A query goes once to each parcel that has a leaf it visits, and is
+held against the whole parcel; both sides of a parcel are cut into blocks, and a block of queries gives one partial result a query, so what is
+shuffled grows with queries times parcels, not with queries times leaves. Partial results merge by query vector.
+Products of whole blocks leave only vectors that may be among the nearest; their distances are computed exactly, in double precision on the original vectors.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite components, or whose length isn't the table's most frequent
 one (of equally frequent ones the smallest), and rows without vec_id take no part. Repeated vec_ids are one id: a query gives its rows once for each of its vectors; an id is
@@ -143,16 +145,40 @@ def _nearest(ids: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, far))[:k]
 
 
+ROWS = 256  # queries at a time against a block of vectors
+
+
 def _partial(queries: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query row: the k nearest ids among the vectors x, each of which has several ids, and their distances."""
-    for q, v in enumerate(queries):
-        far = np.sqrt(((x - v) ** 2).sum(1))
-        near = np.argpartition(far, k - 1)[:k] if len(far) > k else np.arange(len(far))
-        near = np.flatnonzero(far <= far[near].max())
-        own = np.concatenate([ids[i] for i in near])
-        score = np.repeat(far[near], [len(ids[i]) for i in near])
-        best = _nearest(own, score, k)
-        yield q, own[best], score[best]
+    with np.errstate(over="ignore"):
+        norms, own = (x * x).sum(1), (queries * queries).sum(1)
+    # Squares by products are off by so much at most; what may be nearest by them is measured exactly.
+    off = (np.sqrt(own) + np.sqrt(norms.max())) ** 2 * (8 * (x.shape[1] + 8) * np.finfo(float).eps)
+    pick = len(x) > k and np.isfinite(off).all()
+    for start in range(0, len(queries), ROWS):
+        some = queries[start : start + ROWS]
+        if pick:
+            rough = some @ x.T
+            rough *= -2
+            rough += norms
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * off[start : start + ROWS]
+        for q, v in enumerate(some):
+            near = np.flatnonzero(rough[q] <= limit[q]) if pick else np.arange(len(x))
+            with np.errstate(over="ignore"):
+                far = np.sqrt(((x[near] - v) ** 2).sum(1))
+            if len(far) > k:
+                least = far <= np.partition(far, k - 1)[k - 1]
+                near, far = near[least], far[least]
+            own_ids = np.concatenate([ids[i] for i in near])
+            score = np.repeat(far, [len(ids[i]) for i in near])
+            best = _nearest(own_ids, score, k)
+            yield start + q, own_ids[best], score[best]
+
+
+def parcels(sizes: np.ndarray, block: int) -> np.ndarray:
+    """The parcel of each leaf: leaves in order of number, a new parcel where the vectors before fill another block."""
+    before = np.cumsum(sizes) - sizes
+    return np.unique(before // block, return_inverse=True)[1].astype(np.int64)
 
 
 def _merged(parts: DataFrame, by: str, k: int) -> DataFrame:
@@ -160,25 +186,44 @@ def _merged(parts: DataFrame, by: str, k: int) -> DataFrame:
     return parts.groupBy(by).agg(F.slice(found, 1, k).alias("found"))
 
 
+def drawn_rows(rows: DataFrame, sample: int) -> DataFrame:
+    """The `sample` rows (vec_id, embedding) smallest by a hash of both; all, if there are fewer.
+
+    A sorted limit sends so many rows of every partition to the driver. So only rows below a bound on the hash are sorted, not many more than are wanted.
+    """
+    order = [F.xxhash64("vec_id", "embedding"), F.col("vec_id"), F.col("embedding")]
+    total, share = rows.count(), 0.0
+    while share < 1 and total > sample:
+        share = min(1.0, max(4 * share, 1.2 * (sample + 50) / total))
+        below = rows.where(order[0] <= int(-(2**63) + share * (2**64 - 2**11)))
+        found = below.count()
+        if found >= sample:
+            # Far too many: rows that are there many times, which one hash lets in or keeps out together.
+            kept = below.dropDuplicates(["vec_id", "embedding"]) if found > 4 * sample else below
+            return kept.orderBy(*order).limit(sample)
+    return rows.orderBy(*order).limit(sample)
+
+
 class Searcher:
     """The index of one table, ready for queries."""
 
-    def __init__(self, table: DataFrame, k: int = 10, sample: int = 20_000, leaf_rows: int = 256, recall: float = 0.97, probes: int = 64, block: int = 4096):
+    def __init__(self, table: DataFrame, k: int = 10, sample: int = 20_000, leaf_rows: int = 256, recall: float = 0.97, probes: int = 64, block: int = 16_384):
         self.table, self.k, self.recall, self.block = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), k, recall, block
         spark = table.sparkSession
         usable = self.table.where("embedding IS NOT NULL AND size(embedding) > 0 AND vec_id IS NOT NULL")
         common = usable.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
         self.width = common["width"] if common else 1
-        some = usable.where(F.size("embedding") == self.width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-        drawn = [r["embedding"] for r in some.select("embedding").collect()]
+        drawn = [r["embedding"] for r in drawn_rows(usable.where(F.size("embedding") == self.width), sample).select("embedding").collect()]
         _, points = matrix(pa.array(drawn, pa.list_(pa.float64())), self.width)
         share = max(self.table.count(), 1) / max(len(drawn), 1)
         self.tree = fit(points, max(8, int(leaf_rows / share)))
         self.sent = spark.sparkContext.broadcast(self.tree)
         self.index = stash(self._index(), "ann-index")
         self.held = np.zeros(self.tree.leaves, np.int64)  # ids in each leaf, up to k + 1 of a vector
-        for r in self.index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():
-            self.held[r["leaf"]] = r["n"]
+        distinct = np.zeros(self.tree.leaves, np.int64)
+        for r in self.index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("vectors")).collect():
+            self.held[r["leaf"]], distinct[r["leaf"]] = r["n"], r["vectors"]
+        self.parcel = parcels(distinct, block)
         self.probes = probes
 
     def _index(self) -> DataFrame:
@@ -245,7 +290,7 @@ class Searcher:
     def search(self, queries: DataFrame) -> DataFrame:
         """(query_id, rank, vec_id, score) for query rows (vec_id, embedding)."""
         width, k, block = self.width, self.k, self.block
-        sent = queries.sparkSession.sparkContext.broadcast((self.tree, self.held))
+        sent = queries.sparkSession.sparkContext.broadcast((self.tree, self.held, self.parcel))
         keys = stash(self.keys(queries), "ann-queries")
         visits = self.visits = self.calibrate(keys)
         # A query's id may stand at several vectors, none of which counts for it: so many more are looked for.
@@ -253,19 +298,28 @@ class Searcher:
         wanted = k + (most or 1)
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, held, parcel = sent.value
             for b in batches:
                 vectors = b.column("vector").to_pylist()
-                leaves = [best_bins(sent.value[0], np.frombuffer(v), visits, sent.value[1], wanted) for v in vectors]
-                yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array(leaves, pa.list_(pa.int64()))], ["vector", "leaves"])
+                found = [np.unique(parcel[best_bins(tree, np.frombuffer(v), visits, held, wanted)]) for v in vectors]
+                yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["vector", "parcels"])
 
-        walked = keys.select("vector").distinct().mapInArrow(walk, "vector binary, leaves array<long>").select("vector", F.explode("leaves").alias("leaf"))
-        # Both sides of a leaf are cut into blocks; each block of visits meets each block of vectors.
-        pieces = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-        sizes = pieces(self.index, "v_blocks").join(pieces(walked, "q_blocks"), "leaf")
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                parcel = sent.value[2][b.column("leaf").to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array(parcel), b.column("vector"), b.column("ids")], ["parcel", "vector", "ids"])
+
+        spread_out = max(queries.sparkSession.sparkContext.defaultParallelism, 1)  # the walk is the work of the few rows of queries
+        walked = keys.select("vector").distinct().repartition(spread_out, "vector").mapInArrow(walk, "vector binary, parcels array<long>")
+        walked = stash(walked.select("vector", F.explode("parcels").alias("parcel")), "ann-visits")
+        index = self.index.mapInArrow(placed, "parcel long, vector binary, ids array<long>")
+        # Both sides of a parcel are cut into blocks; each block of queries meets each block of vectors.
+        pieces = lambda df, name: df.groupBy("parcel").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        sizes = pieces(index, "v_blocks").join(pieces(walked, "q_blocks"), "parcel")
         spread = lambda df, own, other, a, b: (
-            df.join(sizes, "leaf").withColumn(a, F.pmod(F.xxhash64("vector"), F.col(own)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("v_blocks", "q_blocks")
+            df.join(sizes, "parcel").withColumn(a, F.pmod(F.xxhash64("vector"), F.col(own)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("v_blocks", "q_blocks")
         )
-        left, right = spread(walked, "q_blocks", "v_blocks", "qb", "vb"), spread(self.index, "v_blocks", "q_blocks", "vb", "qb")
+        left, right = spread(walked, "q_blocks", "v_blocks", "qb", "vb"), spread(index, "v_blocks", "q_blocks", "vb", "qb")
 
         def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(v):
@@ -274,7 +328,7 @@ class Searcher:
             found = [[{"score": float(s), "vec_id": int(i)} for i, s in zip(own, score, strict=True)] for _, own, score in _partial(asked, x, list(v["ids"]), wanted)]
             return pd.DataFrame({"vector": q["vector"], "found": found})
 
-        group = ["leaf", "qb", "vb"]
+        group = ["parcel", "qb", "vb"]
         parts = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, "vector binary, found array<struct<score: double, vec_id: long>>")
         merged = _merged(parts, "vector", wanted)
         mine = keys.join(merged, "vector").withColumn("found", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k))

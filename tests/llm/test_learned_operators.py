@@ -287,3 +287,34 @@ def test_query_id_of_two_vectors_still_gets_k(spark):
     found = ann_tree.Searcher(table).search(table.where("vec_id = 0")).collect()
     assert len(found) == 20 and all(r["vec_id"] != 0 for r in found)
     assert sorted({r["vec_id"] for r in found}) == list(range(1, 11))
+
+
+def test_drawn_rows_are_bounded_before_they_are_sorted(spark):
+    table = spark.range(4000).selectExpr("id AS vec_id", "array(cast(id AS float), 1f) AS embedding").repartition(8)
+    some = ann_tree.drawn_rows(table, 200)
+    assert some.count() == 200 == some.select("vec_id").distinct().count()
+    order = F.xxhash64("vec_id", "embedding")
+    assert sorted(r["vec_id"] for r in some.collect()) == sorted(r["vec_id"] for r in table.orderBy(order).limit(200).collect())
+    assert "Filter" in some._jdf.queryExecution().optimizedPlan().toString()  # no partition sends 200 rows of its own
+    same = spark.range(4000).selectExpr("7L AS vec_id", "array(1f, 2f) AS embedding")
+    assert 1 <= ann_tree.drawn_rows(same, 200).count() <= 200
+    assert ann_tree.drawn_rows(table, 5000).count() == 4000
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-160, 1e160])
+def test_block_products_leave_the_nearest(scale):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 6)), 1) * scale
+    x[100:140] = x[0] + 1e-9 * scale * rng.normal(size=(40, 6))
+    ids = [np.array([i, 1000 + i]) if i % 5 == 0 else np.array([i]) for i in range(len(x))]
+    flat, of = np.concatenate(ids), np.repeat(np.arange(len(x)), [len(i) for i in ids])
+    queries = x[:300]
+    with np.errstate(over="ignore", under="ignore"):
+        for q, own, far in ann_tree._partial(queries, x, ids, 12):
+            true = np.sqrt(((x - queries[q]) ** 2).sum(1))[of]
+            best = np.lexsort((flat, true))[:12]
+            assert own.tolist() == flat[best].tolist() and far.tolist() == true[best].tolist()
+
+
+def test_leaves_are_put_together_to_parcels():
+    assert ann_tree.parcels(np.array([3, 3, 3, 0, 9, 1, 1]), 6).tolist() == [0, 0, 1, 1, 1, 2, 2]
