@@ -66,7 +66,7 @@ def click_target(goal: Column) -> Column:
     low = F.lower(goal)
 
     def named(pattern: str) -> Column:
-        target = F.nullif(F.regexp_replace(F.trim(_group(low, pattern)), r"\s+(?:button|btn|link)$", ""), F.lit(""))
+        target = F.nullif(F.regexp_replace(F.trim(_group(low, pattern)), r"\s+(?:button|btn|link)\z", ""), F.lit(""))
         return F.when(~target.isin(c.NO_TARGET), target)
 
     return F.coalesce(named(c.CLICK_LATER), named(c.CLICK_NOW), F.trim(_group(low, c.COMMAND)))

@@ -41,19 +41,19 @@ def operations(goal: Column, domain: Column, explicit: Column, ordinal: Column,
 
 
 def _without_action(text: Column, action: Column) -> Column:
-    tail = F.concat(F.lit(f"(?i:{c.BEFORE_ACTION}"), action, F.lit(c.java(r"\b") + ".*$)"))
+    tail = F.concat(F.lit(f"(?i:{c.BEFORE_ACTION}"), action, F.lit(c.java(r"\b") + r".*\z)"))
     return F.when(action.isNull(), text).otherwise(F.trim(F.regexp_replace(text, tail, F.lit(""))))
 
 
 def target_entity(goal: Column, domain: Column, click_target: Column, action: Column) -> Column:
     """What the goal is about: what is clicked, else what is searched, else the noun after the verb, else the goal less verb and limits."""
     text = F.trim(goal)
-    item = F.trim(F.regexp_extract(text, c.ITEM, 1))
-    rest = F.trim(F.regexp_replace(_without_action(F.regexp_replace(text, c.GOAL_PREFIX, ""), action), c.GOAL_LIMITS, ""))
+    item = F.trim(F.regexp_extract(text, c.java(c.ITEM), 1))
+    rest = F.trim(F.regexp_replace(_without_action(F.regexp_replace(text, c.java(c.GOAL_PREFIX), ""), action), c.java(c.GOAL_LIMITS), ""))
     none = F.coalesce(F.create_map(*[F.lit(x) for kv in c.NO_ENTITY.items() for x in kv])[domain], F.lit(c.NO_ENTITY[""]))
     return (
         F.when(click_target.isNotNull(), click_target)
-        .when(text.rlike(c.SEARCHED), _without_action(F.trim(F.regexp_extract(text, c.SEARCHED, 1)), action))
+        .when(text.rlike(c.java(c.SEARCHED)), _without_action(F.trim(F.regexp_extract(text, c.java(c.SEARCHED), 1)), action))
         .when((item != "") & ~F.lower(item).isin(c.NO_ITEM), item)
         .when(rest != "", rest)
         .otherwise(none)
