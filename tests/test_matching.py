@@ -68,3 +68,13 @@ def test_plans_have_no_nested_loop(spark):
     for name in ("nearest_bracket", "constraint_division"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ranges_that_all_overlap_are_not_paired_off_with_targets(spark):
+    brackets = spark.createDataFrame([(i, i % 3, float(-50 + i % 7), float(900 + i)) for i in range(200)] + [(900 + i, 1, -90.0 - i, -80.0 + i) for i in range(5)], BRACKETS)
+    targets = spark.createDataFrame([(i, v) for i, v in enumerate([-95.0, -93.0, -91.5, -90.0, -80.0, -44.0, -50.0, 0.0, 900.0, 950.5, 1099.0, 1200.0, 1263.8, 1265.0])], "id long, value double")
+    out = matching.nearest_bracket(targets, brackets, 4)
+    rows = [tuple(r) for r in brackets.collect()]
+    assert sorted((r["id"], r["bracket_id"], r["diff"]) for r in out.collect()) == sorted((r["id"], *bracket_brute(r["value"], rows)) for r in targets.collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("currentrow$(), unboundedfollowing$()") == 0
