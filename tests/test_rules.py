@@ -180,3 +180,30 @@ def test_fusion_keeps_names_apart(spark):
     rows = spark.createDataFrame([(x,) for x in ("first_name", "home_address", "email_field", "Card", None)], "c string")
     got = rows.select(layout.fused_category(F.col("c")), context.normal_category(F.col("c"))).collect()
     assert [tuple(r) for r in got] == [("first_name", "person_name"), ("home_address", "address"), ("email", "email"), ("payment_card", "payment_card"), ("", "")]
+
+
+def test_limits_of_goals_end_before_a_last_newline_only_with_the_text(spark):
+    from inkveil.operators import planning
+
+    none = F.lit(None).cast("string")
+    texts = ["compare laptops over 1k that\n", "compare laptops over 1k that"]
+    rows = spark.createDataFrame([(t,) for t in texts], "goal string").select(planning.target_entity(F.col("goal"), F.lit("general"), none, none).alias("e"))
+    assert [r["e"] for r in rows.collect()] == ["laptops over 1k that\n", "laptops"]
+
+
+def test_lines_and_fused_items_as_one_group_at_a_time_gives_them(spark):
+    """Over several partitions and batches, with missing numbers and texts; no frame for each page."""
+    blocks = spark.createDataFrame(
+        [(p, i, t, float(x), float(y), 30.0, 10.0, c) for p in range(300) for i, (t, x, y, c) in enumerate([("a", 0, 0, 0.9), ("@b", 35, 3, 0.5), (None, 36, 3, 0.1), ("far", 200, 0, 0.8), ("low", 0, 40, None), ("er", 32, 41, 0.7)])],
+        seeded.BLOCK_SCHEMA,
+    ).repartition(5)
+    lines = layout.stitch(blocks, "page_id")
+    assert "FlatMapGroups" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in lines.collect():
+        got.setdefault(r["page_id"], []).append((r["pos"], r["text"], r["width"]))
+    assert got == {p: [(0, "a@b", 65.0), (1, "far", 30.0), (2, "low er", 62.0)] for p in range(300)}
+    schema = "page_id long, pos int, category string, source string, evidence array<string>, x double, y double, width double, height double"
+    items = [(p, i, k, s, ["PATTERN"], x, 0.0, 10.0, 10.0) for p in range(300) for i, (k, s, x) in enumerate([("email", "dom", 0.0), ("email_field", "ocr", 5.0), ("phone", "dom", 5.0), ("email", "dom", 300.0)])]
+    rows = layout.fuse(spark.createDataFrame(items, schema).repartition(5)).collect()
+    assert sorted((r["page_id"], r["category"], r["no"], r["source"], r["members"]) for r in rows) == sorted(x for p in range(300) for x in [(p, "email", 0, "fusion", 2), (p, "email", 1, "dom", 1), (p, "phone", 0, "dom", 1)])
