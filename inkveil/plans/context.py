@@ -8,7 +8,7 @@ from .. import config as c
 from ..functions import geometry as g
 from ..operators import context, policy
 from .catalog import query, table
-from .derived import fed
+from .derived import fed, spread
 
 ELEMENTS = [
     (1, 1, "e1", "n1", "email", "text", "email", "user email", ""), (1, 2, "e2", "n2", "password", "password", "", "pw", ""), (1, 3, "e3", "n3", "card_number", "text", "cc-number", "card", ""),
@@ -54,7 +54,7 @@ def _boxed(spark, sf, name, rows, schema):
 @query
 def ocr_pii(spark, sf):
     blocks = fed(spark, sf, "ocr_texts", [(p, n, t, s) for p, n, t, *_, s in BLOCKS], "page_id long, pos int, text string, confidence double")
-    found = blocks.where("trim(text) <> ''").select("page_id", "pos", F.explode(context.ocr_found(F.col("text"), F.col("confidence"))).alias("f"))
+    found = spread(blocks.where("trim(text) <> ''")).select("page_id", "pos", F.explode(context.ocr_found(F.col("text"), F.col("confidence"))).alias("f"))
     return found.select("page_id", "pos", "f.type", "f.value", "f.confidence")
 
 

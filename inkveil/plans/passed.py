@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators import detection, gates, passes
 from ..sources import dom
 from .catalog import query, table
-from .derived import pick
+from .derived import pick, spread
 from .page_tree import shops
 
 PATHS = ("div/p", "form/input#user_password", "li/span.product-title", "form/ssn", "td#account", "p.author", None)
@@ -17,7 +17,7 @@ LINE_PATH = f"{pick('doc_id + line', *PATHS)} AS element_path"
 
 def lines(spark, sf):
     """The lines of documents as nodes."""
-    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).selectExpr("doc_id", "line", "text", LINE_PATH)
 
 
@@ -31,7 +31,7 @@ def line_passes(spark, sf):
 
 def page_nodes(spark, sf):
     """Texts, fields, buttons and images of pages and of shop pages, and spans in the texts."""
-    pages = table(spark, sf, "pages").select("page_id", "html").unionByName(shops(spark, sf))
+    pages = spread(table(spark, sf, "pages").select("page_id", "html")).unionByName(shops(spark, sf))
     rows = dom.shown_rows(pages)
     of = lambda name: F.coalesce(F.try_element_at("attributes", F.lit(name)), F.lit(""))
     field = gates.field_category(F.coalesce("type", F.lit("text")), of("autocomplete"), of("name"), of("id"), of("placeholder"), of("aria-label"))

@@ -13,7 +13,7 @@ from ..operators import gates, layout
 from ..operators import policy as p
 from ..sources import pages as pg
 from .catalog import query, table
-from .derived import derived, fed
+from .derived import derived, fed, spread
 
 FIELDS = [
     (1, "password", "", "pw", "", "", "", ""), (2, "text", "email", "user", "", "", "", ""), (3, "tel", "", "x", "", "", "", ""), (4, "text", "cc-number", "", "", "", "", ""), (5, "text", "one-time-code", "", "", "", "", ""),
@@ -105,7 +105,7 @@ TARGETS = [(1, "phone number"), (2, "the email"), (3, "confirm order"), (4, "mes
 def target_resolution(spark, sf):
     """The best element of each target, more than 20 points, ties to the first; six fixed elements, so they are one broadcast array."""
     elements = F.array(*[F.struct(F.lit(i).cast("long").alias("element_id"), F.lit(s).alias("shown"), F.lit(k).alias("code"), F.lit(t).alias("kind")) for i, s, k, t in ELEMENTS])
-    rows = fed(spark, sf, "targets", TARGETS, "target_id long, target string").select("*", F.explode(elements).alias("e"))
+    rows = spread(fed(spark, sf, "targets", TARGETS, "target_id long, target string")).select("*", F.explode(elements).alias("e"))
     scored = rows.select("target_id", "e.element_id", gates.target_score(F.col("target"), F.col("e.shown"), F.col("e.code"), F.col("e.kind")).cast("long").alias("score"))
     best = scored.groupBy("target_id").agg(F.max_by(F.struct("element_id", "score"), F.struct(F.col("score"), -F.col("element_id"))).alias("b"))
     return best.select("target_id", "b.element_id", "b.score").where("score > 20")
@@ -173,7 +173,7 @@ def fused_items(spark, sf):
 @query
 def doc_entities(spark, sf):
     """Named spans of documents, the best that don't overlap, from the operator's own threshold on."""
-    return en.best_disjoint(en.entity_candidates(table(spark, sf, "documents"), "doc_id"), "doc_id").drop("value")
+    return en.best_disjoint(en.entity_candidates(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id"), "doc_id").drop("value")
 
 
 @query

@@ -10,7 +10,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import goals, telemetry
 from .catalog import query, table
-from .derived import fed
+from .derived import fed, spread
 
 GOALS = [
     (1, "Open https://example.org/a?b=1 now"), (2, "go to example.org and read the article"), (3, "Navigate to youtube"), (4, "open amazon and buy the second pair of shoes"), (5, "open mail and reply"),
@@ -32,7 +32,7 @@ def goal_parse(spark, sf):
 @query
 def telemetry_scrub(spark, sf):
     """Documents that the six replacements change."""
-    docs = table(spark, sf, "documents").select("doc_id", t.changed(F.col("text"), telemetry.scrub(F.col("text"))).alias("scrubbed"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", t.changed(F.col("text"), telemetry.scrub(F.col("text"))).alias("scrubbed"))
     return docs.select("doc_id", F.sha2("scrubbed", 256).alias("scrubbed_sha256"))
 
 
@@ -40,7 +40,7 @@ def telemetry_scrub(spark, sf):
 def telemetry_leaks(spark, sf):
     """Scrubbed documents that still hold an address: no rows."""
     held = t.let(telemetry.scrub(F.col("text")), lambda x: F.when(x.rlike(c.java(c.EMAIL)), True))
-    return table(spark, sf, "documents").select("doc_id", t.given(held).alias("held")).select("doc_id")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", t.given(held).alias("held")).select("doc_id")
 
 
 RECORDS = [

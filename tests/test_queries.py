@@ -31,3 +31,10 @@ def test_query_matches_sql(spark, name):
 
 def test_every_query_with_sql_is_registered():
     assert set(sql.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["labelled_fields", "ocr_pii", "target_resolution", "telemetry_leaks", "telemetry_scrub", "line_passes", "doc_entities", "page_element_details", "page_visible_texts", "page_tree_sanitized", "page_sanitized_text"])
+def test_costly_rows_are_spread_over_all_cores(spark, name):
+    """Whatever the number of row groups: a file of one is read by one task."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {4 * spark.sparkContext.defaultParallelism}, true" in plan
