@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,25 @@ NO_SEARCH = "Search query has not been executed yet."
 NO_FILL = "Form fields have not been populated yet."
 NO_CANDIDATE = "No candidate currently satisfies all specified constraints."
 # --- end of fixed values ---
-SIGNS = {k: c.java(f"(?i:{p})") for k, p in WORDS.items()}
+# Texts are in lower case; the words begin and end with word characters, so one side of a boundary is known.
+SIGNS = {k: c.java(re.sub(r"\\b$", r"(?!\\w)", re.sub(r"^\\b", r"(?<!\\w)", p))) for k, p in WORDS.items()}
+
+
+def _needed(pattern: str) -> list[str]:
+    """What stands in every match of one of these alternatives of plain words, in lower case: one of them in any match."""
+    words = [re.sub(r"\w\?", "", x) for x in re.sub(r"\\[bs]|\^|\(\?:|\)", "", pattern).split("|")]
+    return sorted({x for x in words if not any(y != x and y in x for y in words)})
+
+
+NEEDED = {k: _needed(p) for k, p in WORDS.items()}
 
 
 def _is(text: Column, sign: str) -> Column:
-    return F.coalesce(text.rlike(SIGNS[sign]), F.lit(False))
+    """Whether the sign stands in a lower-case text. Most texts hold none of its words, so the pattern is tried on the others only."""
+    may = F.contains(text, F.lit(NEEDED[sign][0]))
+    for word in NEEDED[sign][1:]:
+        may = may | F.contains(text, F.lit(word))
+    return F.coalesce(may & text.rlike(SIGNS[sign]), F.lit(False))
 
 
 def _said(*names: str) -> Column:
@@ -60,8 +76,9 @@ def _plans(tasks: DataFrame) -> DataFrame:
 def _history(actions: DataFrame, verbs: DataFrame) -> DataFrame:
     """Flags of what was done; equal actions of a goal are one row before they meet its verbs."""
     once = actions.select("goal_id", "kind", "reason", "action", "target", "target_id").distinct()
-    rows = once.join(verbs, "goal_id")
-    plain, named, whole = _said("kind", "reason", "target"), _said("kind", "reason", "action", "target"), _said("kind", "reason", "action", "target", "target_id")
+    said = {"plain": ["kind", "reason", "target"], "named": ["kind", "reason", "action", "target"], "whole": ["kind", "reason", "action", "target", "target_id"]}
+    rows = once.select("goal_id", "kind", *[_said(*names).alias(k) for k, names in said.items()]).join(verbs, "goal_id")
+    plain, named, whole = map(F.col, said)
     kind = F.coalesce("kind", F.lit(""))
     return rows.groupBy("goal_id").agg(
         F.lit(True).alias("started"),
@@ -110,6 +127,8 @@ def checked(goals: DataFrame, actions: DataFrame, tasks: DataFrame, candidates:
     rows = rows.join(_plans(tasks), "goal_id", "left").withColumn("intent", F.coalesce("action", F.nullif(F.col("performs.action"), F.lit(""))))
     verb = F.lower(F.trim(F.coalesce("intent", F.lit("action"))))
     rows = rows.withColumn("verb", verb).withColumn("click_verb", F.lower(F.coalesce("click_target", "action", F.lit("submit"))))
+    asks = ["asks_cart", "asks_buy", "asks_submit", "asks_compare"]
+    rows = rows.withColumns({k: _is(F.col("text"), k) for k in asks} | {"presses": _is(F.lower("request"), "presses")})
     rows = rows.join(_history(actions, rows.select("goal_id", "verb", "click_verb")), "goal_id", "left").join(_candidates(candidates, rows), "goal_id", "left")
 
     def op(*names: str) -> Column:
@@ -118,16 +137,16 @@ def checked(goals: DataFrame, actions: DataFrame, tasks: DataFrame, candidates:
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
 
-    text, constraints = F.col("text"), F.col("constraints")
-    cart_only = op("add_to_cart") | _is(text, "asks_cart")
-    cart = cart_only | _is(text, "asks_buy")
-    submit = ~cart & (F.col("click_target").isNotNull() | op(*SUBMITS) | _is(text, "asks_submit")) & (F.col("planned").isNull() | flag("plans_submit"))
+    constraints = F.col("constraints")
+    cart_only = op("add_to_cart") | F.col("asks_cart")
+    cart = cart_only | F.col("asks_buy")
+    submit = ~cart & (F.col("click_target").isNotNull() | op(*SUBMITS) | F.col("asks_submit")) & (F.col("planned").isNull() | flag("plans_submit"))
     opens = F.coalesce(F.col("intent").isin(OPENS), F.lit(False)) & F.col("picks")
     perform = (F.col("intent").isNotNull() | op("perform_action")) & ~opens & ~submit
-    form = (op("fill_form", "fill") | F.coalesce(F.col("domain") == "form_filling", F.lit(False))) & F.col("click_target").isNull() & ~_is(F.col("request"), "presses")
+    form = (op("fill_form", "fill") | F.coalesce(F.col("domain") == "form_filling", F.lit(False))) & F.col("click_target").isNull() & ~F.col("presses")
     fill = ~cart & (F.exists(constraints, lambda x: F.coalesce(x["is_update"], F.lit(False))) | form)
     asked = F.get(F.filter(constraints, lambda x: x["name"] == "candidate_count"), F.lit(0))
-    least = F.when(asked.isNotNull(), F.coalesce(asked["value"].try_cast("int"), F.lit(0))).when(op("compare") | _is(text, "asks_compare"), 2).otherwise(1)
+    least = F.when(asked.isNotNull(), F.coalesce(asked["value"].try_cast("int"), F.lit(0))).when(op("compare") | F.col("asks_compare"), 2).otherwise(1)
     inspected = F.coalesce("inspected", F.lit(0))
     rules = [
         (cart & cart_only & ~flag("carted"), F.lit(NO_CART)),

@@ -188,3 +188,16 @@ def test_evaluation(spark, buckets):
 def test_evaluation_of_no_rows(spark):
     rows = evaluation.evaluated(spark.createDataFrame([], "class int, score double, hit boolean, chosen boolean")).collect()
     assert [tuple(r) for r in rows] == [(None, 0, 0, 0, 0.0, 0.0, 0.0)]
+
+
+def test_signs_are_found_as_by_their_whole_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from inkveil import config
+
+    texts = ["add to cart", "the carts", "my cart.", "checkout", "check out", "typed", "type", "types", "submitting", "submitted form", "xsubmit", "submit_1", "entered search", "click it", " click", "tap\n", "compare", "comparé", "écart", "buy nowé", "order placed", "form field", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", *[completion._is(F.col("t"), k).alias(k) for k in completion.WORDS], *[F.coalesce(F.col("t").rlike(config.java(f"(?i:{p})")), F.lit(False)).alias(f"{k}_plain") for k, p in completion.WORDS.items()])
+    for r in rows.collect():
+        for k in completion.WORDS:
+            assert r[k] == r[f"{k}_plain"], (k, r["t"])
+    assert all(completion.NEEDED.values()) and completion.NEEDED["did_cart"] == ["add to basket", "bag", "cart"]
