@@ -38,12 +38,19 @@ def nesting(json: Column) -> Column:
         now = a["now"] + F.when(b.isin("[", "{"), 1).when(b.isin("]", "}"), -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
 
-    return F.aggregate(brackets, state, step, lambda a: a["most"])
+    most = F.aggregate(brackets, state, step, lambda a: a["most"])
+    opening = F.length(json) - F.length(F.translate(json, "{[", ""))
+    return F.when(opening == 0, 0).when((opening == 1) & json.substr(1, 1).isin("{", "["), 1).otherwise(most)  # flat values need no walk
 
 
 def deepest(rows: DataFrame, json: str) -> int:
     """The levels that rows need: one pass, one number."""
-    return rows.agg(F.coalesce(F.max(nesting(F.col(json))), F.lit(0))).first()[0]
+    return depths(rows, json)[0]
+
+
+def depths(rows: DataFrame, *json: str) -> list[int]:
+    """The levels that rows need for each of the columns, in one pass."""
+    return list(rows.agg(*[F.coalesce(F.max(nesting(F.col(x))), F.lit(0)).alias(x) for x in json]).first())
 
 
 def _piece(lead: Column | str, text: Column | str | None, value: Column | None = None, open_: Column | bool = False) -> Column:

@@ -15,7 +15,7 @@ def scrub(text: Column) -> Column:
     out = F.regexp_replace(text, c.java(c.SENTINEL), "[PROTECTED_SENTINEL]")
     out = F.regexp_replace(out, c.java(c.SPOKEN_SECRET), "$1$3$5[PROTECTED_SECRET]")
     out = F.regexp_replace(out, c.URL_PARAMETER, "$1[PROTECTED_PARAM]")
-    out = t.let(out, _without_cards)
+    out = t.let(out, lambda x: F.when(x.rlike(c.java(c.STRICT_CARD)), _without_cards(x)).otherwise(x))
     out = t.let(out, lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, c.java(c.EMAIL), "[EMAIL_REDACTED]")).otherwise(x))
     return t.let(out, lambda x: F.when(x.rlike(c.java(c.STREET_WORD)), F.regexp_replace(x, c.java(c.LONG_ADDRESS), "[ADDRESS_REDACTED]")).otherwise(x))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import vault
 from ..streaming import ingest
 from .catalog import query, table
+from .derived import spread
 
 
 def vault_ops(spark, sf):
@@ -31,7 +32,7 @@ def vault_replay(spark, sf):
 
 def event_lines(spark, sf):
     """Events as the lines a logger would send, some of them broken."""
-    e = table(spark, sf, "events").where("event_type IS NOT NULL")
+    e = spread(table(spark, sf, "events").select("event_id", "event_type").where("event_type IS NOT NULL"))
     no = F.col("event_id").cast("string")
     payload = F.struct(
         F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("stage"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Warn-"), F.col("event_type"))).alias("category"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("event"),

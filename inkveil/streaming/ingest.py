@@ -38,7 +38,8 @@ def ingested(lines: DataFrame, line: str = "line") -> DataFrame:
         F.when(has, F.coalesce(_text(F.col("v"), "event", "action"), F.lit(NO_EVENT))).alias("event"), F.when(has, F.coalesce(_text(F.col("v"), "level"), level(stage))).alias("level"),
         F.when(has, data).alias("data"), F.when(has, F.coalesce(given(member("metadata")), F.lit("{}"))).alias("metadata"),
     )
-    return json_tree.scrubbed(json_tree.scrubbed(rows, "data"), "metadata")
+    of_data, of_metadata = json_tree.depths(rows, "data", "metadata")
+    return json_tree.scrubbed(json_tree.scrubbed(rows, "data", of_data), "metadata", of_metadata)
 
 
 def start(spark: SparkSession, source: str, target: str, checkpoint: str, files: int = 100) -> StreamingQuery:

@@ -1,5 +1,7 @@
 """Ingest of lines: defaults and scrub, quarantine, batches that run again."""
 
+from pyspark.sql import functions as F
+
 from inkveil.streaming import ingest
 
 LINES = [
@@ -29,3 +31,15 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     ingest.write(spark.read.text(str(source / "b.txt")).withColumnRenamed("value", "line"), 1, target)
     assert sorted(r["event"] for r in spark.read.parquet(f"{target}/events").collect()) == before
     assert [r["event"] for r in ingest.ring(spark, target, 2).collect()] == ["late", "e29"]
+
+
+def test_event_lines_are_spread_and_measured_once(spark, monkeypatch):
+    from inkveil.operators import json_tree
+    from inkveil.plans import state
+
+    passes = []
+    monkeypatch.setattr(json_tree, "depths", lambda rows, *names, own=json_tree.depths: passes.append(names) or own(rows, *names))
+    plan = state.event_ingest(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and passes == [("data", "metadata")]
+    odd = ['{"a":"}{"}', '"{"', "[1]", "{}", "7", '{"a":{"b":[]}}', None]
+    assert [r[0] for r in spark.createDataFrame(list(enumerate(odd)), "n int, j string").orderBy("n").select(json_tree.nesting(F.col("j"))).collect()] == [1, 0, 1, 1, 0, 3, None]
