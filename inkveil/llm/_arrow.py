@@ -7,7 +7,8 @@ difference of prefix sums; nothing here loops over words in Python.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,25 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task: one thing at a time, so that no operator's caches lie idle under another's."""
+    if key not in _HELD:
+        forget()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    """Lets go of what earlier tasks of the worker left."""
+    if _HELD or _POWERS:
+        _HELD.clear()
+        _POWERS.clear()
+        release()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (from 0) and bytes of a string column; a null is an empty text."""
     if column.null_count:

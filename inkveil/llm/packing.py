@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import chunks, release
+from ._arrow import chunks, held, release
 from ._parts import PART_CHUNK, PartIds, rows
 from ._shared import stash
 
@@ -80,13 +80,8 @@ class WordIds(PartIds):
         return rows(texts.fill_null(""), self)
 
 
-_CODERS: dict[str, WordIds] = {}
-
-
 def coder(path: str) -> WordIds:
-    if path not in _CODERS:
-        _CODERS[path] = WordIds(path)
-    return _CODERS[path]
+    return held(("words", path), lambda: WordIds(path))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

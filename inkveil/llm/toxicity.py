@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import chunks
+from ._arrow import chunks, forget, release
 from ._shared import stash
 
 #: Symbols of the language model: 0 is no letter, then a to z, then the letters U+00DF to U+00FF, then any other letter.
@@ -88,6 +88,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     """(trigram, times) over all texts; a trigram is a number below SYMBOLS ** 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in chunks(batches, limit=1 << 20):
             s = symbols("  ".join(["", *batch.column("text").fill_null("").to_pylist(), ""])).astype(np.int32)
@@ -263,9 +264,12 @@ class Features(dict):
 
 
 def _ids(batches: Iterator[pa.RecordBatch], sent) -> Iterator[tuple[pa.RecordBatch, list[set[int]]]]:
+    forget()
     known = Features(*sent.value)
     for batch in chunks(batches):
         yield batch, [known.of(t) for t in batch.column("text").fill_null("").to_pylist()]
+    known.clear()
+    release()
 
 
 # ---- learning -----------------------------------------------------------------------------------------------------
@@ -291,6 +295,7 @@ def _common(rows: DataFrame, cost: np.ndarray, most: int) -> list[str]:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: Counter = Counter()
         for batch in chunks(batches):
             for text in batch.column("text").fill_null("").to_pylist():
@@ -299,6 +304,8 @@ def _common(rows: DataFrame, cost: np.ndarray, most: int) -> list[str]:
                     yield told(seen)
                     seen.clear()
         yield told(seen)
+        seen.clear()
+        release()
 
     counted = rows.where("toxic = 1").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     return [r["feature"] for r in counted.where("n >= 3").orderBy(F.desc("n"), "feature").limit(most).collect()]

@@ -170,3 +170,13 @@ def test_fixity_finds_all_kinds_and_nothing_else(spark):
     assert sorted(found["corrupt"]) == [130, 320] and found["missing"] == [699] and sorted(found["moved"]) == list(range(321, 384))
     none = warc_fixity.records(pages.limit(0))
     assert warc_fixity.audit(none, none).count() == 0
+
+
+def test_another_operator_leaves_no_coder_in_the_worker():
+    from inkveil.llm import _arrow, toxicity
+
+    first = packing.coder(queries.WORD_BPE)
+    assert packing.coder(queries.WORD_BPE) is first  # kept from task to task of its own operator
+    none = type("Sent", (), {"value": ({}, None)})
+    assert not list(toxicity._ids(iter([]), none)) and not _arrow._HELD
+    assert packing.coder(queries.WORD_BPE) is not first
