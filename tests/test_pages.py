@@ -2,11 +2,12 @@
 
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from inkveil.operators import elements
-from inkveil.plans import page_tree
+from inkveil.plans import page_tree, page_tree_sql
 from inkveil.sources import dom
 from inkveil.sources import pages as pg
 
@@ -152,6 +153,31 @@ def test_limits_of_the_tree(spark, limits):
         assert got.get(r["page_id"], []) == tree_brute(r["html"], *limits)
 
 
+#: Deeper than 32, more than 1000 nodes, more than 1000 texts.
+LARGE = ["<html><body>" + "".join(f"<p>text {i}" for i in range(90)) + "</body></html>", "".join(f"<b>n {i}</b> " for i in range(700)), "<ul>" + "".join(f"<li>item {i}</li>" for i in range(1300)) + "</ul>"]
+
+
+def large(spark, tmp_path):
+    """A folder of tables whose pages are LARGE."""
+    spark.createDataFrame(list(enumerate(LARGE, 1)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.read.parquet(f"{SF}/part.parquet").limit(3).write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def by_sql(name, sf):
+    con = duckdb.connect()
+    for table in ("pages", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet/*.parquet'")
+    return sorted(con.execute(page_tree_sql.ORACLE_SQL[name]).fetchall())
+
+
+def test_sanitised_trees_are_whole(spark, tmp_path):
+    sf = large(spark, tmp_path)
+    got = sorted(tuple(r) for r in page_tree.page_tree_sanitized(spark, sf).collect())
+    assert got == by_sql("page_tree_sanitized", sf)
+    assert [r[:3] for r in got] == [(1, 182, 90), (2, 2100, 1400), (3, 2601, 1300)]
+
+
 def test_elements_have_no_secret_and_no_python(spark):
     shops = page_tree.shops(spark, SF)
     rows = elements.described(shops)
