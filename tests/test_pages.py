@@ -178,6 +178,13 @@ def test_sanitised_trees_are_whole(spark, tmp_path):
     assert [r[:3] for r in got] == [(1, 182, 90), (2, 2100, 1400), (3, 2601, 1300)]
 
 
+def test_visible_texts_are_whole(spark, tmp_path):
+    sf = large(spark, tmp_path)
+    got = sorted(tuple(r) for r in page_tree.page_visible_texts(spark, sf).collect())
+    assert got == by_sql("page_visible_texts", sf)
+    assert [r[:3] for r in got if r[0] > 0] == [(1, "text", 90), (2, "text", 700), (3, "text", 1300)]
+
+
 def test_elements_have_no_secret_and_no_python(spark):
     shops = page_tree.shops(spark, SF)
     rows = elements.described(shops)
