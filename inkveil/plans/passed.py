@@ -31,7 +31,7 @@ def line_passes(spark, sf):
 
 def page_nodes(spark, sf):
     """Texts, fields, buttons and images of pages and of shop pages, and spans in the texts."""
-    pages = spread(table(spark, sf, "pages").select("page_id", "html")).unionByName(shops(spark, sf))
+    pages = spread(table(spark, sf, "pages").select("page_id", "html")).unionByName(shops(spark, sf, spread))
     rows = dom.shown_rows(pages)
     of = lambda name: F.coalesce(F.try_element_at("attributes", F.lit(name)), F.lit(""))
     field = gates.field_category(F.coalesce("type", F.lit("text")), of("autocomplete"), of("name"), of("id"), of("placeholder"), of("aria-label"))
